@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import Scratch, broadcast_if_small, runs, splitmix
+from lexitide.llm.common import Scratch, splitmix
 
 MARKS = b".!?,;:\n"
 UNITS, WORDS = 3, 20
@@ -122,14 +123,20 @@ def _found(batches):
             keep = ~same | where  # repeated rows are one document
             start = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
             sure = same & ((doc != doc[start]) | (tag != tag[start]) | (a != a[start]))
+            h1 = np.where(sure, splitmix(doc.view(np.uint64) ^ tag.view(np.uint64)) + a.astype(np.uint64), h1)  # not joined, so dealt evenly
             cols = (h1.view(np.int64), h2.view(np.int64), doc, tag, a.astype(np.int32), e.astype(np.int32), sure)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[keep])) for c in cols], names)
 
 
 def _later(batches):
-    """Of rows sorted by hash, document and place: those that are not the first of their hash."""
+    """Of rows sorted by hash, document and place: those that are sure or not the first of their hash."""
     last = None
     for batch in batches:
+        sure = batch.column(6)
+        if sure.true_count:
+            rows = batch.filter(sure)
+            yield pa.RecordBatch.from_arrays([rows.column(i) for i in (2, 3, 4, 5)], ["doc", "tag", "first", "end"])
+            batch = batch.filter(pc.invert(sure))
         if not batch.num_rows:
             continue
         h1, h2, doc, tag, a = (batch.column(i).to_numpy() for i in range(5))
@@ -183,16 +190,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     scratch = Scratch(docs.sparkSession, "substring")
     tag = F.xxhash64(F.col(text))
-    found = scratch.save(docs.select(F.col(doc_id).cast("long").alias("doc"), tag.alias("tag"), F.col(text).alias("text")).mapInArrow(_found, FOUND), "found")
-    hashes = found.where("NOT sure").select("h1", "h2", "doc", "tag", "first", "end")
-    later = hashes.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "tag", "first").mapInArrow(_later, "doc long, tag long, first int, end int")
-    gone = found.where("sure").select("doc", "tag", "first", "end").unionByName(later)
+    found = docs.select(F.col(doc_id).cast("long").alias("doc"), tag.alias("tag"), F.col(text).alias("text")).mapInArrow(_found, FOUND)
+    gone = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "tag", "first").mapInArrow(_later, "doc long, tag long, first int, end int")
     packed = (F.shiftleft(F.col("first").cast("long"), 32) + F.col("end")).alias("pair")
     gone = scratch.save(gone.select("doc", "tag", packed).groupBy("doc", "tag").agg(F.collect_list("pair").alias("pairs")), "gone")
-    scratch.drop("found")
-    size = gone.agg(F.count("*"), F.sum(F.size("pairs"))).first()
     gone = gone.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("pairs").alias("__pairs"))
-    gone = broadcast_if_small(gone, 1, 64 * size[0] + 8 * (size[1] or 0))
     cols, at = docs.columns, docs.columns.index(text)
     plain = docs.toDF(*(f"__c{i}" for i in range(len(cols))))
     at_id = cols.index(doc_id)
