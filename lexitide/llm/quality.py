@@ -75,8 +75,12 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, 0).otherwise(counted)
 
 
-def score(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The keys, the base counts, one metric and verdict per rule, base_failed and kept."""
+def score(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, numbered: bool = False) -> DataFrame:
+    """The keys, the base counts, a verdict per rule, base_failed and kept; numbered adds a row number, __row.
+
+    A filter on kept alone would be pushed below the counts, and compute them once per mention; one
+    that reads __row too stays above, as the optimiser moves no filter past a number of rows.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     words = docs.select(
         *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)),
@@ -94,6 +98,7 @@ def score(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
         _repeated_words(w).cast("long").alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"),
+        *([F.monotonically_increasing_id().alias("__row")] if numbered else []),
     )
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     tests = [_passes(r).alias(f"ok_{r.name}") for r in rules]
@@ -117,8 +122,8 @@ def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     names = [f"__c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     body = names[docs.columns.index(text)]
-    scored = score(plain, body, tuple(names), rules)
-    return scored.where("kept").select(*names).toDF(*docs.columns)
+    scored = score(plain, body, tuple(names), rules, numbered=True)
+    return scored.where("kept AND __row >= 0").select(*names).toDF(*docs.columns)
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
