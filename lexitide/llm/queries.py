@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold QUERIES and ORACLES.
-MODULES = ("quality", "minhash", "packing", "substring", "pii", "warc", "vafile", "language", "toxicity")
+MODULES = ("quality", "minhash", "packing", "substring", "pii", "warc", "vafile", "language", "toxicity", "sampling")
 
 
 def _all(attr: str) -> dict:
