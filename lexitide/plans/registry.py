@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lexitide.plans import activity, language
+
 
 def queries() -> dict:
-    return {}
+    return activity.QUERIES | language.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return activity.ORACLES | language.ORACLES

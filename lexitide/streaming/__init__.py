@@ -1 +1 @@
-"""Structured Streaming forms of the monthly counts and the experience measure."""
+"""Structured Streaming forms of the monthly counts and of experience, which the batch operators also compute."""
