@@ -242,18 +242,18 @@ def activity_flags(spark, d):
     return events(spark, d).select("post_id", "event_type", clean.top_level(kind, parent).alias("top_level"))
 
 
-def _binned(sql_stage: str, x: str, scale: str, least: int, source: str, extra: str = "") -> str:
+def _binned(sql_stage: str, x: str, scale: str, least: int, source: str, extra: str = "", digits: int = 6) -> str:
     return f"""WITH {source}{extra},
 b AS (SELECT *, {sql_stage} AS stage, CASE WHEN score = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight FROM src),
 z AS (SELECT stage, count(*) AS n FROM b WHERE stage IS NOT NULL GROUP BY stage),
 l AS (SELECT CASE WHEN count(*) FILTER (WHERE n >= {least}) = count(*) THEN count(*) - 1 ELSE count(*) FILTER (WHERE n >= {least}) END AS m FROM z),
 s AS (SELECT unnest(range(1, (SELECT m FROM l) + 1))::INTEGER AS stage),
-g AS (SELECT stage, sum(score * weight) AS s, sum(weight) AS w FROM b GROUP BY stage)
-SELECT s.stage * {scale}::DOUBLE AS {x}, round(g.s / nullif(w, 0), 6) AS score, round(coalesce(w, 0), 6) AS nposts FROM s LEFT JOIN g USING (stage)"""
+sums AS (SELECT stage, sum(score * weight) AS s, sum(weight) AS w FROM b GROUP BY stage)
+SELECT s.stage * {scale}::DOUBLE AS {x}, round(sums.s / nullif(w, 0), {digits}) AS score, round(coalesce(w, 0), 6) AS nposts FROM s LEFT JOIN sums USING (stage)"""
 
 
-def _out(df):
-    return rounded(df.drop("avg_ntokens"), "score", "nposts")
+def _out(df, digits: int = 6):
+    return rounded(rounded(df.drop("avg_ntokens"), "score", digits=digits), "nposts")
 
 
 @query(_binned("CAST(trunc(post_number / 10.0::DOUBLE) AS INTEGER) + 1", "posts", "10", 50, NUMBERED, ", src AS (SELECT * FROM n)"))
@@ -261,10 +261,10 @@ def traj_posts(spark, d):
     return _out(trajectory.weighted(trajectory.by_bin(numbered_events(spark, d), trajectory.posts_stage(10)), "posts", 10, 50))
 
 
-@query(_binned("CAST(trunc(user_seconds / 15724800.0::DOUBLE) AS INTEGER) + 1", "weeks", "26", 50, ORDERS, ", src AS (SELECT *, date_sub('second', min(true_date) OVER (PARTITION BY author), true_date) AS user_seconds FROM o)"))
+@query(_binned("CAST(trunc(user_seconds / 15724800.0::DOUBLE) AS INTEGER) + 1", "weeks", "26", 50, ORDERS, ", src AS (SELECT *, date_sub('second', min(true_date) OVER (PARTITION BY author), true_date) AS user_seconds FROM o)", digits=3))
 def traj_time(spark, d):
     rows = timeline.seconds(orders(spark, d), None, "true_date")
-    return _out(trajectory.weighted(trajectory.by_bin(rows, trajectory.time_stage(26)), "weeks", 26, 50))
+    return _out(trajectory.weighted(trajectory.by_bin(rows, trajectory.time_stage(26)), "weeks", 26, 50), digits=3)
 
 
 @query(_binned("CAST(trunc(experience / 2.0::DOUBLE) AS INTEGER) + 1", "pseudo_weeks", "(2.0 / 7.0)", 50, GAPS, ", src AS (SELECT * FROM x)"))
