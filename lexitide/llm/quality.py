@@ -75,11 +75,11 @@ def _repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, 0).otherwise(counted)
 
 
-def score(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, numbered: bool = False) -> DataFrame:
-    """The keys, the base counts, a verdict per rule, base_failed and kept; numbered adds a row number, __row.
+def score(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The keys, the base counts, a verdict per rule, base_failed and kept.
 
-    A filter on kept alone would be pushed below the counts, and compute them once per mention; one
-    that reads __row too stays above, as the optimiser moves no filter past a number of rows.
+    The counts leave one generated row each. No filter moves below that, so one on kept or a count does
+    not compute them once per mention.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = docs.select(
@@ -89,8 +89,7 @@ def score(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
         F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]")).alias("__lines"),
     )
     w = F.col("__words")
-    counts = words.select(
-        *(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)),
+    counted = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(F.regexp_replace("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -98,8 +97,8 @@ def score(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
         _repeated_words(w).cast("long").alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"),
-        *([F.monotonically_increasing_id().alias("__row")] if numbered else []),
     )
+    counts = words.select(*(F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)), F.inline(F.array(counted)))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     tests = [_passes(r).alias(f"ok_{r.name}") for r in rules]
     kept = ~base
@@ -120,10 +119,8 @@ def _passes(rule: Rule) -> Column:
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with their columns; the projection runs in the scan's own tasks."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    body = names[docs.columns.index(text)]
-    scored = score(plain, body, tuple(names), rules, numbered=True)
-    return scored.where("kept AND __row >= 0").select(*names).toDF(*docs.columns)
+    scored = score(docs.toDF(*names), names[docs.columns.index(text)], tuple(names), rules)
+    return scored.where("kept").select(*names).toDF(*docs.columns)
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
