@@ -112,14 +112,20 @@ def _pieces(files: tuple[str, str, str], max_len: int, end_id: int):
 
 
 def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, count) of the packs: longest lengths first, each into the packs with most room."""
+    """(lengths, count) of the packs: longest lengths first, each into the packs with most room.
+
+    What fits nowhere opens new packs, which are the roomiest for the rest of its own length.
+    """
     room: dict[int, list] = defaultdict(list)
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
             most = max(room, default=0)
             if most < length:
-                room[max_len - length].append(((length,), left))
+                each = max_len // length
+                for copies, count in ((each, left // each), (left % each, 1)):
+                    if copies and count:
+                        room[max_len - copies * length].append(((length,) * copies, count))
                 break
             pack, count = room[most].pop(0)
             took = min(left, count)
