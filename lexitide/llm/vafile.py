@@ -13,7 +13,7 @@ the shuffle). Of equal vectors in a block only the smallest k + 1 ids can matter
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors of
 different length are not compared; ties go to the smaller vec_id; repeated rows count once, and a
-vec_id with several vectors stands for its best one; no queries or no table give no rows; further columns are not read.
+vec_id with several vectors stands for its best one; scores beyond 64 bits are clipped; no queries or no table give no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -106,15 +106,16 @@ def _query_blocks(batches):
 def search(ids, vectors, low, width, cells, qids, queries, k: int):
     """(query row, candidate row, score) with the k best candidates of each query, and more where ids repeat."""
     big = max(np.abs(vectors).max(initial=0), np.abs(low).max(initial=0) + 256 * width.max(initial=0)) * np.abs(queries).max(initial=0) * max(1, vectors.shape[1]) * 4
+    k = k * max(1, int(np.unique(ids, return_counts=True)[1].max(initial=1)))
     if big >= EXACT:
         # Beyond exact doubles: Python integers, every candidate of the block.
-        scores = queries.astype(object) @ vectors.astype(object).T
+        whole = np.frompyfunc(int, 1, 1)
+        scores = whole(queries) @ whole(vectors).T
         out = []
         for q in range(len(qids)):
             rows = sorted((c for c in range(len(ids)) if ids[c] != qids[q]), key=lambda c: (-int(scores[q, c]), ids[c]))  # noqa: B023
-            out += [(q, c, max(-(2**63), min(2**63 - 1, int(scores[q, c])))) for c in rows[: k * 4]]
+            out += [(q, c, max(-(2**63), min(2**63 - 1, int(scores[q, c])))) for c in rows[:k]]
         return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
-    k = k * max(1, int(np.unique(ids, return_counts=True)[1].max(initial=1)))
     out = []
     cell = cells.astype(np.float64)
     for a in range(0, len(qids), 256):
