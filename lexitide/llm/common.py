@@ -50,6 +50,16 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """Names for added columns: one that the table has already gets underscores in front until it is free."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bytes_a_row: int) -> DataFrame:
     """Marks df for broadcast if its counted rows fit BROADCAST_BYTES; else the join shuffles."""
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST_BYTES else df
@@ -92,5 +102,3 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-

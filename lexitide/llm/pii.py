@@ -17,7 +17,7 @@ secret   16 or more characters assigned to a key word   digits and letters, each
 
 Defined cases: null texts stay null and empty ones empty, with zero counts; very long texts are
 scanned whole, in time linear in their length; repeated rows give equal rows; an empty table gives
-an empty result; further columns stay as they are, whatever their names.
+an empty result; further columns stay as they are, whatever their names (added columns give way).
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lexitide.llm.common import free_names
+
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 #: For tests and reports only; production passes its own.
 KEY = b"lexitide public test key"
@@ -281,7 +283,7 @@ def with_pseudonyms(docs: DataFrame, text: str = "text", key: bytes = KEY, inver
     cols, at = docs.columns, docs.columns.index(text)
     plain = docs.toDF(*(f"__c{i}" for i in range(len(cols))))
     schema = T.StructType([*plain.schema.fields[:at], T.StructField(f"__c{at}", T.StringType()), *plain.schema.fields[at + 1 :], *(T.StructField(f"__n_{k}", T.LongType()) for k in KINDS)])
-    return plain.mapInArrow(_run(at, plain.columns, key, inverse), schema).toDF(*cols, *(f"n_{k}" for k in KINDS))
+    return plain.mapInArrow(_run(at, plain.columns, key, inverse), schema).toDF(*cols, *free_names([f"n_{k}" for k in KINDS], cols))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A text is cut after every run of sentence or clause marks or line ends (MARKS) with the white space
 that follows, so the units joined together give the text again. Clause marks count as ends because
-passages are often pasted into the middle of a sentence. From each unit a span runs over as many
-units as give UNITS units and WORDS words. Spans are hashed to 128 bits over the units without
+passages are often pasted into the middle of a sentence. From each unit a span runs forward, and to
+each unit one runs from behind, over as few units as give UNITS units and WORDS words; so spans cover
+a repeated passage from its first whole unit to its last. Spans are hashed to 128 bits over the units without
 their outer white space and joined over all documents. A unit that lies in any span which is not the
 first of its kind, by (doc_id, hash of the text, position), is removed; the rest stays as it was.
 
@@ -14,7 +15,7 @@ document, and no group is gathered anywhere.
 Defined cases: null texts stay null, empty ones empty; a text all of whose units repeat becomes empty;
 rows with equal doc_id and text are one document, whose first copy and repeats are cut alike;
 null doc_ids count as smaller than all others; very long texts are taken whole; an empty table gives an
-empty result; further columns stay as they are, whatever their names.
+empty result; further columns stay as they are, whatever their names (an added column gives way).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import Scratch, splitmix
+from lexitide.llm.common import Scratch, free_names, splitmix
 
 MARKS = b".!?,;:\n"
 UNITS, WORDS = 3, 20
@@ -89,7 +90,13 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     i = np.arange(n)
     e = np.maximum(i + UNITS, np.searchsorted(words, before + WORDS, "left") + 1)
     ok = e <= stop
-    i, e, first = i[ok], e[ok], np.searchsorted(owner, owner[ok], "left")
+    # The spans from behind: the last beginning from which an end is far enough.
+    begin = np.searchsorted(owner, owner, "left")
+    back = np.minimum(i + 1 - UNITS, np.searchsorted(before, words - WORDS, "right") - 1)
+    far = back >= begin
+    both = np.unique(np.concatenate((i[ok] * (n + 1) + e[ok], back[far] * (n + 1) + i[far] + 1)))
+    i, e = both // (n + 1), both % (n + 1)
+    ok, first = i, begin[i]
     out = []
     for p, hh in ((_P1, h), (_P2, splitmix(h))):
         total = np.concatenate(([np.uint64(0)], np.cumsum(hh * _powers(p, n), dtype=np.uint64)))
@@ -201,7 +208,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = plain.join(gone, (F.coalesce(F.col(f"__c{at_id}").cast("long"), F.lit(-(1 << 63))) == F.col("__doc")) & (F.xxhash64(f"__c{at}") == F.col("__tag")), "left").select(*plain.columns, "__pairs")
     schema = T.StructType([*plain.schema.fields[:at], T.StructField(f"__c{at}", T.StringType()), *plain.schema.fields[at + 1 :], T.StructField("removed_units", T.LongType())])
     names = plain.columns
-    return joined.mapInArrow(_cut_out(at, names), schema).toDF(*cols, "removed_units")
+    return joined.mapInArrow(_cut_out(at, names), schema).toDF(*cols, *free_names(["removed_units"], cols))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
