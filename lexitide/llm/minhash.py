@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     joined = components(scratch, confirmed, "links")
     classes = reps.select("fp", "doc", "copies").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component"), "doc", "copies")
     shared = scratch.save(classes.where("copies > 1 OR component != doc").select("fp", "component"), "classes")
-    out = feats.select("doc_id", "n_shingles", "fp").join(shared, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = feats.select("doc_id", "n_shingles", "fp").join(shared, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
