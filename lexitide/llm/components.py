@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Each step is one aggregate and one equi-join whose sides both come from tables in the shared folder,
-so adaptive execution can split a node with very many links. Nothing is collected but two numbers a
+Each step is one aggregate, written to the shared folder, and one equi-join of two tables there: no
+aggregate shares the join's shuffle, so adaptive execution can split a node with very many links. Nothing is collected but two numbers a
 round, which tell whether the table still changes.
 """
 
@@ -16,13 +16,15 @@ from lexitide.llm.common import Scratch
 def _star(scratch: Scratch, edges: DataFrame, name: str, large: bool) -> DataFrame:
     """edges (a, b) with a > b. Large: every node links its larger neighbours to the least one; small: its smaller ones."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
     if large:
         # A larger neighbour b of a is, in the table as stored, a row (b, a).
         linked = edges.select(F.col("a").alias("v"), F.col("b").alias("a")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         linked = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return scratch.save(linked.where("a != b").distinct(), name)
+    out = scratch.save(linked.where("a != b").distinct(), name)
+    scratch.drop(f"{name}-least")
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
