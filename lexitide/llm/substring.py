@@ -205,7 +205,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     cols, at = docs.columns, docs.columns.index(text)
     plain = docs.toDF(*(f"__c{i}" for i in range(len(cols))))
     at_id = cols.index(doc_id)
-    joined = plain.join(gone, (F.coalesce(F.col(f"__c{at_id}").cast("long"), F.lit(-(1 << 63))) == F.col("__doc")) & (F.xxhash64(f"__c{at}") == F.col("__tag")), "left").select(*plain.columns, "__pairs")
+    # What is cut out grows with the corpus, so it is never broadcast.
+    joined = plain.join(gone.hint("merge"), (F.coalesce(F.col(f"__c{at_id}").cast("long"), F.lit(-(1 << 63))) == F.col("__doc")) & (F.xxhash64(f"__c{at}") == F.col("__tag")), "left").select(*plain.columns, "__pairs")
     schema = T.StructType([*plain.schema.fields[:at], T.StructField(f"__c{at}", T.StringType()), *plain.schema.fields[at + 1 :], T.StructField("removed_units", T.LongType())])
     names = plain.columns
     return joined.mapInArrow(_cut_out(at, names), schema).toDF(*cols, *free_names(["removed_units"], cols))
