@@ -8,8 +8,8 @@
 3. A piece's rank among those of its length is its number plus a running sum over tasks. Each place
    of a pattern owns an interval of ranks, so a search in a small bounded table yields the sequence.
 
-Tokens come from the public byte-level BPE. Text without two neighbouring spaces is cut at spaces,
-where that tokeniser always cuts too, and each distinct chunk is encoded once by the same vocabulary.
+Tokens come from the public byte-level BPE, run from its ranks; only texts with the start of a special
+string go through the slower full tokeniser, which knows it.
 
 Defined cases: null or empty texts have one piece of one id; a null doc_id stays null; repeated rows
 are packed each for itself; ties between packs go to the older pattern; an empty table gives no
@@ -18,7 +18,6 @@ pieces; of further columns none is read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
@@ -31,45 +30,31 @@ from pyspark.sql import functions as F
 from lexitide.llm.common import Scratch, broadcast_if_small
 
 MAX_LEN = 1024
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 250_000
-_BESIDE_SPACE = re.compile(r"\s | \s")
 
 
-class Tokens(dict):
-    """Chunk to the bytes of its little-endian 32-bit ids. Chunks but the first are keyed without their leading space."""
+class Tokens:
+    """Text to the bytes of its little-endian 32-bit ids."""
 
     def __init__(self, ranks_file: str, json_file: str, pattern: str):
         import base64
 
         import tiktoken
 
-        super().__init__()
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.json_file, self.full = json_file, None
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = np.array(self.core.encode_ordinary(" " + chunk), "<u4").tobytes()
-        if len(chunk) < 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = got
-        return got
-
     def encode(self, text: str) -> bytes:
         if "<|" in text:  # the vocabulary's special string: the full tokeniser knows it
             if self.full is None:
                 from tokenizers import Tokenizer
 
                 self.full = Tokenizer.from_file(self.json_file)
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _BESIDE_SPACE.search(text):
-            return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
-        chunks = text.split(" ")
-        first = np.array(self.core.encode_ordinary(chunks[0]), "<u4").tobytes()
-        return first + b"".join(map(self.__getitem__, chunks[1:]))
+            ids = self.full.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.core.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 _tokens: dict = {}
