@@ -36,8 +36,8 @@ MARK = "▁"
 SEED, SHARPNESS = 7, 1.0
 #: Arcs of unit lattices that a worker keeps, and units drawn at a time.
 ARCS, UNITS = 3_000_000, 1 << 18
-#: Characters up to which units share the nodes of their beginnings.
-SHARED = 48
+#: Bytes up to which units share the nodes of their beginnings, and natural log of the least weight their sums may reach.
+SHARED, LEAST_LOG = 48, -600.0
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -49,7 +49,7 @@ class Lattice:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.text: list[bytes] = []
-        self.pieces: dict[str, tuple[int, float]] = {}
+        self.pieces: dict[str, tuple[int, float, float]] = {}  # id, log weight, weight
         self.bytes: dict[int, int] = {}
         n = sp.vocab_size()
         for i in range(n):
@@ -63,7 +63,8 @@ class Lattice:
                 body = piece.replace(MARK, " ")
                 self.text.append(body.encode())
                 rank = -sp.get_score(i)
-                self.pieces[body] = (i, -sharpness * math.log((rank if 0 <= rank < n else n) + 2.7))
+                weight = -sharpness * math.log((rank if 0 <= rank < n else n) + 2.7)
+                self.pieces[body] = (i, weight, math.exp(weight))
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.pieces):
             raise ValueError("a piece crosses the places where units are cut")
         self.longest = max(map(len, self.pieces))
@@ -74,6 +75,7 @@ class Lattice:
                 branch = branch.setdefault(c, {})
             branch[""] = got
         self.byte_weight = -sharpness * math.log(n + 2.7)
+        self.shared = min(SHARED, int(LEAST_LOG / self.byte_weight)) if self.byte_weight else SHARED
         self.clear()
 
     def clear(self) -> None:
@@ -90,19 +92,64 @@ class Lattice:
         return self.build(unit) if got is None else got
 
     def build(self, unit: str) -> int:
+        if len(unit) <= self.shared and (unit.isascii() or len(unit.encode("utf-8", "surrogatepass")) <= self.shared):
+            return self.build_short(unit)
+        return self.build_long(unit)
+
+    def build_short(self, unit: str) -> int:
         """What lies before a place depends on the text before it only, so units share the nodes of equal beginnings."""
-        ends, alpha, longest, short = self.ends, self.alpha, self.longest, len(unit) <= SHARED
-        done = 0
-        if short:
-            done = len(unit) - 1
-            while unit[:done] not in ends:
-                done -= 1
-        low = max(0, done + 1 - longest)
+        ends, alpha = self.ends, self.alpha
+        done = len(unit) - 1
+        while unit[:done] not in ends:
+            done -= 1
         at = [-1] * (len(unit) + 1)
-        for i in range(max(1, low), done + 1):
+        for i in range(max(1, done + 1 - self.longest), done + 1):
             at[i] = ends[unit[:i]]
         pieces, tails, keys, prev, ids = self.pieces, self.tails, self.new_keys, self.new_prev, self.new_id
         for j in range(done + 1, len(unit) + 1):
+            total, runs = 0.0, []
+            c = unit[j - 1]
+            if c not in pieces:
+                data, back, weight = c.encode("utf-8", "surrogatepass"), at[j - 1], math.exp(self.byte_weight)
+                total = alpha[back] if back >= 0 else 1.0
+                for b in data[:-1]:
+                    total *= weight
+                    keys.append(len(alpha) + 1.0)
+                    prev.append(back)
+                    ids.append(self.bytes[b])
+                    back = len(alpha)
+                    alpha.append(total)
+                total *= weight
+                runs.append(total)
+                prev.append(back)
+                ids.append(self.bytes[data[-1]])
+            i, branch = j - 1, tails
+            while i >= 0:
+                branch = branch.get(unit[i])
+                if branch is None:
+                    break
+                got = branch.get("")
+                if got is not None:
+                    back = at[i]
+                    total += got[2] * alpha[back] if back >= 0 else got[2]
+                    runs.append(total)
+                    prev.append(back)
+                    ids.append(got[0])
+                i -= 1
+            node = len(alpha)
+            if len(runs) > 1:
+                runs.pop()
+                keys += [node + x / total for x in runs]
+            keys.append(node + 1.0)
+            alpha.append(total)
+            at[j] = ends[unit[:j]] = node
+        return at[-1]
+
+    def build_long(self, unit: str) -> int:
+        """The same in logs, which no length exhausts, with nodes of its own."""
+        alpha, at = self.alpha, [-1] * (len(unit) + 1)
+        pieces, tails, keys, prev, ids = self.pieces, self.tails, self.new_keys, self.new_prev, self.new_id
+        for j in range(1, len(unit) + 1):
             arcs = []
             i, branch = j - 1, tails
             while i >= 0:
@@ -127,27 +174,17 @@ class Lattice:
                     back = len(alpha)
                     alpha.append(here)
                 arcs.append((here + self.byte_weight, back, self.bytes[data[-1]]))
-            node = len(alpha)
-            if len(arcs) == 1:
-                value, back, piece = arcs[0]
-                keys.append(node + 1.0)
+            node, top = len(alpha), max(arcs)[0]
+            weights = [math.exp(a[0] - top) for a in arcs]
+            total, run = sum(weights), 0.0
+            for w, (_, back, piece) in zip(weights, arcs, strict=True):
+                run += w
+                keys.append(node + run / total)
                 prev.append(back)
                 ids.append(piece)
-                alpha.append(value)
-            else:
-                top = max(arcs)[0]
-                weights = [math.exp(a[0] - top) for a in arcs]
-                total, run = sum(weights), 0.0
-                for w, (_, back, piece) in zip(weights, arcs, strict=True):
-                    run += w
-                    keys.append(node + run / total)
-                    prev.append(back)
-                    ids.append(piece)
-                keys[-1] = node + 1.0
-                alpha.append(top + math.log(total))
+            keys[-1] = node + 1.0
+            alpha.append(top + math.log(total))
             at[j] = node
-            if short:
-                ends[unit[:j]] = node
         return at[-1]
 
     def settle(self) -> None:

@@ -33,8 +33,12 @@ def ways(lattice, text):
     return out
 
 
+@pytest.mark.parametrize("short", [True, False])
 @pytest.mark.parametrize("text", [" hello", "ab", " né漢", " aaa"])
-def test_draws_follow_the_lattice(lattice, text):
+def test_draws_follow_the_lattice(lattice, monkeypatch, text, short):
+    if not short:
+        monkeypatch.setattr(lattice, "shared", 0)
+    lattice.clear()
     want = ways(lattice, text)
     total = sum(want.values())
     n = 20_000
