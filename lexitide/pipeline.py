@@ -44,22 +44,26 @@ class Pipeline:
         return {"sample": sampled, "model": model, "scores": scored.withColumn("run_uid", F.lit(uid))}
 
     def trajectories(self, scored: DataFrame) -> dict[str, DataFrame]:
-        t = self.trajectory
-        chosen = users.trajectory_users(self.users, t.minimum_user_posts, t.high_post_limit if t.remove_high_posters else None)
-        rows = users.only(self.posts.join(scored.select("post_id", "score"), "post_id"), chosen, ["author"])
-        ended = users.only(rows, users.ended_users(self.users), ["author"])
-        bins = {
-            "posts": (trajectory.posts_stage(t.post_bin_size), t.post_bin_size),
-            "weeks": (trajectory.time_stage(t.period_in_weeks), t.period_in_weeks),
-            "pseudo_weeks": (trajectory.experience_stage(t.experience_bin_size), t.experience_bin_size / 7),
-            "ntokens": (trajectory.ntokens_stage(t.ntokens_bin_size), t.ntokens_bin_size),
-        }
-        out = {k: trajectory.weighted(trajectory.by_bin(rows, s), k, scale, t.min_instances, "ntokens") for k, (s, scale) in bins.items()}
-        out["phase"] = trajectory.weighted(trajectory.by_phase(ended, t.num_phases), "phase", ntokens="ntokens")
-        out["user_phase"] = trajectory.user_averaged(trajectory.by_phase(ended, t.num_phases), "phase")
-        out["user_posts"] = trajectory.user_averaged(trajectory.by_number(rows, t.num_posts), "posts")
-        out["user_posts_median"] = trajectory.user_averaged(trajectory.by_median_number(rows, chosen), "posts")
-        return out
+        return trajectories(self.posts, self.users, scored, self.trajectory)
 
     def averaged(self, trajectories: DataFrame, x: str) -> DataFrame:
         return average.average(trajectories, x)
+
+
+def trajectories(posts: DataFrame, profiles: DataFrame, scored: DataFrame, t: Trajectory) -> dict[str, DataFrame]:
+    """All kinds of trajectories of one run's scores; phases are those of authors who have ended."""
+    chosen = users.trajectory_users(profiles, t.minimum_user_posts, t.high_post_limit if t.remove_high_posters else None)
+    rows = users.only(posts.join(scored.select("post_id", "score"), "post_id"), chosen, ["author"])
+    ended = users.only(rows, users.ended_users(profiles), ["author"])
+    bins = {
+        "posts": (trajectory.posts_stage(t.post_bin_size), t.post_bin_size),
+        "weeks": (trajectory.time_stage(t.period_in_weeks), t.period_in_weeks),
+        "pseudo_weeks": (trajectory.experience_stage(t.experience_bin_size), t.experience_bin_size / 7),
+        "ntokens": (trajectory.ntokens_stage(t.ntokens_bin_size), t.ntokens_bin_size),
+    }
+    out = {k: trajectory.weighted(trajectory.by_bin(rows, s), k, scale, t.min_instances, "ntokens") for k, (s, scale) in bins.items()}
+    out["phase"] = trajectory.weighted(trajectory.by_phase(ended, t.num_phases), "phase", ntokens="ntokens")
+    out["user_phase"] = trajectory.user_averaged(trajectory.by_phase(ended, t.num_phases), "phase")
+    out["user_posts"] = trajectory.user_averaged(trajectory.by_number(rows, t.num_posts), "posts")
+    out["user_posts_median"] = trajectory.user_averaged(trajectory.by_median_number(rows, chosen), "posts")
+    return out

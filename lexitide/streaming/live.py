@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def events(spark, path: str) -> DataFrame:
+    """The rows of a Parquet table as a stream, with the table's schema. The path goes as a pattern, as the source takes single files only so."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def drain(stream: DataFrame, scratch, name: str, mode: str) -> None:
+    """Runs a stream until it has read all that is there; its result is the table name. State and progress lie in the shared folder."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(scratch.path(name))
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch.path(f"{name}-progress")).trigger(availableNow=True)
+    writer.foreachBatch(put).start().awaitTermination()
+
+
 def daily_counts(stream: DataFrame, when: str = "ts", kind: str = "event_type", late: str = "1 day") -> DataFrame:
     """Events per day and kind; rows later than the watermark are left out."""
     rows = stream.withColumn(when, F.col(when).cast("timestamp")).withWatermark(when, late)
