@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitide.sources.shared import Scratch, shared_dir
+
+__all__ = ["Scratch", "shared_dir", "broadcast_if_small", "free_names", "runs", "splitmix", "table", "tasks"]
+
 #: A side is broadcast only after its rows were counted and came to no more than this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -20,36 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lexitide-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables in the shared folder: they cut the lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing will read again."""
-        jvm = self.spark._jvm
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def free_names(names: list[str], taken: list[str]) -> list[str]:
     """Names for added columns: one that the table has already gets underscores in front until it is free."""
     low, out = {c.lower() for c in taken}, []
