@@ -28,25 +28,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def _let(value: Column, body) -> Column:
-    """Computes value once per row for a lambda that refers to it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def padded(text: Column) -> Column:
-    """Tokens with <s> and </s> around each sentence, flattened; a run of . ! ? ends a sentence."""
-
-    def pad(t: Column) -> Column:
-        ends = lambda x: x.rlike("^[.!?]+$")
-
-        def part(x: Column, i: Column) -> Column:
-            first = (i == 0) | F.coalesce(ends(F.get(t, i - 1)), F.lit(False))
-            last = ends(x) | (i == F.size(t) - 1)
-            return F.concat(F.when(first, F.array(F.lit(START))).otherwise(F.array().cast("array<string>")), F.array(x), F.when(last, F.array(F.lit(STOP))).otherwise(F.array().cast("array<string>")))
-
-        return F.flatten(F.transform(t, part))
+    """Tokens with <s> and </s> around each sentence, flattened; a run of . ! ? ends a sentence.
 
-    return _let(tokens(text), pad)
+    Tokens hold no white space and leave out nothing else, so two replacements put single spaces and
+    pads between them and one split makes the array: no function runs per token.
+    """
+    t = F.coalesce(text, F.lit(""))
+    apart = F.regexp_replace(t, rf"\s*({TOKEN})\s*", "$1 ")
+    marked = F.regexp_replace(apart, r"(?<![^ ])([.!?]+) (?=\S)", f"$1 {STOP} {START} ")
+    return F.when(t.rlike(r"\S"), F.split(F.concat(F.lit(f"{START} "), marked, F.lit(STOP)), " ")).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(text: Column) -> Column:
@@ -60,9 +51,8 @@ def sentences(text: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """Adjacent pairs as structs (w1, w2); none for fewer than two words."""
-    pair = lambda w, i: F.struct(F.get(w, i).alias("w1"), F.get(w, i + 1).alias("w2"))
-    made = _let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: pair(w, i)))
-    return F.when(F.size(words) > 1, made).otherwise(F.array().cast("array<struct<w1:string,w2:string>>"))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(words, 1, n), F.slice(words, 2, n)).cast("array<struct<w1:string,w2:string>>")
 
 
 def truncated(words: Column, max_len: int) -> Column:

@@ -44,7 +44,8 @@ class Model:
 
 
 def token_counts(posts: DataFrame, by: list[str], words: str = "text") -> DataFrame:
-    return posts.select(*by, F.explode(words).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
+    # The outer form: the inner one would have the optimiser compute words a second time, to filter empty ones.
+    return posts.select(*by, F.explode_outer(words).alias("token")).where("token IS NOT NULL").groupBy(*by, "token").agg(F.count("*").alias("n"))
 
 
 def vocabulary(counts: DataFrame, by: list[str], max_size: int | None = None, leave_unknown: float | int | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def vocabulary(counts: DataFrame, by: list[str], max_size: int | None = None, le
 
 def pair_counts(posts: DataFrame, keys: list[str], words: str = "text") -> DataFrame:
     """(keys, w1, w2, n): how often each bigram occurs for the keys."""
-    return posts.select(*keys, F.inline(bigrams(F.col(words)))).groupBy(*keys, "w1", "w2").agg(F.count("*").alias("n"))
+    return posts.select(*keys, F.inline_outer(bigrams(F.col(words)))).where("w1 IS NOT NULL").groupBy(*keys, "w1", "w2").agg(F.count("*").alias("n"))
 
 
 def known(pairs: DataFrame, vocab: DataFrame, by: list[str], columns=("w1", "w2")) -> DataFrame:

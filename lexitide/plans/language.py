@@ -12,7 +12,7 @@ from lexitide.config import Snapshot
 from lexitide.functions import dates, text
 from lexitide.operators import clean, katz, reports, sampling, snapshots, timeline, trajectory
 from lexitide.sources import dumps
-from lexitide.sources.shared import Scratch
+from lexitide.sources.shared import Scratch, spread
 from lexitide.streaming import live
 
 QUERIES: dict = {}
@@ -39,7 +39,7 @@ def documents(spark, d: str) -> DataFrame:
 
 def posts(spark, d: str) -> DataFrame:
     day = F.timestamp_add("DAY", (F.col("doc_id") % 182).cast("int"), F.lit("2020-01-01").cast("timestamp_ntz"))
-    rows = documents(spark, d).select(F.col("doc_id").alias("post_id"), F.col("source").alias("author"), day.alias("true_date"), (F.col("doc_id") % 5).alias("grp"), text.padded(F.col("text")).alias("text"))
+    rows = spread(documents(spark, d).select("doc_id", "source", "text")).select(F.col("doc_id").alias("post_id"), F.col("source").alias("author"), day.alias("true_date"), (F.col("doc_id") % 5).alias("grp"), text.padded(F.col("text")).alias("text"))
     return rows.withColumn("month", dates.month(F.col("true_date")))
 
 
@@ -100,8 +100,11 @@ GROUPS = f"{POSTS}, src AS (SELECT grp, post_id, text FROM p), {model_sql('grp',
 GROUP_SCORES = f"{GROUPS}, target AS (SELECT grp, post_id, text FROM p), {score_sql('grp')}"
 
 
-def _fitted(spark, d, **kw) -> katz.Model:
-    return katz.fit(posts(spark, d), ["grp"], keep=Scratch(spark, "katz").save, **kw)
+def _fitted(spark, d) -> tuple[DataFrame, katz.Model]:
+    """The tokenised posts, stored as they are read more than once, and their models by group."""
+    scratch = Scratch(spark, "katz")
+    rows = scratch.save(posts(spark, d).select("grp", "post_id", "text"), "posts")
+    return rows, katz.fit(rows, ["grp"], keep=scratch.save)
 
 
 @query("SELECT page_id, regexp_replace('See ' || url || ' now, or HTTPS://a.b/c?d=1, ok', '\\bhttps?\\S+\\b', '', 'gi') AS text FROM pages")
@@ -131,7 +134,8 @@ def token_counts(spark, d):
 
 @query(f"WITH {POSTS} SELECT post_id, len(list_filter(text, lambda x: x = '</s>'))::INTEGER AS sentences, len(text)::INTEGER AS ntokens FROM p")
 def sentence_counts(spark, d):
-    return documents(spark, d).select(F.col("doc_id").alias("post_id"), F.size(text.sentences(F.col("text"))).alias("sentences"), F.size(text.padded(F.col("text"))).alias("ntokens"))
+    ends = F.size("text") - F.size(F.array_remove("text", text.STOP))
+    return posts(spark, d).select("post_id", ends.alias("sentences"), F.size("text").alias("ntokens"))
 
 
 @query(f"WITH {POSTS} SELECT count(*) AS posts, round_even(avg(len(text)), 2) AS mean_tokens, median(len(text))::DOUBLE AS median_tokens FROM p")
@@ -150,7 +154,7 @@ def top_tokens(spark, d):
 
 
 def _grouped_pairs(spark, d) -> DataFrame:
-    rows = posts(spark, d)
+    rows = Scratch(spark, "pairs").save(posts(spark, d).select("grp", "text"), "posts")
     vocab = katz.vocabulary(katz.token_counts(rows, ["grp"]), ["grp"], leave_unknown=100)
     return katz.known(katz.pair_counts(rows, ["grp"]), vocab, ["grp"]).groupBy("grp", "w1", "w2").agg(F.sum("n").alias("n"))
 
@@ -177,27 +181,27 @@ def turing_cstars(spark, d):
 
 @query(f"WITH {GROUPS} SELECT grp, w1, w2, n, round(p_ml, 6) AS p_ml, round(discount, 6) AS discount FROM seen")
 def katz_discounts(spark, d):
-    return rounded(_fitted(spark, d).bigrams.drop("p"), "p_ml", "discount")
+    return rounded(_fitted(spark, d)[1].bigrams.drop("p"), "p_ml", "discount")
 
 
 @query(f"WITH {GROUPS} SELECT grp, w1, round(alpha, 6) AS alpha FROM al")
 def katz_alphas(spark, d):
-    return rounded(_fitted(spark, d).alphas, "alpha")
+    return rounded(_fitted(spark, d)[1].alphas, "alpha")
 
 
 @query(f"WITH {GROUPS} SELECT grp, w, round(p, 9) AS p FROM un WHERE grp IN (SELECT grp FROM good)")
 def katz_unigrams(spark, d):
-    return rounded(_fitted(spark, d).unigrams.drop("n"), "p", digits=9)
+    return rounded(_fitted(spark, d)[1].unigrams.drop("n"), "p", digits=9)
 
 
 @query(f"WITH {GROUP_SCORES} SELECT grp, post_id, n_bigrams, round(score, 6) AS score FROM sc")
 def post_entropy(spark, d):
-    return rounded(katz.entropies(posts(spark, d), _fitted(spark, d)).drop("raw"), "score")
+    return rounded(katz.entropies(*_fitted(spark, d)).drop("raw"), "score")
 
 
 @query(f"WITH {GROUP_SCORES} SELECT grp, round(sum(raw) / sum(n_bigrams), 6) AS entropy, round(avg(score), 6) AS mean_entropy, count(*) AS posts, round(pow(2, sum(raw) / sum(n_bigrams)), 4) AS perplexity FROM sc GROUP BY grp")
 def corpus_entropy(spark, d):
-    got = katz.evaluation(katz.entropies(posts(spark, d), _fitted(spark, d)), ["grp"])
+    got = katz.evaluation(katz.entropies(*_fitted(spark, d)), ["grp"])
     return rounded(rounded(got, "entropy", "mean_entropy"), "perplexity", digits=4)
 
 
@@ -211,8 +215,8 @@ SELECT s.stage * 200.0::DOUBLE AS ntokens, round(sums.s / nullif(w, 0), 5) AS sc
 )
 def traj_ntokens(spark, d):
     """Mean cross-entropy by length of post."""
-    rows = posts(spark, d).select("post_id", F.size("text").alias("ntokens"))
-    scored = katz.entropies(posts(spark, d), _fitted(spark, d)).join(rows, "post_id")
+    rows, model = _fitted(spark, d)
+    scored = katz.entropies(rows, model).join(rows.select("post_id", F.size("text").alias("ntokens")), "post_id")
     got = trajectory.weighted(trajectory.by_bin(scored, trajectory.ntokens_stage(200)), "ntokens", 200, 10, "ntokens")
     return rounded(got, "score", "avg_ntokens", digits=5)
 
@@ -229,7 +233,7 @@ src AS (SELECT month, post_id, text FROM sp), {model_sql("month", 20)}"""
 
 def _monthly(spark, d):
     scratch = Scratch(spark, "months")
-    rows = posts(spark, d)
+    rows = scratch.save(posts(spark, d), "posts")
     sampled = scratch.save(snapshots.sample(rows, MONTHLY, 7), "sample")
     return rows, sampled, snapshots.fit(sampled, MONTHLY, keep=scratch.save)
 
@@ -261,7 +265,7 @@ def progressive_wide(spark, d):
 @query()
 def grid_search(spark, d):
     """Entropy of the validation documents for combinations of parameters."""
-    rows = sampling.split(posts(spark, d), "post_id")
+    rows = Scratch(spark, "grid").save(sampling.split(posts(spark, d).select("grp", "post_id", "text"), "post_id"), "posts")
     return katz.grid_search(rows.where("part = 'train'"), rows.where("part = 'validation'"), ["grp"], [500, 2000], [0.5], [0.9], keep=Scratch(spark, "grid").save)
 
 

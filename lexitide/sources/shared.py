@@ -21,6 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as shuffles have, if its files give fewer: for work that outweighs moving the rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 class Scratch:
     """Tables under a folder of their own: they cut the lineage and survive lost executors."""
 
