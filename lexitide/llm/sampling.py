@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from lexitide.llm.common import splitmix
 
 MARK = "▁"
 SEED, SHARPNESS = 7, 1.0
-#: Arcs of unit lattices that a worker keeps, and units drawn at a time.
-ARCS, UNITS = 3_000_000, 1 << 18
-#: Bytes up to which units share the nodes of their beginnings, and natural log of the least weight their sums may reach.
+#: Arcs of unit lattices that a worker keeps, units drawn at a time, and new lattices built at a time.
+ARCS, UNITS, NEW = 8_000_000, 1 << 18, 1 << 15
+#: Bytes up to which lattices are built side by side, and natural log of the least weight their sums may reach.
 SHARED, LEAST_LOG = 48, -600.0
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 
@@ -65,170 +66,269 @@ class Lattice:
                 rank = -sp.get_score(i)
                 weight = -sharpness * math.log((rank if 0 <= rank < n else n) + 2.7)
                 self.pieces[body] = (i, weight, math.exp(weight))
+        self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)])
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.pieces):
             raise ValueError("a piece crosses the places where units are cut")
-        self.longest = max(map(len, self.pieces))
-        self.tails: dict = {}  # the pieces as a tree from their last characters
-        for body, got in self.pieces.items():
-            branch = self.tails
-            for c in reversed(body):
-                branch = branch.setdefault(c, {})
-            branch[""] = got
+        self._tree()
+        self.sizes = np.array([len(t) for t in self.text])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
         self.byte_weight = -sharpness * math.log(n + 2.7)
         self.shared = min(SHARED, int(LEAST_LOG / self.byte_weight)) if self.byte_weight else SHARED
         self.clear()
 
+    def _tree(self) -> None:
+        """The pieces as a tree from their last characters: node * characters + character leads to a node, by open addressing."""
+        chars = sorted({c for p in self.pieces for c in p})
+        self.classes = np.zeros(0x110000, np.int32)  # 0: in no piece
+        for i, c in enumerate(chars, 1):
+            self.classes[ord(c)] = i
+        index, self.width = {c: i for i, c in enumerate(chars, 1)}, len(chars) + 1
+        steps: dict[int, int] = {}
+        ends, weights = [-1], [0.0]
+        self.tails: dict = {}
+        for body, got in self.pieces.items():
+            at, branch = 0, self.tails
+            for c in reversed(body):
+                key = at * self.width + index[c]
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                    weights.append(0.0)
+                at = steps[key]
+                found = branch.setdefault(c, [{}, None])
+                branch = found[0]
+            found[1] = got
+            ends[at], weights[at] = got[0], got[2]
+        self.piece_at, self.weight_at = np.array(ends, np.int32), np.array(weights)
+        self.bits = max(4, (4 * len(steps)).bit_length())
+        self.slots, self.leads = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        keys, to = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = keys[free]  # of several the last one gets the slot
+            in_ = self.slots[at] == keys
+            self.leads[at[in_]] = to[in_]
+            keys, to, at = keys[~in_], to[~in_], (at[~in_] + 1) & ((1 << self.bits) - 1)
+        self.root = self._step(np.zeros(self.width, np.int64), np.arange(self.width))
+        self.single = np.concatenate(([False], self.piece_at[self.root[1:]] >= 0)) if self.width > 1 else np.zeros(1, bool)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Where the tree leads from nodes by characters; 0 for nowhere."""
+        keys = node * self.width + char
+        at = self._slot(keys)
+        got = self.slots[at]
+        out = np.where(got == keys, self.leads[at], 0)
+        left = np.flatnonzero((got != keys) & (got >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            got = self.slots[at[left]]
+            hit = got == keys[left]
+            out[left[hit]] = self.leads[at[left[hit]]]
+            left = left[~hit & (got >= 0)]
+        return out
+
     def clear(self) -> None:
-        self.ends: dict[str, int] = {"": -1}
-        self.alpha: list[float] = []
-        self.new_keys: list[float] = []
-        self.new_prev: list[int] = []
-        self.new_id: list[int] = []
-        self.keys, self.prev, self.ids = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32)
-
-    def end(self, unit: str) -> int:
-        """The node at the unit's end; nodes below 0 are begins, and arcs lead back to those."""
-        got = self.ends.get(unit)
-        return self.build(unit) if got is None else got
-
-    def build(self, unit: str) -> int:
-        if len(unit) <= self.shared and (unit.isascii() or len(unit.encode("utf-8", "surrogatepass")) <= self.shared):
-            return self.build_short(unit)
-        return self.build_long(unit)
-
-    def build_short(self, unit: str) -> int:
-        """What lies before a place depends on the text before it only, so units share the nodes of equal beginnings."""
-        ends, alpha = self.ends, self.alpha
-        done = len(unit) - 1
-        while unit[:done] not in ends:
-            done -= 1
-        at = [-1] * (len(unit) + 1)
-        for i in range(max(1, done + 1 - self.longest), done + 1):
-            at[i] = ends[unit[:i]]
-        pieces, tails, keys, prev, ids = self.pieces, self.tails, self.new_keys, self.new_prev, self.new_id
-        for j in range(done + 1, len(unit) + 1):
-            total, runs = 0.0, []
-            c = unit[j - 1]
-            if c not in pieces:
-                data, back, weight = c.encode("utf-8", "surrogatepass"), at[j - 1], math.exp(self.byte_weight)
-                total = alpha[back] if back >= 0 else 1.0
-                for b in data[:-1]:
-                    total *= weight
-                    keys.append(len(alpha) + 1.0)
-                    prev.append(back)
-                    ids.append(self.bytes[b])
-                    back = len(alpha)
-                    alpha.append(total)
-                total *= weight
-                runs.append(total)
-                prev.append(back)
-                ids.append(self.bytes[data[-1]])
-            i, branch = j - 1, tails
-            while i >= 0:
-                branch = branch.get(unit[i])
-                if branch is None:
-                    break
-                got = branch.get("")
-                if got is not None:
-                    back = at[i]
-                    total += got[2] * alpha[back] if back >= 0 else got[2]
-                    runs.append(total)
-                    prev.append(back)
-                    ids.append(got[0])
-                i -= 1
-            node = len(alpha)
-            if len(runs) > 1:
-                runs.pop()
-                keys += [node + x / total for x in runs]
-            keys.append(node + 1.0)
-            alpha.append(total)
-            at[j] = ends[unit[:j]] = node
-        return at[-1]
-
-    def build_long(self, unit: str) -> int:
-        """The same in logs, which no length exhausts, with nodes of its own."""
-        alpha, at = self.alpha, [-1] * (len(unit) + 1)
-        pieces, tails, keys, prev, ids = self.pieces, self.tails, self.new_keys, self.new_prev, self.new_id
+        self.ends: dict[str, int] = {}
+        # Arcs lie node by node; low is the share of a node's weight that its earlier arcs hold, last a node's last arc.
+        self.low, self.prev, self.ids, self.last = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.n_arcs = self.n_nodes = 0
+
+    def nodes(self, units: list[str]) -> np.ndarray:
+        """The node at each unit's end; nodes below 0 are begins, and arcs lead back to those."""
+        get = self.ends.get
+        at = np.fromiter(map(get, units, repeat(-2)), np.int64, len(units))
+        new = np.flatnonzero(at == -2).tolist()
+        if new:
+            fresh = list(dict.fromkeys(units[i] for i in new))
+            long = [u for u in fresh if 4 * len(u) > self.shared and self._is_long(u)]
+            once = {}
+            for u in long:
+                once[u] = self._add(*self.build_long(u))[0]
+            short = [u for u in fresh if u not in once] if long else fresh
+            for a in range(0, len(short), NEW):
+                part = short[a : a + NEW]
+                self.ends.update(zip(part, self._add(*self.build_short(part)).tolist(), strict=True))
+            at[new] = np.fromiter((once[u] if u in once else get(u) for u in map(units.__getitem__, new)), np.int64, len(new))
+        return at
+
+    def _is_long(self, unit: str) -> bool:
+        return len(unit) > self.shared or (not unit.isascii() and len(unit.encode("utf-8", "surrogatepass")) > self.shared)
+
+    def _add(self, low: np.ndarray, prev: np.ndarray, ids: np.ndarray, arcs: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Appends nodes with so many arcs each, numbered from 0 among themselves; the numbers that ends have now."""
+        base, offset, n, m = self.n_nodes, self.n_arcs, len(arcs), len(low)
+        self.low = _room(self.low, offset, m)
+        self.prev = _room(self.prev, offset, m)
+        self.ids = _room(self.ids, offset, m)
+        self.last = _room(self.last, base, n)
+        self.low[offset : offset + m] = low
+        self.prev[offset : offset + m] = np.where(prev < 0, -1, prev + base)
+        self.ids[offset : offset + m] = ids
+        self.last[base : base + n] = offset - 1 + np.cumsum(arcs)
+        self.n_nodes, self.n_arcs = base + n, offset + m
+        return ends + base
+
+    def build_short(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """All lattices side by side: pieces are found backwards from every character, weights summed place by place."""
+        size = np.array([len(u) for u in units])
+        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        char, n, stop = self.classes[code], len(code), np.cumsum(size)
+        place = np.arange(n) - np.repeat(stop - size, size)
+        # Characters that are no piece have a node after each of their bytes but the last, and an arc for every byte.
+        plain = np.flatnonzero(~self.single[char])
+        width = np.zeros(n, np.int64)
+        c = code[plain].astype(np.int64)
+        width[plain] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        node = np.cumsum(np.maximum(width, 1)) - 1
+        found = [(plain, np.zeros(len(plain), np.int64))]
+        at, state = np.arange(n), self.root[char].astype(np.int64)
+        for length in range(1, int(size.max(initial=0)) + 1):
+            on = state > 0
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+            is_piece = self.piece_at[state] >= 0
+            found.append((at[is_piece], state[is_piece]))
+            more = place[at] >= length
+            at, state = at[more], state[more]
+            state = self._step(state, char[at - length]).astype(np.int64)
+        length = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        at, state = (np.concatenate(x) for x in zip(*found, strict=True))
+        arcs = np.ones(node[-1] + 1 if n else 0, np.int64)
+        arcs[node] = np.bincount(at, minlength=n)
+        first = np.cumsum(arcs) - arcs
+        low, prev, ids = np.zeros(len(at) + len(arcs) - n), np.empty(len(at) + len(arcs) - n, np.int64), np.empty(len(at) + len(arcs) - n, np.int64)
+        order = np.argsort((place[at] * 64 + length).astype(np.uint16), kind="stable")  # by place, then by length, so later arcs are longer pieces
+        at, state, length = at[order], state[order], length[order]
+        start = at - np.maximum(length, 1)
+        begins = place[at] < np.maximum(length, 1)
+        prev_node = np.where(begins, -1, node[start])
+        weight = np.where(length > 0, self.weight_at[state], math.exp(self.byte_weight) ** width[at])
+        total, rank, before = np.zeros(n), np.zeros(n, np.int64), np.empty(len(at))
+        slot = np.empty(len(at), np.int64)
+        edges = np.flatnonzero(np.diff(place[at] * 64 + length, prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            e = at[a:b]
+            before[a:b], slot[a:b] = total[e], rank[e]
+            total[e] += weight[a:b] if begins[a] else weight[a:b] * total[start[a:b]]
+            rank[e] += 1
+        slot += first[node[at]]
+        low[slot], prev[slot], ids[slot] = before / total[at], prev_node, self.piece_at[state]
+        w = width[plain]
+        before_char = np.where(place[plain] == 0, -1, node[plain - 1])
+        for k in range(4):  # the arcs of bytes
+            of = np.flatnonzero(w > k)
+            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[w[of]] | (c[of] >> 6 * (w[of] - 1)) if k == 0 else 0x80 | ((c[of] >> 6 * (w[of] - 1 - k)) & 0x3F)
+            where = first[node[plain[of]] - w[of] + 1 + k]
+            prev[where] = before_char[of] if k == 0 else node[plain[of]] - w[of] + k
+            ids[where] = self.byte_ids[lead]
+        return low, prev, ids, arcs, node[stop - 1]
+
+    def build_long(self, unit: str) -> tuple[np.ndarray, ...]:
+        """The same in logs, which no length exhausts."""
+        alpha, at = [], [-1] * (len(unit) + 1)
+        low, prev, ids, arcs = [], [], [], []
         for j in range(1, len(unit) + 1):
-            arcs = []
-            i, branch = j - 1, tails
-            while i >= 0:
-                branch = branch.get(unit[i])
-                if branch is None:
-                    break
-                got = branch.get("")
-                if got is not None:
-                    back = at[i]
-                    arcs.append((got[1] + alpha[back] if back >= 0 else got[1], back, got[0]))
-                i -= 1
-            c = unit[j - 1]
-            if c not in pieces:
+            ways = []
+            i, branch = j - 1, self.tails.get(unit[j - 1])
+            if branch is None or branch[1] is None:
                 back = at[j - 1]
                 here = alpha[back] if back >= 0 else 0.0
-                data = c.encode("utf-8", "surrogatepass")
+                data = unit[j - 1].encode("utf-8", "surrogatepass")
                 for b in data[:-1]:
                     here += self.byte_weight
-                    keys.append(len(alpha) + 1.0)
+                    low.append(0.0)
                     prev.append(back)
                     ids.append(self.bytes[b])
+                    arcs.append(1)
                     back = len(alpha)
                     alpha.append(here)
-                arcs.append((here + self.byte_weight, back, self.bytes[data[-1]]))
-            node, top = len(alpha), max(arcs)[0]
-            weights = [math.exp(a[0] - top) for a in arcs]
+                ways.append((here + self.byte_weight, back, self.bytes[data[-1]]))
+            while branch is not None:
+                got = branch[1]
+                if got is not None:
+                    back = at[i]
+                    ways.append((got[1] + alpha[back] if back >= 0 else got[1], back, got[0]))
+                i -= 1
+                if i < 0:
+                    break
+                branch = branch[0].get(unit[i])
+            top = max(ways)[0]
+            weights = [math.exp(a[0] - top) for a in ways]
             total, run = sum(weights), 0.0
-            for w, (_, back, piece) in zip(weights, arcs, strict=True):
-                run += w
-                keys.append(node + run / total)
+            for w, (_, back, piece) in zip(weights, ways, strict=True):
+                low.append(run / total)
                 prev.append(back)
                 ids.append(piece)
-            keys[-1] = node + 1.0
+                run += w
+            arcs.append(len(ways))
+            at[j] = len(alpha)
             alpha.append(top + math.log(total))
-            at[j] = node
-        return at[-1]
+        return np.array(low), np.array(prev), np.array(ids), np.array(arcs), np.array([at[-1]])
+
+    def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The arc of each node that u in [0, 1) falls on. Only the node's own shares are compared, wherever its arcs lie."""
+        arc = self.last[node].astype(np.int64)
+        back = np.flatnonzero(u < self.low[arc])
+        while len(back):  # longer pieces, which are likelier, come last
+            arc[back] -= 1
+            back = back[u[back] < self.low[arc[back]]]
+        return arc
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The text of ids joined, as bytes."""
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.starts[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def settle(self) -> None:
-        """Makes arrays of the arcs built since the last time."""
-        if self.new_keys:
-            self.keys = np.concatenate((self.keys, self.new_keys))
-            self.prev = np.concatenate((self.prev, np.array(self.new_prev, np.int32)))
-            self.ids = np.concatenate((self.ids, np.array(self.new_id, np.int32)))
-            self.new_keys, self.new_prev, self.new_id = [], [], []
+
+def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """x if it has room for more beyond what is used, else a copy of twice that."""
+    if used + more <= len(x):
+        return x
+    out = np.empty(2 * (used + more), x.dtype)
+    out[:used] = x[:used]
+    return out
 
 
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
     x = splitmix(seed + np.uint64(step * 0xD1342543DE82EF95 & (1 << 64) - 1))
-    return np.minimum((x >> np.uint64(11)).astype(np.float64) / (1 << 53), 1 - 1e-8)
+    return (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
 
 def draw(lattice: Lattice, texts: list[str], keys: list, seed: int = SEED) -> list[np.ndarray]:
     """A segmentation of each text, as piece ids."""
-    if len(lattice.keys) > ARCS:
+    if lattice.n_arcs > ARCS:
         lattice.clear()
-    ends, counts = [], []
+    units, counts = [], []
     for text in texts:
-        units = _UNIT.findall(text)
-        counts.append(len(units))
-        ends += map(lattice.end, units)
-    lattice.settle()
+        found = _UNIT.findall(text)
+        counts.append(len(found))
+        units += found
+    node = lattice.nodes(units)
     counts = np.array(counts, int)
     first = np.concatenate(([0], np.cumsum(counts)))
     rows = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys], np.uint64)
     order = np.arange(first[-1]) - np.repeat(first[:-1], counts)
     seeds = splitmix(np.repeat(rows, counts) + order.astype(np.uint64))
-    node, live, steps = np.array(ends, np.int64), np.arange(first[-1]), []
+    live, steps = np.arange(first[-1]), []
     pieces = np.zeros(first[-1], np.int64)
     while len(live):
-        arc = np.searchsorted(lattice.keys, node + _uniform(seeds[live], len(steps)), "right")
-        steps.append((live, arc))
+        arc = lattice.choose(node, _uniform(seeds, len(steps)))
+        steps.append((live, lattice.ids[arc]))
         pieces[live] += 1
-        node = lattice.prev[arc].astype(np.int64)
-        on = node >= 0
-        live, node = live[on], node[on]
+        node = lattice.prev[arc]
+        on = np.flatnonzero(node >= 0)
+        live, node, seeds = live[on], node[on], seeds[on]
     start = np.concatenate(([0], np.cumsum(pieces)))
     out = np.empty(start[-1], np.int32)
-    for s, (who, arc) in enumerate(steps):
-        out[start[who + 1] - 1 - s] = lattice.ids[arc]
+    for s, (who, ids) in enumerate(steps):
+        out[start[who + 1] - 1 - s] = ids
     edges = start[first]
     return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
@@ -237,6 +337,16 @@ def decode(lattice: Lattice, ids) -> str:
     return b"".join(map(lattice.text.__getitem__, ids)).decode("utf-8", "surrogatepass")
 
 
+def lossless(lattice: Lattice, flat: np.ndarray, rows: list[np.ndarray], texts: list[str | None]) -> list[bool | None]:
+    """Whether each row's ids decode to its text; flat is the rows joined. All hold if the whole is equal and the rows end at the same bytes."""
+    want = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    done = np.concatenate(([0], np.cumsum(lattice.sizes[flat])))
+    ends = done[np.cumsum([len(r) for r in rows])] if rows else done[:0]
+    if (ends == np.cumsum([len(w) for w in want])).all() and lattice.bytes_of(flat).tobytes() == b"".join(want):
+        return [None if t is None else True for t in texts]
+    return [None if t is None else decode(lattice, g.tolist()) == t for t, g in zip(texts, rows, strict=True)]
+
+
 _lattices: dict = {}
 
 
@@ -258,9 +368,9 @@ def _encode(model_file: str, sharpness: float, seed: int):
                     size += len(part[-1] or "")
                     at += 1
                 got = draw(lat, [t or "" for t in part], keys[begin:at], seed)
-                same = [None if t is None else decode(lat, g.tolist()) == t for t, g in zip(part, got, strict=True)]
                 sizes = np.array([len(g) for g in got])
                 flat = np.concatenate(got) if got else np.empty(0, np.int32)
+                same = lossless(lat, flat, got, part)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.array([*(t is None for t in part), False]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[begin:at], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([None if t is None else len(g) for t, g in zip(part, got, strict=True)], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "lossless"])
 

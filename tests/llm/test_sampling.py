@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexitide.llm import sampling
@@ -83,5 +84,44 @@ def test_memory_bound_does_not_change_draws(lattice, monkeypatch):
     assert a == b
 
 
+def test_draws_do_not_depend_on_where_nodes_lie(lattice):
+    """Shares that differ by 2 ** -40 are told apart, whatever a worker has built before."""
+    text = " hello"
+    lattice.clear()
+    node = lattice.nodes([text])
+    arcs = np.arange(lattice.last[node[0] - 1] + 1, lattice.last[node[0]] + 1)
+    cut = lattice.low[arcs[-1]]
+    assert len(arcs) > 1 and 0 < cut < 1
+    near = np.array([cut - 2.0**-40, cut, cut + 2.0**-40])
+    want = lattice.ids[lattice.choose(np.repeat(node, 3), near)].tolist()
+    assert want[0] != want[1] == want[2]
+    lattice.nodes([f" x{i}" for i in range(40_000)])
+    lattice.ends.clear()
+    moved = lattice.nodes([text])
+    assert moved[0] > 100_000
+    assert lattice.ids[lattice.choose(np.repeat(moved, 3), near)].tolist() == want
+
+
+def test_side_by_side_and_one_by_one_agree(lattice, monkeypatch):
+    """Sums place by place over many units and sums in logs, unit by unit, give the same shares."""
+    units = [" hello", "a", " né漢x", "😀", "  two", "ébè", " aaaa"]
+    lattice.clear()
+    for u, end in zip(units, lattice.nodes(units).tolist(), strict=True):
+        low, prev, ids, arcs, ends = lattice.build_long(u)
+        begin = end - int(ends[0])
+        a, b = (lattice.last[begin - 1] + 1 if begin else 0), lattice.last[end] + 1
+        assert np.diff(np.concatenate(([a - 1], lattice.last[begin : end + 1]))).tolist() == arcs.tolist()
+        assert lattice.ids[a:b].tolist() == ids.tolist() and np.allclose(lattice.low[a:b], low)
+        assert np.where(lattice.prev[a:b] < 0, -1, lattice.prev[a:b] - begin).tolist() == prev.tolist()
+
+
+def test_the_check_of_decoding_sees_shifted_rows(lattice):
+    a, b = sampling.draw(lattice, ["one two", "three"], [1, 2])
+    flat = np.concatenate((a, b))
+    assert sampling.lossless(lattice, flat, [a, b], ["one two", "three"]) == [True, True]
+    assert sampling.lossless(lattice, flat, [flat[:1], flat[1:]], ["one two", "three"]) == [False, False]
+    assert sampling.lossless(lattice, flat, [a, b], ["one two", "thre!"]) == [True, False]
+
+
 def test_empty_table(spark):
     assert sampling.sample(rows.frame(spark, [])).count() == 0
