@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The session's checkpoint folder; one of our own only in local mode, where driver and executors are one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lexitide-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -28,21 +30,43 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables under a folder of their own: they cut the lineage and survive lost executors."""
+    """Tables under a folder of their own: they cut the lineage and survive lost executors.
+
+    A result may read them whenever it is asked for, so what is not dropped before goes at the end of the process.
+    """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.names: set[str] = set()
+        atexit.register(self.clear)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _delete(self, path: str) -> None:
+        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self._conf).delete(p, True)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing will read again."""
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(self.path(name))
+            self.names.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Drops all saved tables but those that the result still reads."""
+        self.drop(*(self.names - set(names)))
+
+    def clear(self) -> None:
+        """Deletes the whole folder; whoever ended the JVM before has to do it by hand."""
+        atexit.unregister(self.clear)
+        try:
+            self._delete(self.root)
+        except Exception:  # the JVM is gone
+            return
