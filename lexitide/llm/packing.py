@@ -8,8 +8,9 @@
 3. A piece's rank among those of its length is its number plus a running sum over tasks. Each place
    of a pattern owns an interval of ranks, so a search in a small bounded table yields the sequence.
 
-Tokens come from the public byte-level BPE, run from its ranks; only texts with the start of a special
-string go through the slower full tokeniser, which knows it.
+Tokens come from the public byte-level BPE, run from its ranks. Texts with the start of a special string,
+or with a run of white space so long that the fast encoder's pattern could not step back from its end,
+go through the slower full tokeniser; the ids are the same.
 
 Defined cases: null or empty texts have one piece of one id; a null doc_id stays null; repeated rows
 are packed each for itself; ties between packs go to the older pattern; an empty table gives no
@@ -18,6 +19,7 @@ pieces; of further columns none is read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from lexitide.llm.common import Scratch, broadcast_if_small
 
 MAX_LEN = 1024
+#: Characters of white space in a row that the fast encoder is not given.
+SPACES = 20_000
+_SPACE = re.compile(r"\s+")
 
 
 class Tokens:
@@ -46,7 +51,7 @@ class Tokens:
         self.json_file, self.full = json_file, None
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:  # the vocabulary's special string: the full tokeniser knows it
+        if "<|" in text or self._long_space(text):
             if self.full is None:
                 from tokenizers import Tokenizer
 
@@ -57,6 +62,11 @@ class Tokens:
         return np.array(ids, "<u4").tobytes()
 
 
+    @staticmethod
+    def _long_space(text: str) -> bool:
+        return len(text) >= SPACES and any(m.end() - m.start() >= SPACES for m in _SPACE.finditer(text))
+
+
 _tokens: dict = {}
 
 

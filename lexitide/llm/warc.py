@@ -6,8 +6,12 @@ identifier derived from what it says (so a repeated task writes the same one), a
 block and payload. ``read_warc`` reads such archives back by declared lengths.
 
 Archives are written with Spark's text writer, whose line end is the end of a WARC record: files
-commit as any other output does, to any file system. ``revisit`` records keep the HTTP header and
-not the payload, and name the record that has it.
+commit as any other output does, to any file system. A file ends with the record that takes it to
+FILE_BYTES, so readers, which take whole files, need bounded memory. ``revisit`` records keep the HTTP
+header and not the payload, and name the record that has it.
+
+A version block is known by its place (the first line of an archive) or, where archives were joined, by
+its text; a page may have any url, also one that looks like a version block's.
 
 Defined cases: a null html is an empty payload, a null url becomes ``urn:page:<id>``; a null page_id
 stays null and is never what others refer to; repeated rows of the smallest page_id are all response;
@@ -34,8 +38,8 @@ V2 = ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "
 END = "\r\n\r\n"
 #: Payloads shorter than this are stored again instead of being referred to.
 LEAST = 100
-#: Records in a file, so that readers can share the work.
-FILE_RECORDS = 4000
+#: Bytes at which a file ends.
+FILE_BYTES = 16 << 20
 
 
 @dataclass
@@ -47,6 +51,7 @@ class Arc:
     body: bytes
     version: int = 1
     truncated: bool = False
+    head: bool = False  # the version block
     extra: dict = field(default_factory=dict)
 
 
@@ -64,17 +69,20 @@ def write_arc(records: list[Arc], version: int = 1, name: str = "pages.arc", dat
     return b"".join(out)
 
 
+_VERSION = re.compile(rb"\s*[12] \d+ [^\n]*\nURL IP-address ")
+
+
 def parse_arc(data: bytes) -> Iterator[Arc]:
     """The records of an ARC file, its version block first. The url may hold spaces: the other fields count from the right."""
     at, fields, version = 0, V1, 1
     while at < len(data):
-        stop = data.find(b"\n", at)
+        begin, stop = at, data.find(b"\n", at)
         if stop < 0:
             return
         line, at = data[at:stop].decode("utf-8", "replace").rstrip("\r"), stop + 1
         if not line:
             continue
-        first = line.startswith("filedesc://")
+        first = line.startswith("filedesc://") and (begin == 0 or _VERSION.match(data, at) is not None)
         tries = (V2, V1) if first else (fields,)
         for names in tries:
             parts = line.rsplit(" ", len(names) - 1)
@@ -89,7 +97,7 @@ def parse_arc(data: bytes) -> Iterator[Arc]:
         if first:
             version = 2 if body.lstrip()[:1] == b"2" else 1
             fields = V2 if version == 2 else V1
-        yield Arc(values["url"], values["ip"], values["date"], values["type"], body, version, len(body) < length, {k: v for k, v in values.items() if k not in V1})
+        yield Arc(values["url"], values["ip"], values["date"], values["type"], body, version, len(body) < length, first, {k: v for k, v in values.items() if k not in V1})
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -116,7 +124,7 @@ def to_warc(arc: Arc, extra: dict[str, str] | None = None, refers: dict[str, str
     header, payload = split_http(arc.body)
     digest = hashlib.sha256(payload).hexdigest()
     kind, content = "resource", arc.type or "application/octet-stream"
-    if arc.url.startswith("filedesc:"):
+    if arc.head:
         kind, content = "warcinfo", "application/warc-fields"
     elif header:
         kind, content = "response", "application/http; msgtype=response"
@@ -150,31 +158,40 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += len(END)
 
 
-def _archive(crawl: str, ip: str):
+def _archive(crawl: str, ip: str, file_bytes: int):
+    """Rows of joined records, each a file of its own; only the last of a task is smaller than file_bytes."""
+
     def run(batches):
-        first = True
+        end = END.encode()
+        info, out, size = True, [], 0
         for n, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
-            pages, urls, html, heads = (c.to_pylist() for c in batch.columns[:4])
-            arcs = []
-            for page, url, body in zip(pages, urls, html, strict=True):
-                body = body or b""
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                arcs.append(Arc(url or f"urn:page:{page}", ip, crawl, "text/html", http + body))
-            out = []
-            rows = iter(zip(pages, heads, strict=True))
-            for arc in parse_arc(write_arc(arcs, 1 + n % 2, date=crawl)):
-                if arc.url.startswith("filedesc:"):
-                    if first:
-                        out.append(to_warc(arc))
-                    first = False
-                    continue
-                page, head = next(rows)
-                extra = {"X-Page-Id": "" if page is None else str(page), "X-Arc-Version": str(arc.version)}
-                refers = None if head is None or head == page else {"WARC-Refers-To": record_id("page", head, crawl), "X-Refers-To-Page-Id": str(head)}
-                out.append(to_warc(arc, extra, refers, record_id("page", page, crawl) if page is not None else None))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            pages, urls, html, heads = batch.columns[:4]
+            at = 0
+            while at < batch.num_rows:  # an archive of about file_bytes at a time
+                arcs, ids, held = [], [], 0
+                while at < batch.num_rows and held < file_bytes:
+                    page, url, body = pages[at].as_py(), urls[at].as_py(), html[at].as_py() or b""
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+                    arcs.append(Arc(url or f"urn:page:{page}", ip, crawl, "text/html", http + body))
+                    ids.append((page, heads[at].as_py()))
+                    held += len(body)
+                    at += 1
+                head, *records = parse_arc(write_arc(arcs, 1 + n % 2, date=crawl))
+                if info:
+                    out.append(to_warc(head))
+                    info = False
+                for given, arc, (page, first) in zip(arcs, records, ids, strict=True):
+                    if arc.body != given.body:
+                        raise ValueError(f"page {page} did not come back from its archive")
+                    extra = {"X-Page-Id": "" if page is None else str(page), "X-Arc-Version": str(arc.version)}
+                    refers = None if first is None or first == page else {"WARC-Refers-To": record_id("page", first, crawl), "X-Refers-To-Page-Id": str(first)}
+                    out.append(to_warc(arc, extra, refers, record_id("page", page, crawl) if page is not None else None))
+                    size += len(out[-1])
+                    if size >= file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([end.join(out)], pa.binary())], ["value"])
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(out)], pa.binary())], ["value"])
 
     return run
 
@@ -204,16 +221,16 @@ def _read(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
-def write_pages(pages: DataFrame, path: str, scratch: Scratch, crawl: str = "20240101000000", ip: str = "0.0.0.0") -> None:
-    """Writes pages(page_id, url, html) as WARC files; equal payloads of LEAST bytes or more are stored once."""
+def write_pages(pages: DataFrame, path: str, scratch: Scratch, crawl: str = "20240101000000", ip: str = "0.0.0.0", file_bytes: int = FILE_BYTES) -> None:
+    """Writes pages(page_id, url, html) as WARC files of file_bytes and one record more at most; equal payloads of LEAST bytes or more are stored once."""
     body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("body"), F.sha2(body, 256).alias("digest"))
     groups = pages.where(F.length("body") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("head"), F.count("*").alias("n"))
     heads = scratch.save(groups.where("n > 1 AND head IS NOT NULL").select("digest", "head"), "heads")
     few = broadcast_if_small(heads, heads.count(), 160)
     rows = pages.join(few, "digest", "left").select("page_id", "url", "body", "head")
-    records = rows.mapInArrow(_archive(crawl, ip), "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = rows.mapInArrow(_archive(crawl, ip, file_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
+    records.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_pages(spark, path: str) -> DataFrame:

@@ -56,6 +56,13 @@ def test_edge_rows(spark, tokenizer):
     check(packing.pack(df).collect(), data, tokenizer)
 
 
+@pytest.mark.parametrize("text", [" " * 10**7, "\n" * 10**6, "a" + " \n\t\x0b" * 400_000 + "b", "x\u00a0" + "\u3000" * 1_000_000, "word " * 100_000 + " " * 30_000 + "!"])
+def test_long_white_space_has_the_same_ids(tokenizer, text):
+    """The fast encoder alone ends the process on a million spaces."""
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.tokens(packing.public_files()).encode(text) == np.array(ids, "<u4").tobytes()
+
+
 def test_whole_table_with_little_padding(spark, tokenizer):
     d = "/root/testdata/sf0.01"
     data = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]

@@ -75,3 +75,28 @@ def test_empty_table(spark, tmp_path):
 
 def test_matches_sql(spark):
     assert oracle.differences(warc.op3(spark, oracle.DATA), oracle.connect(), warc.ORACLES["op3_warc"]) == []
+
+
+def test_a_page_may_look_like_a_version_block(spark):
+    """Any url is a page's own; every page keeps its payload and its id."""
+    urls = ["http://a/", "filedesc://x", "filedesc://pages.arc 0.0.0.0 20240101000000 text/plain 12", "dns:x", None, "filedesc:y\n1 0 z"]
+    data = [(i, u, f"{i} " + "z" * 150) for i, u in enumerate(urls)]
+    scratch = Scratch(spark, "t")
+    warc.write_pages(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), scratch.path("archive"), scratch)
+    got = {r["page_id"]: (r["payload_digest"], r["record_type"]) for r in warc.read_pages(spark, scratch.path("archive")).collect()}
+    assert got == {i: (hashlib.sha256(t.encode()).hexdigest(), "response") for i, _, t in data}
+
+
+def test_joined_archives_have_two_version_blocks():
+    got = list(warc.parse_arc(warc.write_arc(arcs(), 1) + warc.write_arc(arcs(), 2)))
+    assert [r.head for r in got] == [True, *[False] * 4] * 2
+    assert [r.version for r in got] == [1] * 5 + [2] * 5
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    data = [(i, f"http://{i}/", f"{i} " + "y" * 30_000) for i in range(60)]
+    path = f"file://{tmp_path}/archive"
+    warc.write_pages(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(2), path, Scratch(spark, "t"), file_bytes=100_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "archive").glob("part-*")]
+    assert len(sizes) >= 12 and max(sizes) < 140_000
+    assert sorted(r["page_id"] for r in warc.read_pages(spark, path).collect()) == list(range(60))
