@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each step is one aggregate, written to the shared folder, and one equi-join of two tables there: no
-aggregate shares the join's shuffle, so adaptive execution can split a node with very many links. Nothing is collected but two numbers a
-round, which tell whether the table still changes.
+aggregate shares the join's shuffle, so adaptive execution can split a node with very many links. Nothing is
+collected but a row of three numbers a round, the count of the distinct links and two hashes of them joined
+by exclusive or, which any order and any ids give alike: they tell whether the table still changes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def _star(scratch: Scratch, edges: DataFrame, name: str, large: bool) -> DataFra
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b")).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first())
 
 
 def components(scratch: Scratch, links: DataFrame, name: str, rounds: int = 100) -> DataFrame:

@@ -8,19 +8,25 @@ that distance share such a key, whatever the size of the bucket.
 
 1. features: one pass over whole texts gives set size, 128-bit set fingerprint and signature.
 2. Equal sets fold into the one with the smallest doc_id before any join, so copies cost one row each.
-3. Keys of the distinct sets are sorted; each bucket compares its signatures in memory, block-free up
-   to BUCKET members, and links its members into candidate groups (a spanning forest, not pairs).
-   Larger buckets are linked as a star: a coarser candidate group, never a lost pair.
-4. Candidate groups are verified on full shingle sets. Large groups are dealt into blocks, every pair
-   of blocks is one unit of work, and only a spanning forest of the confirmed links leaves it.
+3. Keys of the distinct sets are sorted; a bucket of up to BUCKET members compares its signatures in
+   memory and links those within the distance (a spanning forest, not pairs). Fuller buckets are found by
+   a count first and never gathered: all members are tested against the least one in a join, and what is
+   too far from it meets every member block by block.
+4. Links make candidate groups. A group of up to MEMBERS documents and BLOCK shingles is one unit of work
+   that compares all its full shingle sets. Larger ones fold first: every document meets the least one it
+   was linked to, in units of that many, then the least of each class so found meet each other. Mostly
+   one class is left and all is done. Else the documents outside the largest class meet each other and
+   that class, block by block; members of the largest class never meet again. So sets move once or twice
+   a document where copies resemble each other, and (documents / MEMBERS) times only those that do not
+   resemble the rest of their candidate group. Only spanning forests of confirmed links leave the units.
 5. Components of the confirmed links, joined back to all documents by fingerprint.
 
 Defined cases: null or empty texts, and texts without words, have an empty set, are linked with nothing
-and kept; fewer words than a shingle make one shingle; rows with equal doc_id are one node; a null
-doc_id is linked with nothing and kept; very long texts are taken whole; an empty table gives an
-empty result; of further columns none is read, so clashing names do not matter. Shingles are
-compared by 64-bit hashes: two different ones of a pair of documents coincide with a chance near
-n * n / 2 ** 64.
+and kept; fewer words than a shingle make one shingle; rows with equal doc_id are one node, whatever
+their texts, and share a component; a null doc_id is linked with nothing and kept; very long texts are
+taken whole; an empty table gives an empty result; of further columns none is read, so clashing names do
+not matter. Shingles are compared by 64-bit hashes: two different ones of a pair of documents coincide
+with a chance near n * n / 2 ** 64.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.llm.common import Scratch, broadcast_if_small, runs, splitmix
@@ -38,9 +44,10 @@ from lexitide.llm.components import components, forest
 
 CHUNKS, WIDTH = 8, 5
 SYMBOLS = CHUNKS * WIDTH
+#: Members up to which a bucket is compared in memory; fuller ones meet in blocks of as many.
 BUCKET = 4096
-#: Shingles in a block of a candidate group; a unit of verification reads two blocks.
-BLOCK = 150_000
+#: Documents and shingles in a block of a candidate group; a unit of verification reads two blocks.
+MEMBERS, BLOCK = 256, 150_000
 #: Shingles that are hashed at a time.
 SLICE = 1 << 20
 
@@ -144,13 +151,12 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).reshape(-1).view(np.int64)), rep(batch.column(0).to_numpy()), rep(sk[:, 0]), rep(sk[:, 1])], ["key", "doc", "s1", "s2"])
 
 
-def _bucket_links(limit: int):
+def _bucket_links(limit: int, keys: tuple[str, ...] = ("key",)):
+    """Links (a, b) within each run of equal keys, which are at most two blocks."""
+
     def links(doc, s1, s2):
         if len(doc) == 2:
             return (doc[:1], doc[1:]) if _apart(s1[0], s1[1]) + _apart(s2[0], s2[1]) <= limit else (doc[:0], doc[:0])
-        if len(doc) > BUCKET:
-            least = doc.min()
-            return doc[doc != least], np.full((doc != least).sum(), least)
         near = np.zeros((len(doc), len(doc)), bool)
         for a in range(0, len(doc), 512):
             near[a : a + 512] = _apart(s1[a : a + 512, None], s1[None]) + _apart(s2[a : a + 512, None], s2[None]) <= limit
@@ -159,7 +165,7 @@ def _bucket_links(limit: int):
 
     def run(batches):
         seen: set = set()  # links repeat from key to key; what a task has emitted, it skips while it remembers it
-        for t in runs(batches, ["key"]):
+        for t in runs(batches, list(keys)):
             if t.num_rows < 2:
                 continue
             doc, s1, s2 = (t.column(c).to_numpy() for c in ("doc", "s1", "s2"))
@@ -191,23 +197,23 @@ def _bucket_links(limit: int):
         if carry is not None and carry.num_rows > 1:
             yield carry
 
-    return lambda batches: run(lone_free(batches))
+    return (lambda batches: run(lone_free(batches))) if len(keys) == 1 else run
+
 
+def _sets(size: int, columns: int):
+    """The columns before the last as they are, and the set of the text in the last."""
 
-def _sets(size: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(4).cast(pa.binary())
-            for i in range(batch.num_rows):
-                s = shingles(texts[i].as_py(), size)
-                comp, doc, block, blocks = (batch.column(c)[i].as_py() for c in range(4))
-                lo = np.minimum(np.arange(blocks), block)
-                hi = np.maximum(np.arange(blocks), block)
-                full = lambda x, t: pa.array([x] * blocks, t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [full(comp, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), full(doc, pa.int64()), full(block, pa.int64()), full(s.tobytes(), pa.binary())],
-                    ["comp", "lo", "hi", "doc", "block", "set"],
-                )
+            texts = batch.column(columns).cast(pa.binary())
+            at = 0
+            while at < batch.num_rows:
+                sets, held, first = [], 0, at
+                while at < batch.num_rows and held < SLICE:
+                    sets.append(shingles(texts[at].as_py(), size).tobytes())
+                    held += len(sets[-1]) // 8
+                    at += 1
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, at - first) for c in range(columns)), pa.array(sets, pa.binary())], [*batch.schema.names[:columns], "set"])
 
     return run
 
@@ -247,18 +253,19 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+UNIT = ["group", "lo", "hi"]
+
+
 def _confirm(percent: int):
     def run(batches):
-        for t in runs(batches, ["comp", "lo", "hi"]):
+        for t in runs(batches, UNIT):
             if t.num_rows < 2:
                 continue
-            doc, block = t.column("doc").to_numpy(), t.column("block").to_numpy()
+            doc = t.column("doc").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             n = np.array([len(s) for s in sets])
             both = overlaps(sets)
             near = 100 * both >= percent * (n[:, None] + n[None] - both)
-            if t.column("lo")[0] != t.column("hi")[0]:
-                near &= block[:, None] != block[None]
             np.fill_diagonal(near, False)
             a, b = forest(near, doc)
             if len(a):
@@ -267,7 +274,96 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of each unit of sets(group, lo, hi, doc, set)."""
+    return sets.select(*UNIT, "doc", "set").repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _meetings(scratch: Scratch, rows: DataFrame, group: str, size: int, name: str, weight: int | None = None) -> DataFrame:
+    """rows(group, doc, main, n, ...) once for each unit (lo, hi) it belongs to: all that is not main meets all else of its group, main rows never meet.
+
+    Blocks hold about size documents, and about weight of the sum of n. Groups without such rows have no units.
+    """
+    parts = lambda kind: F.greatest(F.ceil(F.count_if(kind) / size), F.ceil(F.sum(F.when(kind, F.col("n")).otherwise(0)) / (weight or 1 << 62)))
+    sums = rows.groupBy(group).agg(parts(~F.col("main")).cast("long").alias("__r"), parts(F.col("main")).cast("long").alias("__m")).where("__r > 0")
+    sums = scratch.save(sums, name)
+    dealt = rows.join(broadcast_if_small(sums, sums.count(), 48), group)
+    h = F.xxhash64("doc", F.lit(name))
+    dealt = dealt.withColumn("__me", F.when(F.col("main"), F.col("__r") + F.pmod(h, F.greatest("__m", F.lit(1)))).otherwise(F.pmod(h, F.col("__r"))))
+    last = F.when(F.col("main"), F.col("__r")).otherwise(F.col("__r") + F.col("__m")) - 1
+    dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return dealt.withColumn("lo", F.least("__me", "__o")).withColumn("hi", F.greatest("__me", "__o")).drop("__r", "__m", "__me", "__o")
+
+
+def _candidates(scratch: Scratch, reps: DataFrame, limit: int, bucket: int) -> DataFrame:
+    """Links (a, b) that connect all documents whose signatures are within the distance; stored."""
+    keyed = reps.select("doc", "sig").mapInArrow(_keys, "key long, doc long, s1 long, s2 long")
+    full = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"), "full-keys")
+    rows = full.count()
+    few = broadcast_if_small(full, rows, 16)
+    plain = keyed.join(few, "key", "left_anti") if rows else keyed
+    links = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(limit), "a long, b long")
+    if rows:
+        hot = scratch.save(keyed.join(few, "key", "left_semi"), "full-buckets")
+        least = scratch.save(hot.groupBy("key").agg(F.min(F.struct("doc", "s1", "s2")).alias("l")), "full-least")
+        mask = F.lit(int(_LOW))
+        three = lambda d: F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2))).bitwiseAND(mask))
+        apart = three(F.col("s1").bitwiseXOR(F.col("l.s1"))) + three(F.col("s2").bitwiseXOR(F.col("l.s2")))
+        tested = hot.join(broadcast_if_small(least, rows, 48), "key").select("key", "doc", "s1", "s2", F.lit(1).alias("n"), F.col("l.doc").alias("b"), (apart <= limit).alias("main"))
+        tested = scratch.save(tested, "full-tested")
+        links = links.unionByName(tested.where("main AND doc != b").select(F.col("doc").alias("a"), "b").distinct())
+        met = _meetings(scratch, tested.drop("b"), "key", bucket, "full-blocks").select("key", "lo", "hi", "doc", "s1", "s2")
+        keys = ["key", "lo", "hi"]
+        links = links.unionByName(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links(limit, tuple(keys)), "a long, b long"))
+    links = scratch.save(links, "candidate-links")
+    scratch.drop(*(x for x in ("full-keys", "full-buckets", "full-least", "full-tested", "full-blocks") if x in scratch.names))
+    return links
+
+
+def _fold(scratch: Scratch, docs: DataFrame, wide: DataFrame, links: DataFrame, size: int, percent: int, members: int, block: int) -> DataFrame:
+    """Confirmed links (a, b) of the large groups of wide(component, doc, n); stored, complete up to connection."""
+    few = wide.select("doc")
+    texts = docs.join(broadcast_if_small(few, few.count(), 16), docs.doc_id == F.col("doc"), "inner").select("doc", "text")
+    sets = scratch.save(texts.mapInArrow(_sets(size, 1), "doc long, set binary"), "sets")
+    meet = lambda units, name: scratch.save(_confirmed(units.join(sets, "doc"), percent), name)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """rows(group, doc, n) in units of so many documents and shingles."""
+        sums = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (members - 1)), F.ceil(F.sum("n") / block)).cast("long").alias("__k"))
+        return rows.join(sums, "group").select("group", F.pmod(F.xxhash64("doc", F.lit(3)), "__k").alias("lo"), F.lit(0).cast("long").alias("hi"), "doc")
+
+    def classes(found: DataFrame, name: str) -> DataFrame:
+        got = components(scratch, found, name)
+        return scratch.save(wide.join(got.withColumnRenamed("node", "doc").withColumnRenamed("component", "cls"), "doc", "left").select("component", "doc", "n", F.coalesce("cls", "doc").alias("cls")), f"{name}-classes")
+
+    def still_open(cls: DataFrame, name: str) -> DataFrame:
+        return scratch.save(cls.groupBy("component").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y").select("component"), name)
+
+    # Every document meets the least one it was linked to.
+    lead = links.select(F.greatest("a", "b").alias("doc"), F.least("a", "b").alias("group")).where("doc != group").groupBy("doc").agg(F.min("group").alias("group"))
+    units = scratch.save(dealt(wide.join(lead, "doc").select("group", "doc", "n")), "unit-members")
+    units = units.unionByName(units.select("group", "lo", "hi", F.col("group").alias("doc")).distinct())
+    found = meet(units, "fold-1")
+    cls = classes(found, "fold-1c")
+    left = still_open(cls, "open-1")
+    if not left.isEmpty():
+        # The least of each class meet each other.
+        heads = cls.join(left, "component", "left_semi").where("doc = cls").select(F.col("component").alias("group"), "doc", "n").distinct()
+        found = found.unionByName(meet(dealt(heads), "fold-2"))
+        cls = classes(found, "fold-2c")
+        left = still_open(cls, "open-2")
+    if not left.isEmpty():
+        # What is outside the largest class meets all documents of the group.
+        rest = cls.join(left, "component", "left_semi")
+        sizes = rest.groupBy("component", "cls").agg(F.count("*").alias("k"))
+        largest = sizes.groupBy("component").agg(F.min_by("cls", F.struct(-F.col("k"), "cls")).alias("big"))
+        rows = rest.join(largest, "component").select(F.col("component").alias("group"), "doc", "n", (F.col("cls") == F.col("big")).alias("main"))
+        met = _meetings(scratch, scratch.save(rows, "blocks"), "group", members, "block-sizes", block)
+        found = found.unionByName(meet(met, "cross"))
+    return found
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: int = BLOCK, members: int = MEMBERS, bucket: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -278,20 +374,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
         known.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"), F.count("*").alias("copies")).select("fp", F.col("m.doc_id").alias("doc"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"), "copies"),
         "reps",
     )
-    keyed = reps.select("doc", "sig").mapInArrow(_keys, "key long, doc long, s1 long, s2 long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(reach(percent)), "a long, b long")
-    groups = scratch.save(components(scratch, links, "candidates"), "groups")
-    sized = groups.join(reps.select("doc", "n").groupBy(F.col("doc").alias("node")).agg(F.max("n").alias("n")), "node")
-    blocks = sized.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).cast("long").alias("blocks"))
-    dealt = scratch.save(groups.join(blocks, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "dealt")
-    few = broadcast_if_small(dealt, dealt.count(), 48)
-    texts = docs.join(few, docs.doc_id == few.node).select("component", "node", "block", "blocks", "text")
-    sets = texts.mapInArrow(_sets(size), "comp long, lo long, hi long, doc long, block long, set binary")
-    confirmed = sets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(_confirm(percent), "a long, b long")
+    links = _candidates(scratch, reps, reach(percent), bucket or BUCKET)
+    groups = components(scratch, links, "candidates").withColumnRenamed("node", "doc")
+    groups = scratch.save(groups.join(reps.groupBy("doc").agg(F.max("n").alias("n")), "doc").select("component", "doc", "n"), "groups")
+    large = groups.groupBy("component").agg(F.count("*").alias("d"), F.sum("n").alias("n")).where((F.col("d") > members) | (F.col("n") > block)).select("component")
+    large = scratch.save(large, "large")
+    n_large = large.count()
+    small = groups.join(broadcast_if_small(large, n_large, 16), "component", "left_anti") if n_large else groups
+    small = scratch.save(small.select(F.col("component").alias("group"), "doc"), "small")
+    texts = docs.join(broadcast_if_small(small, small.count(), 24), docs.doc_id == F.col("doc")).select("group", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "doc", "text")
+    confirmed = _confirmed(texts.mapInArrow(_sets(size, 4), "group long, lo long, hi long, doc long, set binary"), percent)
+    if n_large:
+        wide = scratch.save(groups.join(broadcast_if_small(large, n_large, 16), "component", "left_semi"), "wide")
+        confirmed = confirmed.unionByName(_fold(scratch, docs, wide, links, size, percent, members, block))
+    # Rows with equal doc_id are one node: the classes of its texts belong together.
+    twice = scratch.save(known.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        own = known.join(twice, "doc_id", "left_semi").select("doc_id", "fp").distinct().join(reps.select("fp", "doc"), "fp")
+        confirmed = confirmed.unionByName(own.select(F.col("doc").alias("a"), F.min("doc").over(Window.partitionBy("doc_id")).alias("b")).where("a != b"))
     joined = components(scratch, confirmed, "links")
     classes = reps.select("fp", "doc", "copies").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component"), "doc", "copies")
     shared = scratch.save(classes.where("copies > 1 OR component != doc").select("fp", "component"), "classes")
-    out = feats.select("doc_id", "n_shingles", "fp").join(shared, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = feats.select("doc_id", "n_shingles", "fp").join(shared, "fp", "left")
+    component = F.coalesce("component", "doc_id")
+    # A row without words takes the component of the other rows of its doc_id.
+    bare = scratch.save(feats.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("fp").alias("k"), F.count("*").alias("n")).where("k > 0 AND k < n").select("doc_id"), "bare")
+    if not bare.isEmpty():
+        of = out.join(bare, "doc_id", "left_semi").where("fp IS NOT NULL").groupBy("doc_id").agg(F.min(component).alias("of_id"))
+        out, component = out.join(scratch.save(of, "of-ids"), "doc_id", "left"), F.coalesce("component", "of_id", "doc_id")
+    scratch.keep_only("features", "classes", "of-ids")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

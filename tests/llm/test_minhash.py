@@ -86,7 +86,8 @@ def test_large_group_in_small_blocks(spark):
     data = [(i, changed(base, 0.02, i)) for i in range(150)] + [(1000 + i, base) for i in range(40)] + [(2000 + i, rows.prose(i, 120)) for i in range(30)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
     want = brute(data, 3, 85)
-    assert found(df, size=3, percent=85, block=500) == want
+    assert found(df, size=3, percent=85, block=500, members=8) == want
+    assert found(df, size=3, percent=85, members=20) == want
     assert sum(r[2] == 0 for r in want) > 40
 
 
@@ -108,25 +109,81 @@ def test_overlaps_of_many_sets():
     assert (minhash.overlaps(sets) == want).all()
 
 
-def test_crowded_buckets_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BUCKET", 8)
-    base = rows.prose(9, 200)
-    data = [(i, changed(base, 0.004, i)) for i in range(60)]
-    groups = Groups()
-    sig = {}
-    for d, t in data:
-        s = minhash.shingles(t.encode(), 3)
-        sig[d] = minhash.signatures(s, np.array([0]))[0]
-    ids = list(sig)
-    tables = np.stack([sig[d] for d in ids])
-    import pyarrow as pa
-
-    keyed = pa.Table.from_batches(list(minhash._keys([pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.tobytes() for x in tables])], ["doc", "sig"])]))).sort_by("key")
-    for batch in minhash._bucket_links(minhash.reach(85))(keyed.to_batches(max_chunksize=50)):
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            groups.join(a, b)
-    close = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (sig[a] != sig[b]).sum() <= 2 * minhash.CHUNKS - 1]
-    assert len(close) > 500 and all(groups.root(a) == groups.root(b) for a, b in close)
+def test_crowded_buckets_lose_nothing(spark):
+    """Signatures within the distance are connected, also where a bucket is met block by block; nothing far is linked."""
+    texts = [(i, changed(rows.prose(9, 200), 0.004 + 0.002 * (i % 8), i)) for i in range(90)]
+    texts += [(200 + i, changed(rows.prose(9, 200), 0.07, i)) for i in range(40)] + [(300 + i, changed(rows.prose(10, 150), 0.01, i)) for i in range(30)]
+    sig = {d: minhash.signatures(minhash.shingles(t.encode(), 3), np.array([0]))[0] for d, t in texts}
+    reps = spark.createDataFrame([(d, bytearray(x.tobytes())) for d, x in sig.items()], "doc long, sig binary").repartition(5)
+    limit = minhash.reach(85)
+    near = lambda a, b: int(minhash._apart(*(minhash.sketch(sig[x][None])[0][0] for x in (a, b))) + minhash._apart(*(minhash.sketch(sig[x][None])[0][1] for x in (a, b)))) <= limit
+    for bucket in (7, 10_000):
+        groups = Groups()
+        for r in minhash._candidates(Scratch(spark, "t"), reps, limit, bucket).collect():
+            groups.join(r["a"], r["b"])
+        ids = list(sig)
+        close = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (sig[a] != sig[b]).sum() <= 2 * minhash.CHUNKS - 1]
+        assert len(close) > 500 and all(groups.root(a) == groups.root(b) for a, b in close)
+        assert not any(groups.root(a) == groups.root(300) for a in ids if a < 300)
+    assert near(0, 1) and not near(0, 300)
+
+
+def test_stragglers_of_a_large_group(spark):
+    """Documents that resemble others of their group but not its least one are still found: chains, two families, lone ones."""
+    base = rows.prose(21, 150).split()
+    chain, data = list(base), []
+    for i in range(60):  # each resembles the one before
+        chain[2 * i % 150] = f"c{i}"
+        data.append((500 - i, " ".join(chain)))
+    other = changed(" ".join(base), 0.06, 77)
+    data += [(1000 + i, changed(other, 0.01, i)) for i in range(60)] + [(2000 + i, changed(" ".join(base), 0.09, i)) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    want = brute(data, 3, 85)
+    assert len({r[2] for r in want}) > 10
+    for kw in ({"members": 6, "block": 2000}, {"members": 16, "bucket": 9}, {}):
+        assert found(df, size=3, percent=85, **kw) == want
+
+
+def test_twenty_thousand_short_near_copies(spark):
+    """Each resembles the least one and few of the others."""
+    base = rows.prose(31, 60).split()
+    data = [(0, " ".join(base))]
+    for i in range(1, 20_000):
+        at = i % 60
+        data.append((i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])))
+    got = found(spark.createDataFrame(data, "doc_id long, text string").repartition(8), size=3, percent=85)
+    assert len(got) == 20_000 and {r[2] for r in got} == {0} and sum(r[3] for r in got) == 1
+
+
+def test_a_unit_of_work_needs_bounded_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    common = r.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((common[r.random(400) < 0.9], r.integers(0, 2**63, 200).astype(np.uint64)))) for _ in range(2 * minhash.MEMBERS)]
+    tracemalloc.start()
+    minhash.overlaps(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+
+
+def test_ids_of_any_size(spark):
+    base = rows.prose(41, 120)
+    ids = [2**63 - 1, 2**62, 2**62 + 1, -(2**63), -(2**62), -1, 0, 2**63 - 2]
+    data = [(d, changed(base, 0.01, i)) for i, d in enumerate(ids)] + [(5, rows.prose(42, 50))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert found(df, size=3, percent=85) == brute(data, 3, 85)
+
+
+def test_repeated_ids_are_one_node(spark):
+    a, c, e = (rows.prose(i, 60) for i in (51, 52, 53))
+    data = [(1, a), (5, a), (5, c), (7, c), (7, None), (9, None), (9, e), (10, e), (11, ""), (11, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = found(df, size=3, percent=85)
+    assert got == brute(data, 3, 85)
+    assert {(r[0], r[2], r[3]) for r in got if r[0] < 9} == {(1, 1, True), (5, 1, False), (7, 1, False)}
+    assert sorted(r["doc_id"] for r in minhash.drop_duplicates(df, 3, 85).collect()) == [1, 9, 11]
 
 
 def test_components_of_chains_stars_and_rings(spark):
