@@ -9,8 +9,9 @@ their outer white space and joined over all documents. A unit that lies in any s
 first of its kind, by (doc_id, hash of the text, position), is removed; the rest stays as it was.
 
 Spans met before in the same slice of rows are repeats for certain, so only the first of each slice
-enters the join: a passage that a third of all documents hold costs one row a slice, not one a
-document, and no group is gathered anywhere.
+enters the join; of those that a slice held twice, a task also remembers the earliest place, and later
+slices send only earlier ones. So a passage that a third of all documents hold costs a few rows a task,
+not one a document, and no group is gathered anywhere but the distinct spans of one text.
 
 Defined cases: null texts stay null, empty ones empty; a text all of whose units repeat becomes empty;
 rows with equal doc_id and text are one document, whose first copy and repeats are cut alike;
@@ -33,6 +34,8 @@ MARKS = b".!?,;:\n"
 UNITS, WORDS = 3, 20
 #: Bytes of text whose spans are looked at together.
 SLICE = 4 << 20
+#: Hashes that a task remembers.
+MET = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
@@ -108,8 +111,36 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 FOUND = "h1 long, h2 long, doc long, tag long, first int, end int, sure boolean"
 
 
+class _Met:
+    """The earliest places (doc, tag, first) of hashes that a task met twice in a slice: at most MET of them, all forgotten beyond."""
+
+    def __init__(self):
+        self.hashes, self.places = np.empty((0, 2), np.uint64), np.empty((0, 3), np.int64)
+
+    def later(self, hashes: np.ndarray, places: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Which of distinct hashes, sorted by the first of their two numbers, were met at an earlier place; remembers what is often."""
+        out = np.zeros(len(hashes), bool)
+        known = np.full(len(hashes), -1)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes[:, 0], hashes[:, 0]), len(self.hashes) - 1)
+            known = np.where((self.hashes[at] == hashes).all(axis=1), at, -1)
+            mine, theirs = places, self.places[at]
+            less = (theirs[:, 0] < mine[:, 0]) | (theirs[:, 0] == mine[:, 0]) & ((theirs[:, 1] < mine[:, 1]) | (theirs[:, 1] == mine[:, 1]) & (theirs[:, 2] < mine[:, 2]))
+            out = (known >= 0) & less
+            earlier = (known >= 0) & ~less
+            self.places[known[earlier]] = places[earlier]
+        new = often & (known < 0)
+        if new.any():
+            h, p = np.concatenate((self.hashes, hashes[new])), np.concatenate((self.places, places[new]))
+            h, p = (h, p) if len(h) <= MET else (hashes[new], places[new])
+            order = np.unique(h[:, 0], return_index=True)[1]  # of two hashes that begin alike, one is remembered
+            self.hashes, self.places = h[order], p[order]
+        return out
+
+
 def _found(batches):
     names = FOUND.replace(" long", "").replace(" int", "").replace(" boolean", "").split(", ")
+    met = _Met()
     for batch in batches:
         docs = batch.column(0).fill_null(-(1 << 63)).to_numpy()
         tags, texts, at = batch.column(1).to_numpy(), batch.column(2).cast(pa.binary()), 0
@@ -130,6 +161,10 @@ def _found(batches):
             keep = ~same | where  # repeated rows are one document
             start = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
             sure = same & ((doc != doc[start]) | (tag != tag[start]) | (a != a[start]))
+            heads = np.flatnonzero(~same)
+            often = np.diff(np.append(heads, len(doc))) > 1
+            sure[heads] = met.later(np.stack((h1[heads], h2[heads]), 1), np.stack((doc[heads], tag[heads], a[heads]), 1), often)
+            sure |= same & sure[start]  # whatever is met earlier elsewhere, all of its kind here repeat
             h1 = np.where(sure, splitmix(doc.view(np.uint64) ^ tag.view(np.uint64)) + a.astype(np.uint64), h1)  # not joined, so dealt evenly
             cols = (h1.view(np.int64), h2.view(np.int64), doc, tag, a.astype(np.int32), e.astype(np.int32), sure)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[keep])) for c in cols], names)
@@ -200,7 +235,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = docs.select(F.col(doc_id).cast("long").alias("doc"), tag.alias("tag"), F.col(text).alias("text")).mapInArrow(_found, FOUND)
     gone = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "tag", "first").mapInArrow(_later, "doc long, tag long, first int, end int")
     packed = (F.shiftleft(F.col("first").cast("long"), 32) + F.col("end")).alias("pair")
-    gone = scratch.save(gone.select("doc", "tag", packed).groupBy("doc", "tag").agg(F.collect_list("pair").alias("pairs")), "gone")
+    # Distinct pairs: as many at most as a text has spans, however often the text is repeated.
+    gone = scratch.save(gone.select("doc", "tag", packed).groupBy("doc", "tag").agg(F.collect_set("pair").alias("pairs")), "gone")
     gone = gone.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("pairs").alias("__pairs"))
     cols, at = docs.columns, docs.columns.index(text)
     plain = docs.toDF(*(f"__c{i}" for i in range(len(cols))))

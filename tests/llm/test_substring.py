@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lexitide.llm import substring
@@ -89,6 +92,38 @@ def test_whole_table(spark):
     check(spark, [tuple(r) for r in df.collect()], df)
 
 
+@pytest.mark.parametrize("met", [3, 1 << 18])
+def test_slices_and_what_a_task_remembers_change_nothing(monkeypatch, met):
+    """The two steps in one process over tiny slices, documents in any order, against the definition."""
+    monkeypatch.setattr(substring, "SLICE", 700)
+    monkeypatch.setattr(substring, "MET", met)
+    shared = [rows.prose(600 + i, 45) for i in range(6)]
+    r = random.Random(5)
+    data = [(i, " ".join([rows.prose(700 + i, 15), *r.choices(shared, k=r.randint(0, 3)), rows.prose(900 + i, 12)])) for i in range(120)]
+    data += [data[3], data[40]]
+    r.shuffle(data)
+    tag = {t: i for i, t in enumerate(sorted({t for _, t in data}))}
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in data]), pa.array([tag[t] for _, t in data]), pa.array([t for _, t in data])], ["doc", "tag", "text"])
+    found = pa.Table.from_batches(list(substring._found([batch.slice(i, 9) for i in range(0, len(data), 9)])))
+    sent = found.filter(pc.invert(found.column("sure"))).num_rows
+    found = found.sort_by([(c, "ascending") for c in ("h1", "h2", "doc", "tag", "first")])
+    gone: dict = {}
+    for b in substring._later(found.to_batches(max_chunksize=37)):
+        for d, _, first, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            gone.setdefault(d, set()).update(range(first, end))
+    want = brute(data)
+    assert {d: len(gone.get(d, ())) for d, _ in data} == {d: want[d, t][1] for d, t in data}
+    if met > 3:
+        assert sent < 0.7 * found.num_rows
+
+
+def test_a_text_repeated_often_sends_each_span_once(spark):
+    text = f"{rows.prose(60, 100)} {rows.prose(61, 100)}"
+    data = [(i, text) for i in range(3)] + [(None, text)] * 64 + [(7, text)] * 64
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(32)
+    check(spark, data, df)
+
+
 def test_planted_passage_goes_from_all_but_the_first(spark):
     passage = rows.prose(50, 60)
     data = [(i, f"{rows.prose(200 + i, 30)} Own start, {passage} {rows.prose(300 + i, 30)}") for i in range(20)]
