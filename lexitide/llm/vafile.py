@@ -1,19 +1,26 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Components become integers, floor(1024 * x). Candidates are stored in blocks: per component a grid of
-at most 256 equal cells over the block's range, one byte a component for the cell, and the exact
-vectors beside. For a block of queries one matrix product over the cells gives lower and upper bounds
-of all scores; the kth best lower bound cuts off candidates; the rest are read exactly in order of
-their upper bounds until the kth exact score beats every bound that is left. Integer scores fit
-doubles exactly (vectors for which they might not are scored by Python integers).
+Components become integers, floor(1024 * x). The approximation file holds blocks of candidates: per
+component a grid of at most 256 equal cells over the block's range, and one byte a component for the cell;
+the exact vectors stay in the table. One matrix product over the cells gives bounds of all scores of a
+block of queries.
 
-Every block of queries meets every block of candidates once, by an equi-join on the candidate block's
-bucket; each meeting returns k rows a query, and a window merges them (its rank limit also runs before
-the shuffle). Of equal vectors in a block only the smallest k + 1 ids can matter, and only they stay.
+1. Bounds: every block of queries meets every block of cells once, by an equi-join on the cells' bucket.
+   A meeting gives one row with the k best lower bounds of each query; the rows of a block of queries are
+   merged to the kth best lower bound over all candidates.
+2. Survivors: the meetings again, now with that one bound per query for all blocks. Only candidates whose
+   upper bound reaches it leave, so what is shuffled grows with queries times k.
+3. Exact vectors are read in the order of the upper bounds: first those of the 2 k most promising
+   survivors of each query, whose kth best score then is the new bound, then those that still reach it.
+
+Of equal vectors in the table only the smallest k + 1 ids can matter, and only they are stored. Integer
+scores fit doubles exactly; for vectors for which they might not, bounds are widened by what rounding
+can do (without limit, if they overflow), and Python integers give the scores.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors of
 different length are not compared; ties go to the smaller vec_id; repeated rows count once, and a
-vec_id with several vectors stands for its best one; scores beyond 64 bits are clipped; no queries or no table give no rows; further columns are not read.
+vec_id with several vectors stands for its best one; scores beyond 64 bits are clipped; no queries or no
+table give no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import Scratch, tasks
+from lexitide.llm.common import Scratch, broadcast_if_small, tasks
 
 SCALE = 1024
-CANDIDATES, QUERY_ROWS = 8192, 1024
+#: Cells in a block of candidates (one byte each), most candidates there, queries in a block.
+CELLS, CANDIDATES, QUERY_ROWS = 2 << 20, 32_768, 1024
+#: Bounds of one slice of queries, so that a meeting needs bounded memory.
+SLICE = 4 << 20
 EXACT = 2**52
+CLIP = float(2**63)
 
-BLOCKS = "block long, dim int, n int, low binary, width binary, ids binary, cells binary, vectors binary"
+BLOCKS = "block long, dim int, low binary, width binary, ids binary, cells binary"
 
 
 def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,116 +73,226 @@ def _by_length(batch):
             yield dim, ids[at], flat[starts[at][:, None] + np.arange(dim)[None]].reshape(len(at), dim)
 
 
-def _smallest_of_equal(ids: np.ndarray, vectors: np.ndarray, k: int):
-    """Distinct (id, vector) rows; of equal vectors the k smallest ids."""
-    if not vectors.shape[1]:
-        order = np.unique(ids, return_index=True)[1][:k]
-        return ids[order], vectors[order]
-    raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel()
-    group = np.unique(raw, return_inverse=True)[1].ravel()
-    order = np.lexsort((ids, group))
-    ids, vectors, group = ids[order], vectors[order], group[order]
-    new = np.concatenate(([True], (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])))
-    ids, vectors, group = ids[new], vectors[new], group[new]
-    first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(ids)), 0))
-    keep = np.arange(len(ids)) - first < k
-    return ids[keep], vectors[keep]
-
+def _blocks(batches):
+    task, n = TaskContext.get().partitionId(), 0
+    held: dict[int, list] = {}
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
 
-def _blocks(k: int):
-    def run(batches):
-        task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for dim, ids, vectors in _by_length(batch):
-                for a in range(0, len(ids), CANDIDATES):
-                    i, v = _smallest_of_equal(ids[a : a + CANDIDATES], vectors[a : a + CANDIDATES], k)
-                    low = v.min(0)
-                    width = np.maximum(1, np.ceil((v.max(0) - low + 1) / 256))
-                    cells = np.floor((v - low) / width).astype(np.uint8)
-                    data = [[(task << 32) + n], [dim], [len(i)], [low.tobytes()], [width.tobytes()], [i.astype(np.int64).tobytes()], [cells.tobytes()], [v.tobytes()]]
-                    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, types, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
-                    n += 1
+    def block(dim: int):
+        nonlocal n
+        ids, v = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+        low = v.min(0)
+        width = np.maximum(1, np.ceil((v.max(0) - low + 1) / 256))
+        cells = np.clip(np.floor((v - low) / width), 0, 255).astype(np.uint8)
+        data = [[(task << 32) + n], [dim], [low.tobytes()], [width.tobytes()], [ids.astype(np.int64).tobytes()], [cells.tobytes()]]
+        n += 1
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, [pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)], names)
 
-    return run
+    for batch in batches:
+        for dim, ids, vectors in _by_length(batch):
+            size = max(1, min(CANDIDATES, CELLS // dim))
+            for a in range(0, len(ids), size):
+                held.setdefault(dim, []).append((ids[a : a + size], vectors[a : a + size]))
+                if sum(len(i) for i, _ in held[dim]) >= size:
+                    yield block(dim)
+    for dim in list(held):
+        yield block(dim)
 
 
 def _query_blocks(batches):
+    task, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         for dim, ids, vectors in _by_length(batch):
             for a in range(0, len(ids), QUERY_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[a : a + QUERY_ROWS].astype(np.int64).tobytes()], pa.binary()), pa.array([vectors[a : a + QUERY_ROWS].tobytes()], pa.binary())], ["qdim", "qids", "qvectors"])
-
-
-def search(ids, vectors, low, width, cells, qids, queries, k: int):
-    """(query row, candidate row, score) with the k best candidates of each query, and more where ids repeat."""
-    big = max(np.abs(vectors).max(initial=0), np.abs(low).max(initial=0) + 256 * width.max(initial=0)) * np.abs(queries).max(initial=0) * max(1, vectors.shape[1]) * 4
-    k = k * max(1, int(np.unique(ids, return_counts=True)[1].max(initial=1)))
-    if big >= EXACT:
-        # Beyond exact doubles: Python integers, every candidate of the block.
-        whole = np.frompyfunc(int, 1, 1)
-        scores = whole(queries) @ whole(vectors).T
-        out = []
-        for q in range(len(qids)):
-            rows = sorted((c for c in range(len(ids)) if ids[c] != qids[q]), key=lambda c: (-int(scores[q, c]), ids[c]))  # noqa: B023
-            out += [(q, c, max(-(2**63), min(2**63 - 1, int(scores[q, c])))) for c in rows[:k]]
-        return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
-    out = []
-    cell = cells.astype(np.float64)
-    for a in range(0, len(qids), 256):
-        q = queries[a : a + 256]
-        base = (q * width) @ cell.T + (q @ low)[:, None]
-        above, below = np.maximum(q, 0) @ (width - 1), np.minimum(q, 0) @ (width - 1)
-        own = qids[a : a + 256, None] == ids[None]
-        base[own] = -np.inf
-        if len(ids) > k:
-            cut = np.partition(base, len(ids) - k, axis=1)[:, len(ids) - k] + below
-        else:
-            cut = np.full(len(q), -np.inf)
-        upper = base + above[:, None]
-        for r in range(len(q)):
-            at = np.flatnonzero((upper[r] >= cut[r]) & ~own[r])
-            at = at[np.argsort(-upper[r, at], kind="stable")]
-            got = np.empty(0)
-            for b in range(0, len(at), 128):
-                if len(got) >= k and np.partition(got, len(got) - k)[len(got) - k] > upper[r, at[b]]:
-                    break
-                got = np.concatenate((got, vectors[at[b : b + 128]] @ q[r]))
-            at = at[: len(got)]
-            best = np.lexsort((ids[at], -got))[:k]
-            out.append((np.full(len(best), a + r), at[best], got[best].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
-
-
-def _meet(k: int):
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([dim], pa.int32()), pa.array([ids[a : a + QUERY_ROWS].astype(np.int64).tobytes()], pa.binary()), pa.array([vectors[a : a + QUERY_ROWS].tobytes()], pa.binary())], ["qblock", "qdim", "qids", "qvectors"])
+                n += 1
+
+
+def bounds(low, width, cells, queries):
+    """(lower, upper) bounds of the scores of queries [query, component] and cells [candidate, component], for certain."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        base = (queries * width) @ cells.T.astype(np.float64) + (queries @ low)[:, None]
+        up, down = np.maximum(queries, 0) @ (width - 1), np.minimum(queries, 0) @ (width - 1)
+        big = np.abs(queries).max(1, initial=0) * (np.abs(low) + 256 * width).max(initial=0) * max(1, len(low)) * 4
+        slack = np.where(big < EXACT, 0.0, big * 2.0**-40)
+        lower, upper = base + (down - slack)[:, None], base + (up + slack)[:, None]
+    lower[~np.isfinite(lower)] = -np.inf
+    upper[~np.isfinite(upper)] = np.inf
+    return np.minimum(lower, CLIP), np.maximum(upper, -CLIP)  # scores are clipped likewise
+
+
+def _meetings(batches):
+    """For each row of a batch: the row, and an iterator over (queries from, to, lower, upper), the query's own id left out."""
+
+    def slices(low, width, cells, ids, qids, queries):
+        step = max(1, SLICE // max(1, len(ids)))
+        for a in range(0, len(qids), step):
+            lower, upper = bounds(low, width, cells, queries[a : a + step])
+            own = qids[a : a + step, None] == ids[None]
+            lower[own] = upper[own] = -np.inf
+            yield a, a + len(lower), lower, upper
+
+    for batch in batches:
+        names = batch.schema.names
+        for i in range(batch.num_rows):
+            row = {c: batch.column(k)[i].as_py() for k, c in enumerate(names)}
+            of = lambda c, t=np.float64: np.frombuffer(row[c], t)  # noqa: B023, E731
+            ids, qids = of("ids", np.int64), of("qids", np.int64)
+            row |= {"ids": ids, "qids": qids}
+            yield row, slices(of("low"), of("width"), of("cells", np.uint8).reshape(len(ids), -1), ids, qids, of("qvectors").reshape(len(qids), -1))
+
+
+def best(ids: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of bound [query, candidate] the k best of distinct ids, as (ids, bounds), filled up with -inf."""
+    n = bound.shape[1]
+    if len(np.unique(ids)) < len(ids):  # a vec_id with several vectors counts with its best
+        group = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.diff(ids[group], prepend=ids[group[0]] - 1))
+        ids, bound = ids[group[starts]], np.maximum.reduceat(bound[:, group], starts, axis=1)
+        n = len(ids)
+    if n > k:
+        at = np.argpartition(bound, n - k, axis=1)[:, n - k :]
+        return ids[at], np.take_along_axis(bound, at, 1)
+    fill = k - n
+    return np.pad(np.broadcast_to(ids, bound.shape), ((0, 0), (0, fill))), np.pad(bound, ((0, 0), (0, fill)), constant_values=-np.inf)
+
+
+def _lower(k: int):
     def run(batches):
+        for row, parts in _meetings(batches):
+            got = [best(row["ids"], lower, k) for _, _, lower, _ in parts]
+            i, s = (np.concatenate(x) for x in zip(*got, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([row["qblock"]]), pa.array([i.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], ["qblock", "i", "s"])
+
+    return run
+
+
+def _cuts(k: int):
+    """The kth best lower bound of each query of a block, from the rows of that block."""
+
+    def merged(i, s, j, t):
+        i, s = np.concatenate((i, j), 1), np.concatenate((s, t), 1)
+        order = np.lexsort((-s, i), axis=1)
+        i, s = np.take_along_axis(i, order, 1), np.take_along_axis(s, order, 1)
+        s[:, 1:][i[:, 1:] == i[:, :-1]] = -np.inf  # the same candidate from two blocks
+        at = np.argpartition(s, k, axis=1)[:, k:]
+        return np.take_along_axis(i, at, 1), np.take_along_axis(s, at, 1)
+
+    def run(batches):
+        last, held = None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([last]), pa.array([held[1].min(1).tobytes()], pa.binary())], ["qblock", "cut"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                of = lambda c, t=np.float64: np.frombuffer(row[c], t)  # noqa: B023, E731
-                ids, qids = of("ids", np.int64), of("qids", np.int64)
-                q, c, s = search(ids, of("vectors").reshape(-1, dim), of("low"), of("width"), of("cells", np.uint8).reshape(-1, dim), qids, of("qvectors").reshape(-1, dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[q], pa.int64()), pa.array(ids[c], pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
+            for q, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i, s = np.frombuffer(i, np.int64).reshape(-1, k), np.frombuffer(s).reshape(-1, k)
+                if q != last and held is not None:
+                    yield out()
+                held = merged(*held, i, s) if q == last else (i, s)
+                last = q
+        if held is not None:
+            yield out()
 
     return run
 
 
+def _survivors(batches):
+    for row, parts in _meetings(batches):
+        cut = np.frombuffer(row["cut"])
+        for a, b, _, upper in parts:
+            q, c = np.nonzero((upper >= cut[a:b, None]) & (upper > -np.inf))
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(row["qids"][a + q]), pa.array(row["ids"][c]), pa.array(upper[q, c])], ["query_id", "vec_id", "upper"])
+
+
+def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows, clipped to 64 bits."""
+    with np.errstate(over="ignore"):
+        safe = np.abs(x).max(1, initial=0) * np.abs(y).max(1, initial=0) * x.shape[1] < EXACT
+    out = np.zeros(len(x), np.int64)
+    out[safe] = np.einsum("ij,ij->i", x[safe], y[safe]).astype(np.int64)
+    for r in np.flatnonzero(~safe).tolist():
+        s = sum(int(a) * int(b) for a, b in zip(x[r].tolist(), y[r].tolist(), strict=True))
+        out[r] = max(-(2**63), min(2**63 - 1, s))
+    return out
+
+
+def _scored(batches):
+    """Rows (query_id, vec_id, query vector, candidate vector), scored where both take part and are of one length."""
+    for batch in batches:
+        (rows, lengths, flat), (others, sizes, values) = integers(batch.column(2)), integers(batch.column(3))
+        both, x, y = np.intersect1d(rows, others, assume_unique=True, return_indices=True)
+        begin, start = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
+        for dim in np.unique(lengths).tolist():
+            on = (lengths[x] == dim) & (sizes[y] == dim)
+            span = np.arange(dim)[None]
+            s = dots(flat[begin[x[on]][:, None] + span], values[start[y[on]][:, None] + span])
+            which = pa.array(both[on])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(s)], ["query_id", "vec_id", "score"])
+
+
+def _fewer_equal(scratch: Scratch, vectors: DataFrame, k: int) -> DataFrame:
+    """vectors without repeated rows that cannot matter: of equal vectors only the smallest k + 1 ids stay. Hashes and ids are all that is counted."""
+    h = [F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")]
+    many = vectors.groupBy(h[0].alias("h1"), h[1].alias("h2")).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
+    many = scratch.save(many.drop("n"), "many")
+    n = many.count()
+    if not n:
+        return vectors
+    marked = vectors.select("*", h[0].alias("h1"), h[1].alias("h2"))
+    few = broadcast_if_small(many, n, 32)
+    ids = marked.select("h1", "h2", "vec_id").join(few, ["h1", "h2"], "left_semi").distinct()
+    rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    last = scratch.save(ids.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("h1", "h2").agg(F.max("vec_id").alias("last")), "last")
+    out = marked.join(broadcast_if_small(last, n, 40), ["h1", "h2"], "left")
+    return out.where("last IS NULL OR vec_id <= last").select("vec_id", "embedding")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for queries and vectors (vec_id long, embedding array), the query's own vec_id left out."""
     scratch = Scratch(vectors.sparkSession, "vafile")
-    pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    blocks = scratch.save(pick(vectors).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").mapInArrow(_blocks(k + 1), BLOCKS), "blocks")
-    asked = scratch.save(pick(queries).where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0"), "queries")
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = asked.repartition(parts).mapInArrow(_query_blocks, "qdim int, qids binary, qvectors binary")
-    buckets = max(tasks(vectors), min(blocks.select("block").count(), 4096))
-    asked = scratch.save(asked, "query-blocks").withColumn("qbucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    takes_part = "vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0"
+    pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(takes_part)
+    blocks = scratch.save(_fewer_equal(scratch, pick(vectors), k).mapInArrow(_blocks, BLOCKS), "cells")
+    n_blocks = blocks.select("block").count()
+    asked = scratch.save(pick(queries), "queries")
+    n_asked = asked.count()
+    asked_blocks = asked.repartition(max(1, -(-n_asked // QUERY_ROWS))).mapInArrow(_query_blocks, "qblock long, qdim int, qids binary, qvectors binary")
+    asked_blocks = scratch.save(asked_blocks, "query-blocks")
+    # As many buckets as tasks: queries are copied once to each, cells never.
+    buckets = max(1, min(n_blocks, tasks(vectors)))
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
-    met = blocks.join(asked, (F.col("bucket") == F.col("qbucket")) & (F.col("dim") == F.col("qdim"))).drop("qbucket", "qdim", "bucket", "block", "n")
-    found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def met(few: DataFrame) -> DataFrame:
+        few = few.withColumn("qbucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        return blocks.join(few, (F.col("bucket") == F.col("qbucket")) & (F.col("dim") == F.col("qdim"))).drop("qbucket", "qdim", "dim", "bucket", "block")
+
+    lower = met(asked_blocks).mapInArrow(_lower(k), "qblock long, i binary, s binary")
+    cuts = scratch.save(lower.repartition("qblock").sortWithinPartitions("qblock").mapInArrow(_cuts(k), "qblock long, cut binary"), "cuts")
+    left = met(asked_blocks.join(cuts, "qblock")).mapInArrow(_survivors, "query_id long, vec_id long, upper double")
+    left = left.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
+    promise = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))
+    left = scratch.save(left.withColumn("r", promise), "survivors")
+
+    def scored(pairs: DataFrame, name: str) -> DataFrame:
+        """Exact scores of pairs(query_id, vec_id), the best of each."""
+        exact = pick(vectors)
+        n = pairs.count()
+        wanted = pairs.select("vec_id").distinct()
+        exact = exact.join(broadcast_if_small(wanted, n, 16), "vec_id", "left_semi")
+        rows = pairs.join(exact.withColumnRenamed("embedding", "v"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+        got = rows.select("query_id", "vec_id", "q", "v").mapInArrow(_scored, "query_id long, vec_id long, score long")
+        return scratch.save(got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), name)
+
+    near = scored(left.where(F.col("r") <= 2 * k).select("query_id", "vec_id"), "first")
+    down = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = near.withColumn("r", F.row_number().over(down)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+    more = left.where(F.col("r") > 2 * k).join(kth, "query_id", "left").where("kth IS NULL OR upper >= kth").select("query_id", "vec_id")
+    more = scratch.save(more, "later")
+    found = near if more.isEmpty() else near.unionByName(scored(more, "second"))
+    scratch.keep_only("first", "second")
+    return found.withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lexitide.llm import vafile
@@ -19,7 +20,7 @@ def brute(data, queries, k):
             if qi == q:
                 for i, e in ok:
                     if i != q and len(e) == len(qe):
-                        s = sum(a * b for a, b in zip(qe, e, strict=True))
+                        s = max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(qe, e, strict=True))))
                         best[i] = max(best.get(i, s), s)
         out += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(((s, i) for i, s in best.items()), key=lambda x: (-x[0], x[1]))[:k])]
     return out
@@ -37,8 +38,7 @@ def vectors(n, dim, seed, spread=1.0):
 
 
 @pytest.mark.parametrize("dim,spread", [(1, 1), (3, 0.01), (16, 1), (16, 500)])
-def test_against_brute_force(spark, monkeypatch, dim, spread):
-    monkeypatch.setattr(vafile, "CANDIDATES", 64)
+def test_against_brute_force(spark, dim, spread):
     data = list(enumerate(vectors(400, dim, dim, spread)))
     check(spark, data, range(0, 400, 20))
 
@@ -63,6 +63,51 @@ def test_huge_components(spark):
     check(spark, data, [0, 7])
 
 
+def test_components_beyond_exact_doubles(spark):
+    """Bounds are widened where doubles round, and give way where they overflow; scores beyond 64 bits tie."""
+    r = random.Random(3)
+    data = [(i, [x * 1e12 for x in v]) for i, v in enumerate(vectors(60, 3, 11))] + [(100 + i, [r.choice([1e300, -1e300, 3.0]), r.random()]) for i in range(30)]
+    data += [(200 + i, [4e15 + i, 4e15]) for i in range(30)]
+    check(spark, data, [0, 7, 100, 103, 105, 200, 229])
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(6)
+    for scale in (1, 1e3, 1e9, 1e200):
+        v, q = np.floor(r.normal(0, scale, (300, 12))), np.floor(r.normal(0, scale, (20, 12)))
+        low = v.min(0)
+        width = np.maximum(1, np.ceil((v.max(0) - low + 1) / 256))
+        lower, upper = vafile.bounds(low, width, np.clip(np.floor((v - low) / width), 0, 255).astype(np.uint8), q)
+        for i in range(20):
+            for j in range(300):
+                s = max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], v[j], strict=True))))
+                assert lower[i, j] <= s <= upper[i, j]
+
+
+def test_small_blocks_and_one_vec_id_in_many(spark):
+    """Queries survive blocks of a few cells; a vec_id with vectors in many blocks counts once in the bound."""
+    data = [(i % 37, v) for i, v in enumerate(vectors(600, 6, 21))] + [(1000 + i, v) for i, v in enumerate(vectors(40, 6, 22, 0.1))]
+    check(spark, data, [0, 1, 2, 1003, 1039], parts=23)
+
+
+def test_exact_vectors_are_read_for_few(spark, monkeypatch):
+    """The cells hold no exact vectors, and about k of a thousand candidates survive the bound."""
+    data = list(enumerate(vectors(3000, 16, 31)))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    seen = {}
+    real = vafile.Scratch.save
+
+    def save(self, frame, name):
+        out = real(self, frame, name)
+        seen[name] = (out.columns, out.count())
+        return out
+
+    monkeypatch.setattr(vafile.Scratch, "save", save)
+    vafile.top_k(df, df.where("vec_id % 100 = 0")).collect()
+    assert seen["cells"][0] == ["block", "dim", "low", "width", "ids", "cells"]
+    assert seen["survivors"][1] < 30 * 10 * 3 and seen["cuts"][1] == seen["query-blocks"][1]
+
+
 def test_matches_sql(spark):
     assert oracle.differences(vafile.op2(spark, oracle.DATA), oracle.connect(), vafile.ORACLES["op2_exact_topk"]) == []
 
