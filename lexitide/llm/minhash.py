@@ -327,38 +327,38 @@ def _fold(scratch: Scratch, docs: DataFrame, wide: DataFrame, links: DataFrame,
     sets = scratch.save(texts.mapInArrow(_sets(size, 1), "doc long, set binary"), "sets")
     meet = lambda units, name: scratch.save(_confirmed(units.join(sets, "doc"), percent), name)
 
-    def dealt(rows: DataFrame) -> DataFrame:
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
         """rows(group, doc, n) in units of so many documents and shingles."""
         sums = rows.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (members - 1)), F.ceil(F.sum("n") / block)).cast("long").alias("__k"))
-        return rows.join(sums, "group").select("group", F.pmod(F.xxhash64("doc", F.lit(3)), "__k").alias("lo"), F.lit(0).cast("long").alias("hi"), "doc")
+        sums = scratch.save(sums, f"{name}-sizes")
+        return rows.join(broadcast_if_small(sums, sums.count(), 16), "group").select("group", F.pmod(F.xxhash64("doc", F.lit(3)), "__k").alias("lo"), F.lit(0).cast("long").alias("hi"), "doc")
 
-    def classes(found: DataFrame, name: str) -> DataFrame:
-        got = components(scratch, found, name)
-        return scratch.save(wide.join(got.withColumnRenamed("node", "doc").withColumnRenamed("component", "cls"), "doc", "left").select("component", "doc", "n", F.coalesce("cls", "doc").alias("cls")), f"{name}-classes")
-
-    def still_open(cls: DataFrame, name: str) -> DataFrame:
-        return scratch.save(cls.groupBy("component").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y").select("component"), name)
+    def classes(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+        """The class of each document, and the groups that have several, with their count."""
+        got = components(scratch, found, name).withColumnRenamed("node", "doc").withColumnRenamed("component", "cls")
+        cls = scratch.save(wide.join(broadcast_if_small(got, got.count(), 16), "doc", "left").select("component", "doc", "n", F.coalesce("cls", "doc").alias("cls")), f"{name}-classes")
+        left = scratch.save(cls.groupBy("component").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y").select("component"), f"{name}-open")
+        n = left.count()
+        return cls, broadcast_if_small(left, n, 16), n
 
     # Every document meets the least one it was linked to.
     lead = links.select(F.greatest("a", "b").alias("doc"), F.least("a", "b").alias("group")).where("doc != group").groupBy("doc").agg(F.min("group").alias("group"))
-    units = scratch.save(dealt(wide.join(lead, "doc").select("group", "doc", "n")), "unit-members")
+    units = scratch.save(dealt(lead.join(broadcast_if_small(wide, wide.count(), 24), "doc").select("group", "doc", "n"), "fold-1"), "unit-members")
     units = units.unionByName(units.select("group", "lo", "hi", F.col("group").alias("doc")).distinct())
     found = meet(units, "fold-1")
-    cls = classes(found, "fold-1c")
-    left = still_open(cls, "open-1")
-    if not left.isEmpty():
+    cls, left, n_left = classes(found, "fold-1c")
+    if n_left:
         # The least of each class meet each other.
-        heads = cls.join(left, "component", "left_semi").where("doc = cls").select(F.col("component").alias("group"), "doc", "n").distinct()
-        found = found.unionByName(meet(dealt(heads), "fold-2"))
-        cls = classes(found, "fold-2c")
-        left = still_open(cls, "open-2")
-    if not left.isEmpty():
+        heads = cls.join(left, "component", "left_semi").where("doc = cls").select(F.col("component").alias("group"), "doc", "n")
+        found = found.unionByName(meet(dealt(heads, "fold-2"), "fold-2"))
+        cls, left, n_left = classes(found, "fold-2c")
+    if n_left:
         # What is outside the largest class meets all documents of the group.
         rest = cls.join(left, "component", "left_semi")
         sizes = rest.groupBy("component", "cls").agg(F.count("*").alias("k"))
-        largest = sizes.groupBy("component").agg(F.min_by("cls", F.struct(-F.col("k"), "cls")).alias("big"))
-        rows = rest.join(largest, "component").select(F.col("component").alias("group"), "doc", "n", (F.col("cls") == F.col("big")).alias("main"))
-        met = _meetings(scratch, scratch.save(rows, "blocks"), "group", members, "block-sizes", block)
+        largest = scratch.save(sizes.groupBy("component").agg(F.min_by("cls", F.struct(-F.col("k"), "cls")).alias("big")), "largest")
+        rows = rest.join(broadcast_if_small(largest, n_left, 24), "component").select(F.col("component").alias("group"), "doc", "n", (F.col("cls") == F.col("big")).alias("main"))
+        met = _meetings(scratch, rows, "group", members, "block-sizes", block)
         found = found.unionByName(meet(met, "cross"))
     return found
 
@@ -376,7 +376,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     )
     links = _candidates(scratch, reps, reach(percent), bucket or BUCKET)
     groups = components(scratch, links, "candidates").withColumnRenamed("node", "doc")
-    groups = scratch.save(groups.join(reps.groupBy("doc").agg(F.max("n").alias("n")), "doc").select("component", "doc", "n"), "groups")
+    groups = reps.select("doc", "n").join(broadcast_if_small(groups, groups.count(), 24), "doc").groupBy("component", "doc").agg(F.max("n").alias("n"))
+    groups = scratch.save(groups, "groups")
     large = groups.groupBy("component").agg(F.count("*").alias("d"), F.sum("n").alias("n")).where((F.col("d") > members) | (F.col("n") > block)).select("component")
     large = scratch.save(large, "large")
     n_large = large.count()
@@ -392,8 +393,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     if not twice.isEmpty():
         own = known.join(twice, "doc_id", "left_semi").select("doc_id", "fp").distinct().join(reps.select("fp", "doc"), "fp")
         confirmed = confirmed.unionByName(own.select(F.col("doc").alias("a"), F.min("doc").over(Window.partitionBy("doc_id")).alias("b")).where("a != b"))
-    joined = components(scratch, confirmed, "links")
-    classes = reps.select("fp", "doc", "copies").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component"), "doc", "copies")
+    joined = components(scratch, confirmed, "links").withColumnRenamed("node", "doc")
+    classes = reps.select("fp", "doc", "copies").join(broadcast_if_small(joined, joined.count(), 24), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component"), "doc", "copies")
     shared = scratch.save(classes.where("copies > 1 OR component != doc").select("fp", "component"), "classes")
     out = feats.select("doc_id", "n_shingles", "fp").join(shared, "fp", "left")
     component = F.coalesce("component", "doc_id")

@@ -186,16 +186,18 @@ def test_repeated_ids_are_one_node(spark):
     assert sorted(r["doc_id"] for r in minhash.drop_duplicates(df, 3, 85).collect()) == [1, 9, 11]
 
 
-def test_components_of_chains_stars_and_rings(spark):
+@pytest.mark.parametrize("small", [0, None])
+def test_components_of_chains_stars_and_rings(spark, small):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
+    links += [(2**62 + i, 2**62 + i + 1) for i in range(20)] + [(-(2**63), 2**63 - 1)]
     links += [(r.randint(5000, 5400), r.randint(5000, 5400)) for _ in range(250)]
     r.shuffle(links)
     groups = Groups()
     for a, b in links:
         groups.join(a, b)
     nodes = {x for a, b in links if a != b for x in (a, b)}
-    got = components(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long"), "c")
+    got = components(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long"), "c", small=small)
     assert sorted(map(tuple, got.collect())) == sorted((x, groups.root(x)) for x in nodes)
 
 
