@@ -1,8 +1,12 @@
 """Toxicity scores: a learned lexicon in a trie, met by a Levenshtein automaton, weighed in context.
 
-1. Lexicon. Words and word beginnings (stems) that at least SHARE of the toxic training texts hold are
-   candidates; there are never more than (terms a text) / SHARE of them. All clean training texts are
-   counted for these, and what is PURE enough becomes a term with its log odds as weight.
+1. Lexicon. Words and word beginnings (stems) are counted over all toxic and clean training texts. What
+   is PURE enough and whose count chance does not explain (a likelihood ratio of GAIN, whatever the size
+   of the corpus, so more data teach rarer terms) is a candidate; the TERMS of most gain are kept, which
+   bounds what reaches the driver and the workers. Copies of one toxic text make all its rare words look
+   pure, so candidates are counted again by the pair of neighbours they stand between, one pair a text,
+   equal ones once, and have to reach GAIN with that count too. What is left becomes a term with its log
+   odds as weight.
 2. Matching. The trie of terms and an automaton of one edit are run together, as one automaton whose
    states are sets of (trie node, edits), made when first met. A word leaves it after a few letters
    unless it is within one edit of a term. Terms of under FUZZY letters match exactly only.
@@ -23,14 +27,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import broadcast_if_small
+from lexitide.llm.common import Scratch, broadcast_if_small
 from lexitide.llm.language import fold
 
-#: Least share of toxic texts that hold a candidate, and least number of them.
-SHARE, LEAST = 0.003, 4
+#: Least likelihood ratio (G squared, one degree of freedom) of a term, and most terms.
+GAIN, TERMS = 24.0, 20_000
+#: Candidates up to which clean texts are counted for these only; beyond it all terms of clean texts are counted and joined.
+KNOWN = 200_000
 #: Least probability, at equal priors, that a text with the term is toxic.
 PURE = 0.95
 STEM = range(4, 8)
@@ -84,6 +91,41 @@ def _document_counts(texts: DataFrame, known=None) -> DataFrame:
     return texts.mapInArrow(_count(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def contexts(text: str, known) -> dict[str, int]:
+    """For each known word or stem of a text the least hash of the words on both its sides: copies of a text have the same ones."""
+    w = [x for x in map(bare, text.lower().split()) if x]
+    out: dict[str, int] = {}
+    for i, x in enumerate(w):
+        found = [t for t in (x, *(f"{x[:n]}*" for n in STEM if len(x) > n)) if t in known]
+        if found:
+            sides = xxhash.xxh3_64_intdigest(f"{w[i - 1] if i else ''} {w[i + 1] if i + 1 < len(w) else ''}") - (1 << 63)
+            for t in found:
+                out[t] = min(out.get(t, sides), sides)
+    return out
+
+
+def _contexts(known):
+    def run(batches):
+        for batch in batches:
+            rows = [r for t in batch.column(0).to_pylist() for r in contexts(t or "", known.value).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "sides"])
+
+    return run
+
+
+def gain(a, b, n, m):
+    """Columns: the likelihood ratio of a of n toxic texts and b of m clean ones against one common share."""
+    term = lambda k, e: F.when(k > 0, k * F.ln(k / e)).otherwise(0.0)
+    both, share = a + b, n / (n + m)
+    rest = n + m - both
+    return 2 * (term(a, both * share) + term(b, both * (1 - share)) + term(n - a, rest * share) + term(m - b, rest * (1 - share)))
+
+
+def least_support(n_toxic: int, n_clean: int) -> int:
+    """The fewest toxic texts, with no clean one, that can reach GAIN: 2 k ln(all / toxic) is the most that k texts can."""
+    return max(2, math.ceil(GAIN / (2 * math.log((n_toxic + n_clean) / n_toxic))))
+
+
 def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Pure terms with their log odds. A stem replaces words only if it reaches half as many texts again as each of them; longer stems fall to shorter."""
     odds = lambda t: math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
@@ -256,11 +298,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[dict[st
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return {}, None
-    least = max(LEAST, math.ceil(SHARE * n_toxic))
-    toxic = {r["term"]: r["n"] for r in _document_counts(joined.where("toxic = 1").select("text")).where(F.col("n") >= least).collect()}
-    known = spark.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["term"]: r["n"] for r in _document_counts(joined.where("toxic = 0").select("text"), known).collect()}
-    terms = choose_terms(toxic, clean, n_toxic, n_clean)
+    scratch = Scratch(spark, "toxicity")
+    least = least_support(n_toxic, n_clean)
+    toxic = scratch.save(_document_counts(joined.where("toxic = 1").select("text")).where(F.col("n") >= least), "toxic")
+    n_terms, known = toxic.count(), None
+    if n_terms <= KNOWN:
+        known = spark.sparkContext.broadcast(frozenset(r["term"] for r in toxic.select("term").collect()))
+    clean = _document_counts(joined.where("toxic = 0").select("text"), known).withColumnRenamed("n", "m")
+    a, b, n, m = F.col("n").cast("double"), F.coalesce("m", F.lit(0)).cast("double"), F.lit(float(n_toxic)), F.lit(float(n_clean))
+    pure = F.ln((a + 0.5) / (n + 1)) - F.ln((b + 0.5) / (m + 1)) >= math.log(PURE / (1 - PURE))
+    ranked = toxic.join(clean, "term", "left").select("term", "n", b.cast("long").alias("m"), gain(a, b, n, m).alias("gain"), pure.alias("pure"))
+    kept = scratch.save(ranked.where((F.col("gain") >= GAIN) & F.col("pure")).orderBy(F.desc("gain"), "term").limit(TERMS), "kept")
+    known = spark.sparkContext.broadcast(frozenset(r["term"] for r in kept.select("term").collect()))
+    sides = joined.where("toxic = 1").select("text").mapInArrow(_contexts(known), "term string, sides long").distinct().groupBy("term").agg(F.count("*").alias("k"))
+    again = F.col("k").cast("double")
+    kept = kept.join(sides, "term").where(gain(again, F.col("m").cast("double"), n, m) >= GAIN).select("term", "n", "m").collect()
+    scratch.clear()
+    terms = choose_terms({r["term"]: r["n"] for r in kept}, {r["term"]: r["m"] for r in kept}, n_toxic, n_clean)
     part = rows / (n_toxic + n_clean)
     some = joined.where("toxic IN (0, 1)")
     if part < 1:

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from lexitide.llm import toxicity
 from tests.llm import rows
@@ -67,6 +70,96 @@ def test_quotation_is_told_from_abuse():
     assert f(None) == f("") and f("clean words only")["none"] == 1
 
 
+def plain_features(text):
+    """The features by their definition: edit distances to all terms, windows counted one by one."""
+    tokens = (text or "").lower().split()
+    hits = {}
+    for i, t in enumerate(tokens):
+        w = toxicity.bare(t)
+        m = brute(w) if w else None
+        if m:
+            hits[i] = (TERMS[m[0]], m[1])
+    sums = dict.fromkeys(toxicity.FEATURES, 0.0)
+    for i, (weight, distance) in hits.items():
+        window = [j for j in range(len(tokens)) if abs(i - j) <= toxicity.WINDOW]
+        marks = [j for j in window if set(tokens[j]) & set("\"«»“”„")]
+        if len(marks) >= 2 or any(toxicity.bare(tokens[j]) in toxicity._REPORT for j in window):
+            sums["quoted"] += 1
+        else:
+            sums["near" if distance else "exact"] += weight / 4
+        sums["crowd"] += len([j for j in window if j in hits and j != i])
+        sums["address"] += any(toxicity.bare(tokens[j]) in toxicity._ADDRESS for j in window)
+    out = [math.log(1 + sums[k]) for k in ("exact", "near", "quoted", "crowd", "address")]
+    return [*out, 10 * len(hits) / max(20, len(tokens)), 0.0 if hits else 1.0]
+
+
+def test_features_against_their_definition():
+    r, m = random.Random(8), toxicity.Matcher(TERMS)
+    words = ["you", "said", '"the', 'end"', "idiot", "idot", "Idiots!", "clown,", "clwn", "worthless", "wortless", "bad", "badd", "pathetic.", "patetic", "rest", "of", "it", "--", "«so»"]
+    for n in (0, 1, 5, 30, 200):
+        for _ in range(30):
+            text = " ".join(r.choices(words, weights=[2, 1, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 6, 6, 6, 2, 1], k=n))
+            assert np.allclose(toxicity.features(text, m), plain_features(text)), text
+
+
+def plain_lexicon(data):
+    """Terms by counting in dictionaries, with the likelihood ratio written out."""
+    seen = [(t, y, toxicity.terms_of(t or "")) for t, y in data]
+    n, m = sum(y for *_, y, _ in seen), sum(1 - y for *_, y, _ in seen)
+
+    def ratio(a, b):
+        out = 0.0
+        for k, total in ((a, n), (b, m)):
+            for count, share in ((k, (a + b) / (n + m)), (total - k, 1 - (a + b) / (n + m))):
+                out += 2 * count * math.log(count / (total * share)) if count else 0.0
+        return out
+
+    toxic, clean = Counter(), Counter()
+    for _, y, terms in seen:
+        (toxic if y else clean).update(terms)
+    pure = {t: a for t, a in toxic.items() if (a + 0.5) / (n + 1) >= 19 * (clean[t] + 0.5) / (m + 1) and ratio(a, clean[t]) >= toxicity.GAIN}
+    sides: dict = {}
+    for text, y, _ in seen:
+        if y:
+            w = [x for x in map(toxicity.bare, (text or "").lower().split()) if x]
+            own: dict = {}
+            for i, x in enumerate(w):
+                pair = xxhash.xxh3_64_intdigest(f"{w[i - 1] if i else ''} {w[i + 1] if i + 1 < len(w) else ''}")
+                for t in [x, *(x[:k] + "*" for k in range(4, 8) if len(x) > k)]:
+                    if t in pure:
+                        own[t] = min(pair, own.get(t, pair))
+            for t, pair in own.items():
+                sides.setdefault(t, set()).add(pair)
+    kept = {t: a for t, a in pure.items() if ratio(len(sides[t]), clean[t]) >= toxicity.GAIN}
+    return toxicity.choose_terms(kept, clean, n, m)
+
+
+def test_lexicon_against_plain_counts(spark):
+    """Terms that a few texts hold are learned at any size of the corpus; the words of one copied text are not."""
+    r = random.Random(12)
+    data = [(rows.prose(i, 40), 0) for i in range(900)]
+    for i in range(60):
+        w = rows.prose(2000 + i, 30).split()
+        w.insert(r.randint(0, 29), r.choice(["zwonk", "grubbles", "grubbled", "grubbling"]) if i < 40 else "rarely")
+        data.append((" ".join(w), 1))
+    for i in range(20):
+        w = rows.prose(3000 + i, 30).split()
+        if i < 9:
+            w[7] = "snarfy"
+        data.append((" ".join(w), 1))
+    data += [("copied words of a single qwerpish text only", 1)] * 25
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    terms, _ = toxicity.train(docs, labels)
+    assert terms == pytest.approx(plain_lexicon(data))
+    assert "snarfy" in terms and any(t.startswith("grub") for t in terms) and not any(t.startswith("qwer") for t in terms)
+
+
+def test_rarer_terms_are_learned_from_more_texts():
+    """Support is absolute: what suffices does not grow with the corpus."""
+    assert toxicity.least_support(100, 1000) == toxicity.least_support(10**8, 10**9) <= 8
+
+
 def test_held_out_quality(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic").distinct()
