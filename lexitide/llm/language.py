@@ -1,13 +1,21 @@
 """Language identification by mixture inference over byte trigrams.
 
 Training counts the trigrams of all training texts per language into BUCKETS hashed cells: one partial
-table a task, summed by Spark, so the model has languages x BUCKETS numbers whatever the corpus size.
+table a task, summed by Spark, so the model has languages x BUCKETS numbers whatever the corpus size. At
+most LANGUAGES are learned, those with most training trigrams, as the column may hold any strings.
 
 A document is a mixture: each of its trigrams comes from language l with probability share[l]. The
 shares are fitted by expectation-maximisation over all languages. If a second one holds more than
 TRACE, the set of languages grows greedily from the likeliest single one for as long as the log
 likelihood gains more than PENALTY * log(trigrams) for another. The prediction is the largest share.
 
+PENALTY is eight times the half that one more parameter costs for independent draws, as the trigrams of a
+text repeat and overlap. Held out at sf0.1, pieces of 400 and 3,000 characters of one language stay one
+language in 97.8 % of cases at 0.5, 98.2 % at 2, 98.9 % at 4 and 99.1 % at 8, while the two languages of
+joined pieces (shares of a half, a quarter and a tenth, 600 and 3,000 characters) are both found, and no
+third, in 95 to 98 % at any of them. TRACE keeps languages of no share out of the search: none of those
+mixtures is found less often with it than without (at 0.1, half of those with a tenth would be).
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is all text if
 nothing was learned; ties go to the language that sorts first; very long texts are taken whole;
 repeated rows give equal rows; null doc_ids are not held out and train nothing; an empty table gives an
@@ -21,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexitide.llm.common import Scratch
+
 BUCKETS = 1 << 16
+#: Most languages of a model (a table of 64 MB), and most whose counts a worker holds at a time.
+LANGUAGES, HELD = 256, 64
 SMOOTH = 0.1
 TRACE, PENALTY, ROUNDS = 0.02, 4.0, 40
 
@@ -41,31 +53,43 @@ def trigrams(text: str) -> np.ndarray:
 
 def _count(batches):
     seen: dict[str, np.ndarray] = {}
+
+    def out():
+        for lang, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if lang not in seen:
+                if len(seen) >= HELD:
+                    yield from out()
+                    seen.clear()
                 seen[lang] = np.zeros(BUCKETS, np.int64)
             g = trigrams(text)
             if len(g) > BUCKETS // 8:
                 seen[lang] += np.bincount(g, minlength=BUCKETS)
             else:
                 np.add.at(seen[lang], g, 1)
-    for lang, n in seen.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+    yield from out()
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities [bucket, language]) of docs(text, lang); rows with a null in either are left out."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
-    got = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    scratch = Scratch(docs.sparkSession, "language")
+    counts = scratch.save(rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    most = counts.groupBy("lang").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "lang").limit(languages).select("lang")
+    got = counts.join(F.broadcast(most), "lang").toArrow()  # at most `languages` rows are broadcast, languages x BUCKETS collected
+    scratch.clear()
     langs = sorted(set(got.column("lang").to_pylist()))
     table = np.full((BUCKETS, len(langs)), SMOOTH)
     if langs:
-        which = np.array([langs.index(x) for x in got.column("lang").to_pylist()], int)
+        index = {x: i for i, x in enumerate(langs)}
+        which = np.array([index[x] for x in got.column("lang").to_pylist()], int)
         table[got.column("bucket").to_numpy(), which] += got.column("n").to_numpy()
         table /= table.sum(0)
-    return langs, table
+    return langs, table.astype(np.float32)
 
 
 def shares(p: np.ndarray, c: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, float]:
@@ -120,7 +144,7 @@ def identify(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str
         g, c = np.unique(g, return_counts=True)
     else:
         c = np.ones(len(g))
-    share, post = mixture(table[g], c.astype(float))
+    share, post = mixture(table[g].astype(float), c.astype(float))
     best = int(np.argmax(share))
     score = float(share[best]) if share[best] < 1 else float(post[best])
     return langs[best], min(1.0, max(0.0, score)), [(langs[i], float(share[i])) for i in np.argsort(-share, kind="stable") if share[i] > 0]

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexitide.llm import language
@@ -62,6 +64,73 @@ def test_likelihood_never_falls(model):
     assert both >= max(one) - 1e-9 and abs(pi.sum() - 1) < 1e-9
 
 
+def plain_mixture(text, langs, table):
+    """Expectation-maximisation and the search for the set, one trigram after the other in dictionaries."""
+    data = (" " + text.lower() + " ").encode()
+    clean = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in data)
+    counts: dict = {}
+    for i in range(len(clean) - 2):
+        a, b, c = clean[i : i + 3]
+        if not (b == 32 and 32 in (a, c)):
+            code = ((a * 65536 + b * 256 + c) * 2654435761) % 2**32 >> 16
+            counts[code] = counts.get(code, 0) + 1
+    total = sum(counts.values())
+    p = {g: [float(x) for x in table[g]] for g in counts}
+
+    def em(chosen):
+        share = {x: 1 / len(chosen) for x in chosen}
+        for _ in range(language.ROUNDS if len(chosen) > 1 else 0):
+            new = dict.fromkeys(chosen, 0.0)
+            for g, n in counts.items():
+                whole = sum(share[x] * p[g][x] for x in chosen)
+                for x in chosen:
+                    new[x] += n * share[x] * p[g][x] / whole / total
+            moved = max(abs(new[x] - share[x]) for x in chosen)
+            share = new
+            if moved < 1e-4:
+                break
+        return share, sum(n * math.log(sum(share[x] * p[g][x] for x in chosen)) for g, n in counts.items())
+
+    every, _ = em(list(range(len(langs))))
+    alone = {x: em([x])[1] for x in range(len(langs))}
+    best = max(alone, key=lambda x: (alone[x], -x))
+    chosen, share, level = [best], {best: 1.0}, alone[best]
+    if sorted(every.values())[-2] > language.TRACE:
+        while True:
+            tried = [(em([*chosen, x]), x) for x in every if x not in chosen and every[x] > language.TRACE / 2]
+            if not tried:
+                break
+            (new, reached), x = max(tried, key=lambda t: t[0][1])
+            if reached - level <= language.PENALTY * math.log(total):
+                break
+            chosen, share, level = [*chosen, x], new, reached
+    return {langs[x]: s for x, s in share.items()}
+
+
+def test_mixtures_against_plain_expectation_maximisation(spark, model):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang IS NOT NULL AND length(text) BETWEEN 200 AND 3000").orderBy("doc_id").limit(60).collect()
+    texts = [r["text"][:700] for r in docs] + [f"{a['text'][:300]} {b['text'][:200]}" for a, b in zip(docs[:40], docs[20:60], strict=True)]
+    several = 0
+    for t in texts:
+        want, got = plain_mixture(t, *model), language.identify(t, *model)
+        several += len(want) > 1
+        assert dict(got[2]) == pytest.approx(want, abs=1e-6) and want[got[0]] == pytest.approx(max(want.values()), abs=1e-6)
+    assert several > 10
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    data = [(f"some words of language number {i} " * (i % 50 + 1), f"l{i}") for i in range(300)]
+    df = spark.createDataFrame(data, "text string, lang string").repartition(4)
+    langs, table = language.train(df, 20)
+    assert len(langs) == 20 and table.shape == (language.BUCKETS, 20) and set(langs) <= {f"l{i}" for i in range(300) if i % 50 >= 45}
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in data]), pa.array([x for _, x in data])], ["text", "lang"])
+    whole = pa.Table.from_batches(list(language._count([batch]))).to_pandas()
+    monkeypatch.setattr(language, "HELD", 7)
+    parts = pa.Table.from_batches(list(language._count([batch]))).to_pandas()
+    key = ["lang", "bucket"]
+    assert parts.groupby(key)["n"].sum().equals(whole.groupby(key)["n"].sum())
+
+
 def test_edge_rows(spark, model):
     data = rows.edge_rows()
     got = sorted(((r["doc_id"], r["lang_pred"]) for r in language.predict(rows.frame(spark, data, clashes=True), model).collect()), key=str)
