@@ -15,8 +15,11 @@ date     y-m-d, d/m/y or m/d/y that exist            the day within the same spa
 email    local@domain.tld                            letters and digits of the local part, each within its alphabet
 secret   16 or more characters assigned to a key word   digits and letters, each within its alphabet
 
+Values of more than LONG characters (e-mails and secrets have any length) are permuted part by part, each
+part under the plain ones before it: still invertible, still equal for equal values, in linear time.
+
 Defined cases: null texts stay null and empty ones empty, with zero counts; very long texts are
-scanned whole, in time linear in their length; repeated rows give equal rows; an empty table gives
+scanned whole, in time linear in their length, and so are values; repeated rows give equal rows; an empty table gives
 an empty result; further columns stay as they are, whatever their names (added columns give way).
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import logging
 import math
 import re
 
@@ -35,15 +39,21 @@ from pyspark.sql import types as T
 from lexitide.llm.common import free_names
 
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
-#: For tests and reports only; production passes its own.
-KEY = b"lexitide public test key"
+#: For tests and public data only: whoever reads this can invert it. Production passes its own.
+TEST_KEY = b"lexitide public test key"
+#: The session setting that holds the key of registered queries and of the corpus pipeline.
+KEY_SETTING = "spark.lexitide.pii.key"
 ROUNDS = 10
+#: Characters that one permutation takes.
+LONG = 256
 
 
 class Pseudonyms:
     """Keyed permutations of numbers and of strings over mixed alphabets."""
 
-    def __init__(self, key: bytes = KEY, inverse: bool = False):
+    def __init__(self, key: bytes, inverse: bool = False):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key, self.inverse = hashlib.blake2b(key, digest_size=32).digest(), inverse
 
     def number(self, x: int, size: int, tweak: str) -> int:
@@ -72,6 +82,13 @@ class Pseudonyms:
 
     def characters(self, s: str, tweak: str, only_hex: bool = False) -> str:
         """Permutes ASCII letters among letters (cases stay) and digits among digits; with only_hex, hexadecimal digits."""
+        if len(s) > LONG:
+            out, plain = [], hashlib.blake2b(digest_size=16)
+            for a in range(0, len(s), LONG):
+                new = self.characters(s[a : a + LONG], f"{tweak}+{a}:{len(s)}:{plain.hexdigest()}", only_hex)
+                plain.update((new if self.inverse else s[a : a + LONG]).encode())
+                out.append(new)
+            return "".join(out)
         places: list[tuple[int, int, int]] = []
         x, size = 0, 1
         for i, c in enumerate(s):
@@ -188,7 +205,7 @@ def _emails(text: str, p: Pseudonyms):
     at, floor = text.find("@"), 0
     while at >= 0:
         a = at
-        while a > floor and at - a < 64 and text[a - 1] in _LOCAL:
+        while a > floor and text[a - 1] in _LOCAL:
             a -= 1
         while a < at and text[a] in ".-+%":
             a += 1
@@ -278,7 +295,16 @@ def _run(text: int, cols: list[str], key: bytes, inverse: bool):
     return run
 
 
-def with_pseudonyms(docs: DataFrame, text: str = "text", key: bytes = KEY, inverse: bool = False) -> DataFrame:
+def key_of(spark) -> bytes:
+    """The key that the session is set to. Without one the public test key goes, with a warning: enough for public data, and hides nothing."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key:
+        return key.encode()
+    logging.getLogger(__name__).warning("%s is not set: pseudonyms under the public test key can be inverted by anyone", KEY_SETTING)
+    return TEST_KEY
+
+
+def with_pseudonyms(docs: DataFrame, key: bytes, text: str = "text", inverse: bool = False) -> DataFrame:
     """docs with text pseudonymised and a count n_<kind> for each kind added at the end; no shuffle."""
     cols, at = docs.columns, docs.columns.index(text)
     plain = docs.toDF(*(f"__c{i}" for i in range(len(cols))))
@@ -287,7 +313,7 @@ def with_pseudonyms(docs: DataFrame, text: str = "text", key: bytes = KEY, inver
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key_of(spark))
 
 
 QUERIES = {"op1_pii_pseudonyms": op1}

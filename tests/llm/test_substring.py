@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
 from lexitide.llm import substring
-from tests import oracle
 from tests.llm import rows
 
 GAP = re.compile(r"[ \t\n\r\x0b\x0c.!?,;:]+")
@@ -26,17 +27,16 @@ def units(text: str) -> list[str]:
 def spans(text: str):
     """(first, end, key) by the definition: UNITS units or more, WORDS words or more, as few as possible, forward and from behind."""
     u = units(text)
-    words = [0]
-    at = 0
-    for x in u:
-        at += len(x)
-        words.append(len(re.findall(r"(?:(?<=[ \t\n\r\x0b\x0c])|^)[^ \t\n\r\x0b\x0c]", text[:at])))
-    enough = lambda i, e: e - i >= substring.UNITS and words[e] - words[i] >= substring.WORDS
+    starts = [m.start() for m in re.finditer(r"(?:(?<=[ \t\n\r\x0b\x0c])|^)[^ \t\n\r\x0b\x0c]", text)]
+    words = [bisect_left(starts, at) for at in accumulate(map(len, u), initial=0)]
     n, found = len(u), set()
-    for i in range(n):
-        found.update([(i, e) for e in range(i, n + 1) if enough(i, e)][:1])
-    for e in range(n + 1):
-        found.update([(i, e) for i in range(e, -1, -1) if enough(i, e)][:1])
+    for i in range(n + 1):
+        e = max(i + substring.UNITS, bisect_left(words, words[i] + substring.WORDS))
+        if e <= n:
+            found.add((i, e))
+        b = min(i - substring.UNITS, bisect_right(words, words[i] - substring.WORDS) - 1)
+        if b >= 0:
+            found.add((b, i))
     for i, e in sorted(found):
         yield i, e, tuple(x.strip(" \t\n\r\x0b\x0c") for x in u[i:e])
 
@@ -76,19 +76,14 @@ def count_column(monkeypatch):
     monkeypatch.setattr(substring, "remove_repeats", lambda df: (lambda out: out.toDF(*out.columns[:-1], "__n"))(real(df)))
 
 
-def short_edges():
-    """The edge rows, with texts that the quadratic brute force can take, and no id with two texts."""
-    return [(d, t if t is None or len(t) < 9000 else t[:9000]) for d, t, *_ in rows.edge_rows() if not (t or "").startswith("another")]
-
-
 def test_edge_rows(spark):
-    data = short_edges()
+    data = [(d, t) for d, t, *_ in rows.edge_rows() if not (t or "").startswith("another")]  # no id with two texts
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     check(spark, data, df)
 
 
 def test_whole_table(spark):
-    df = spark.read.parquet(f"{oracle.DATA}/documents.parquet").select("doc_id", "text").where("length(text) < 6000").repartition(6)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(6)
     check(spark, [tuple(r) for r in df.collect()], df)
 
 
