@@ -4,7 +4,11 @@ A text is cut after every run of sentence or clause marks or line ends (MARKS) w
 that follows, so the units joined together give the text again. Clause marks count as ends because
 passages are often pasted into the middle of a sentence. From each unit a span runs forward, and to
 each unit one runs from behind, over as few units as give UNITS units and WORDS words; so spans cover
-a repeated passage from its first whole unit to its last. Spans are hashed to 128 bits over the units without
+a repeated passage from its first whole unit to its last. At sf0.1, of the 2,077 runs of 50 or more words
+that an earlier document holds, 90 % go by half or more (what stays is junk: one word again and again,
+without marks), and 97.5 % of the documents that share no 50 words with any other, nor repeat them, stay
+untouched. With sentence marks alone it is 76 % and 98 % (at 20 words); with 20 words instead of 25, 90 %
+and 96.8 %. WORDS is half of 50, as a passage may lose most of a unit at either end. Spans are hashed to 128 bits over the units without
 their outer white space and joined over all documents. A unit that lies in any span which is not the
 first of its kind, by (doc_id, hash of the text, position), is removed; the rest stays as it was.
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from lexitide.llm.common import Scratch, free_names, splitmix
 
 MARKS = b".!?,;:\n"
-UNITS, WORDS = 3, 20
+UNITS, WORDS = 3, 25
 #: Bytes of text whose spans are looked at together.
 SLICE = 4 << 20
 #: Hashes that a task remembers.
