@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions.text import UNKNOWN, bigrams
 
-#: The two-sided 5 % quantile of the normal distribution.
-Z = 1.959963984540054
 NO_FOLLOWER = 0.1
 
 
@@ -83,7 +82,12 @@ def frequencies(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by, F.col("n").alias("r")).agg(F.count("*").alias("n_r"))
 
 
-def good_turing(freq: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def quantile(p_value: float) -> float:
+    """The two-sided quantile of the normal distribution: 1.96 for 0.05."""
+    return NormalDist().inv_cdf(1 - p_value / 2)
+
+
+def good_turing(freq: DataFrame, by: list[str], p_value: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(cstars, groups). Ascending r: Turing's estimate while it differs significantly from the smoothed one, then the latter for good.
 
     A group fails if the fitted slope is above -1 or unknown, or if r + 1 is missing before the switch.
@@ -99,7 +103,7 @@ def good_turing(freq: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     s = lambda x: F.exp(F.col("a") * F.ln(x) + F.col("b"))
     n = F.col("n_r").cast("double")
     x = (r + 1) * F.col("n_next") / n
-    width = Z * F.sqrt((r + 1) * (r + 1) * (F.col("n_next") / (n * n)) * (1 + F.col("n_next") / n))
+    width = quantile(p_value) * F.sqrt((r + 1) * (r + 1) * (F.col("n_next") / (n * n)) * (1 + F.col("n_next") / n))
     both = base.join(line, by) if by else base.crossJoin(F.broadcast(line))
     both = both.withColumn("x", x).withColumn("y", (r + 1) * s(r + 1) / s(r)).withColumn("width", width)
     every = Window.partitionBy(*by)
@@ -154,7 +158,7 @@ def alphas(pairs: DataFrame, unigrams: DataFrame, by: list[str], mode: str = "re
     return unigrams.select(*by, F.col("w").alias("w1")).join(got, [*by, "w1"], "left").select(*by, "w1", F.coalesce("alpha", F.lit(NO_FOLLOWER)).alias("alpha"))
 
 
-def fit(posts: DataFrame, by: list[str], words: str = "text", *, leave_unknown=100, max_size=None, max_discount: float = 0.9, gamma: float = 0.2, alpha_mode: str = "reference", smoothing: str = "sgt", default_discount: float = 0.5, keep=lambda df, name: df) -> Model:
+def fit(posts: DataFrame, by: list[str], words: str = "text", *, leave_unknown=100, max_size=None, max_discount: float = 0.9, gamma: float = 0.2, alpha_mode: str = "reference", smoothing: str = "sgt", default_discount: float = 0.5, p_value: float = 0.05, keep=lambda df, name: df) -> Model:
     """A model for each group of posts. keep(df, name) may write a table that several others read and give back the stored one."""
     counts = keep(token_counts(posts, by, words), "tokens")
     vocab = keep(vocabulary(counts, by, max_size, leave_unknown), "vocab")
@@ -162,7 +166,7 @@ def fit(posts: DataFrame, by: list[str], words: str = "text", *, leave_unknown=1
     pairs = keep(pairs, "pairs")
     unigrams = keep(unigram_model(unigram_counts(counts, vocab, by), vocab, by, gamma), "unigrams")
     freq = frequencies(pairs, by)
-    cstars, groups = good_turing(freq, by) if smoothing == "sgt" else plain_turing(freq, by, default_discount)
+    cstars, groups = good_turing(freq, by, p_value) if smoothing == "sgt" else plain_turing(freq, by, default_discount)
     cstars = keep(cstars, "cstars")
     seen = pairs.join(cstars.select(*by, F.col("r").alias("n"), "c_star"), [*by, "n"])
     first = Window.partitionBy(*by, "w1")
@@ -182,14 +186,31 @@ def probabilities(pairs: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("prob", F.coalesce("p", F.col("alpha") * F.col("p_u"))).drop("p", "alpha", "p_u")
 
 
+def pairs_of(posts: DataFrame, keys: list[str], words: str = "text") -> DataFrame:
+    """(keys, w1, w2): a row for each bigram of each post, in no shuffle."""
+    return posts.select(*keys, F.inline_outer(bigrams(F.col(words)))).where("w1 IS NOT NULL")
+
+
+def bits_of(pairs: DataFrame, model: Model, log: str = "log2") -> DataFrame:
+    """(by, w1, w2, bits) for distinct pairs(by, w1, w2), under the words as they are: each is looked up once, however many posts hold it."""
+    by = model.by
+    looked = probabilities(pairs.select(*by, "w1", "w2", F.col("w1").alias("__1"), F.col("w2").alias("__2")), model)
+    return looked.select(*by, F.col("__1").alias("w1"), F.col("__2").alias("w2"), (-(F.log2("prob") if log == "log2" else F.ln("prob"))).alias("bits"))
+
+
 def entropies(posts: DataFrame, model: Model, key: str = "post_id", words: str = "text", log: str = "log2") -> DataFrame:
-    """(by, key, n_bigrams, raw, score): cross-entropy of each post; 0 for posts without bigrams."""
+    """(by, key, n_bigrams, raw, score): cross-entropy of each post; 0 for posts without bigrams.
+
+    Rows of posts pass two shuffles, one by bigram and one by post; vocabulary and model meet distinct bigrams only.
+    """
     by = model.by
-    bits: Column = F.log2("prob") if log == "log2" else F.ln("prob")
-    probs = probabilities(pair_counts(posts, [*by, key], words), model)
-    sums = probs.groupBy(*by, key).agg(F.sum("n").alias("n_bigrams"), (-F.sum(F.col("n") * bits)).alias("raw"))
-    rows = posts.select(*by, key).join(model.groups.where("success").select(*by), by, "left_semi").join(sums, [*by, key], "left")
-    return rows.select(*by, key, F.coalesce("n_bigrams", F.lit(0)).cast("long").alias("n_bigrams"), F.coalesce("raw", F.lit(0.0)).alias("raw"), F.coalesce(F.try_divide("raw", "n_bigrams"), F.lit(0.0)).alias("score"))
+    good = model.groups.where("success").select(*by)
+    mine = posts.join(good, by, "left_semi") if by else posts
+    rows = pairs_of(mine, [*by, key], words)
+    bits = bits_of(rows.select(*by, "w1", "w2").distinct(), model, log)
+    sums = rows.join(bits, [*by, "w1", "w2"]).groupBy(*by, key).agg(F.count("*").alias("n_bigrams"), F.sum("bits").alias("raw"))
+    out = mine.select(*by, key).join(sums, [*by, key], "left")
+    return out.select(*by, key, F.coalesce("n_bigrams", F.lit(0)).cast("long").alias("n_bigrams"), F.coalesce("raw", F.lit(0.0)).alias("raw"), F.coalesce(F.try_divide("raw", "n_bigrams"), F.lit(0.0)).alias("score"))
 
 
 def evaluation(scored: DataFrame, by: list[str]) -> DataFrame:

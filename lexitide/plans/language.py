@@ -45,7 +45,7 @@ def posts(spark, d: str) -> DataFrame:
 
 TOKENS = "regexp_extract_all(coalesce(text, ''), '{}')".format(text.TOKEN.replace("'", "''"))
 POSTS = f"""t AS (SELECT doc_id AS post_id, source AS author, TIMESTAMP '2020-01-01' + to_days((doc_id % 182)::INTEGER) AS true_date, doc_id % 5 AS grp, {TOKENS} AS t FROM documents),
-p AS (SELECT post_id, author, true_date, grp, date_trunc('month', true_date)::DATE AS month, flatten(list_transform(t, lambda x, i: list_concat(list_concat(
+p AS MATERIALIZED (SELECT post_id, author, true_date, grp, date_trunc('month', true_date)::DATE AS month, flatten(list_transform(t, lambda x, i: list_concat(list_concat(
   CASE WHEN i = 1 OR regexp_matches(t[i - 1], '^[.!?]+$') THEN ['<s>'] ELSE []::VARCHAR[] END, [x]), CASE WHEN i = len(t) OR regexp_matches(x, '^[.!?]+$') THEN ['</s>'] ELSE []::VARCHAR[] END))) AS text FROM t)"""
 
 
@@ -62,10 +62,10 @@ def _known(keys: str, source: str, by: str) -> str:
 
 def model_sql(by: str, leave: int) -> str:
     """The model of src(by, post_id, text) as a chain of CTEs."""
-    return f"""tc AS (SELECT {by}, token, count(*) AS n FROM (SELECT {by}, unnest(text) AS token FROM src) GROUP BY ALL),
-voc AS (SELECT {by}, token FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n, token DESC) AS k FROM tc) WHERE k > {leave}),
+    return f"""tc AS MATERIALIZED (SELECT {by}, token, count(*) AS n FROM (SELECT {by}, unnest(text) AS token FROM src) GROUP BY ALL),
+voc AS MATERIALIZED (SELECT {by}, token FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n, token DESC) AS k FROM tc) WHERE k > {leave}),
 raw AS ({_pairs(by, "src")}),
-pairs AS ({_known(by, "raw", by)}),
+pairs AS MATERIALIZED ({_known(by, "raw", by)}),
 fr AS (SELECT {by}, n AS r, count(*) AS n_r FROM pairs GROUP BY ALL),
 z0 AS (SELECT *, lag(r, 1, 0) OVER w AS before, coalesce(lead(r) OVER w, 2 * r - lag(r) OVER w) AS after, sum(n_r) OVER (PARTITION BY {by}) AS total,
   (CASE WHEN lead(r) OVER w = r + 1 THEN lead(n_r) OVER w END)::DOUBLE AS n_next FROM fr WINDOW w AS (PARTITION BY {by} ORDER BY r)),
@@ -74,12 +74,12 @@ fit AS (SELECT {by}, regr_slope(ln(z), ln(r::DOUBLE)) AS a, regr_intercept(ln(z)
 z2 AS (SELECT z1.*, a, (r + 1) * n_next / n_r AS x, (r + 1) * exp(a * ln(r + 1.0::DOUBLE) + b) / exp(a * ln(r::DOUBLE) + b) AS y,
   1.959963984540054::DOUBLE * sqrt((r + 1) * (r + 1) * (n_next / (n_r::DOUBLE * n_r::DOUBLE)) * (1 + n_next / n_r)) AS width FROM z1 JOIN fit ON fit.{by} = z1.{by}),
 z3 AS (SELECT *, min(CASE WHEN abs(x - y) <= width THEN r END) OVER (PARTITION BY {by}) AS r_switch, min(CASE WHEN n_next IS NULL THEN r END) OVER (PARTITION BY {by}) AS r_gap FROM z2),
-cs AS (SELECT {by}, r, n_r, CASE WHEN r < r_switch THEN x ELSE y END AS c_star FROM z3 WHERE a <= -1 AND r_switch IS NOT NULL AND r_gap >= r_switch),
-good AS (SELECT DISTINCT {by} FROM cs),
-seen AS (SELECT q.{by}, w1, w2, n, n::DOUBLE / (sum(n) OVER (PARTITION BY q.{by}, w1))::DOUBLE AS p_ml, least(c_star / n, 0.9::DOUBLE) AS discount FROM pairs q JOIN cs ON cs.{by} = q.{by} AND cs.r = q.n),
+cs AS MATERIALIZED (SELECT {by}, r, n_r, CASE WHEN r < r_switch THEN x ELSE y END AS c_star FROM z3 WHERE a <= -1 AND r_switch IS NOT NULL AND r_gap >= r_switch),
+good AS MATERIALIZED (SELECT DISTINCT {by} FROM cs),
+seen AS MATERIALIZED (SELECT q.{by}, w1, w2, n, n::DOUBLE / (sum(n) OVER (PARTITION BY q.{by}, w1))::DOUBLE AS p_ml, least(c_star / n, 0.9::DOUBLE) AS discount FROM pairs q JOIN cs ON cs.{by} = q.{by} AND cs.r = q.n),
 uc AS (SELECT {by}, token AS w, n FROM tc SEMI JOIN voc USING ({by}, token)
   UNION ALL SELECT tc.{by}, '<UNK>', coalesce(sum(CASE WHEN v.token IS NULL THEN n END), 0)::BIGINT FROM tc LEFT JOIN voc v ON v.{by} = tc.{by} AND v.token = tc.token GROUP BY tc.{by}),
-un AS (SELECT {by}, w, (n + 0.2::DOUBLE) / ((sum(n) OVER (PARTITION BY {by}))::DOUBLE + 0.2::DOUBLE * count(*) OVER (PARTITION BY {by})) AS p FROM uc),
+un AS MATERIALIZED (SELECT {by}, w, (n + 0.2::DOUBLE) / ((sum(n) OVER (PARTITION BY {by}))::DOUBLE + 0.2::DOUBLE * count(*) OVER (PARTITION BY {by})) AS p FROM uc),
 fol AS (SELECT s.{by}, s.w1, (1 - sum(discount * p_ml)) / nullif(sum(coalesce(c.p, k.p)), 0) AS alpha
   FROM seen s LEFT JOIN un c ON c.{by} = s.{by} AND c.w = substr(s.w2, 1, 1) LEFT JOIN un k ON k.{by} = s.{by} AND k.w = '<UNK>' GROUP BY ALL),
 al AS (SELECT un.{by}, un.w AS w1, coalesce(alpha, 0.1::DOUBLE) AS alpha FROM un LEFT JOIN fol ON fol.{by} = un.{by} AND fol.w1 = un.w WHERE un.{by} IN (SELECT {by} FROM good))"""
