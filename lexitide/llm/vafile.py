@@ -197,13 +197,26 @@ def _cuts(k: int):
     return run
 
 
-def _survivors(batches):
-    for row, parts in _meetings(batches):
-        cut = np.frombuffer(row["cut"])
-        for a, b, _, upper in parts:
-            q, c = np.nonzero((upper >= cut[a:b, None]) & (upper > -np.inf))
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(row["qids"][a + q]), pa.array(row["ids"][c]), pa.array(upper[q, c])], ["query_id", "vec_id", "upper"])
+def _survivors(k: int):
+    """Candidates whose upper bound reaches the query's cut. Of those whose score is known to equal it, the k smallest ids of a block suffice."""
+
+    def run(batches):
+        for row, parts in _meetings(batches):
+            cut = np.frombuffer(row["cut"])
+            order = np.argsort(row["ids"], kind="stable")
+            for a, b, lower, upper in parts:
+                at = cut[a:b, None]
+                on = (upper >= at) & (upper > -np.inf)
+                tied = on & (upper == at) & (lower == upper)
+                for q in np.flatnonzero(tied.sum(1) > k).tolist():
+                    own = order[tied[q, order]]
+                    ids = row["ids"][own]
+                    on[q, own[np.searchsorted(ids, np.unique(ids)[:k][-1], "right") :]] = False
+                q, c = np.nonzero(on)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array(row["qids"][a + q]), pa.array(row["ids"][c]), pa.array(upper[q, c])], ["query_id", "vec_id", "upper"])
+
+    return run
 
 
 def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -270,27 +283,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     lower = met(asked_blocks).mapInArrow(_lower(k), "qblock long, i binary, s binary")
     cuts = scratch.save(lower.repartition("qblock").sortWithinPartitions("qblock").mapInArrow(_cuts(k), "qblock long, cut binary"), "cuts")
-    left = met(asked_blocks.join(cuts, "qblock")).mapInArrow(_survivors, "query_id long, vec_id long, upper double")
-    left = left.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
-    promise = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))
-    left = scratch.save(left.withColumn("r", promise), "survivors")
+    left = met(asked_blocks.join(cuts, "qblock")).mapInArrow(_survivors(k), "query_id long, vec_id long, upper double")
+    left = scratch.save(left.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper")), "survivors")
 
-    def scored(pairs: DataFrame, name: str) -> DataFrame:
-        """Exact scores of pairs(query_id, vec_id), the best of each."""
+    def scored(pairs: DataFrame, n: int, name: str) -> DataFrame:
+        """Exact scores of n pairs(query_id, vec_id), the best of each."""
         exact = pick(vectors)
-        n = pairs.count()
-        wanted = pairs.select("vec_id").distinct()
-        exact = exact.join(broadcast_if_small(wanted, n, 16), "vec_id", "left_semi")
-        rows = pairs.join(exact.withColumnRenamed("embedding", "v"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+        exact = exact.join(broadcast_if_small(pairs.select("vec_id").distinct(), n, 16), "vec_id", "left_semi")
+        wanted = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+        rows = pairs.join(exact.withColumnRenamed("embedding", "v"), "vec_id").join(broadcast_if_small(wanted, n_asked, 8 * width + 32), "query_id")
         got = rows.select("query_id", "vec_id", "q", "v").mapInArrow(_scored, "query_id long, vec_id long, score long")
         return scratch.save(got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), name)
 
-    near = scored(left.where(F.col("r") <= 2 * k).select("query_id", "vec_id"), "first")
+    width = asked.agg(F.max(F.size("embedding"))).first()[0] or 0
+    # The rank limits also run before their shuffles, so a query with very many survivors is never gathered.
+    promise = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))
+    pairs = scratch.save(left.withColumn("r", promise).where(F.col("r") <= 2 * k).select("query_id", "vec_id"), "promising")
+    near = scored(pairs, pairs.count(), "first")
     down = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("r", F.row_number().over(down)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-    more = left.where(F.col("r") > 2 * k).join(kth, "query_id", "left").where("kth IS NULL OR upper >= kth").select("query_id", "vec_id")
-    more = scratch.save(more, "later")
-    found = near if more.isEmpty() else near.unionByName(scored(more, "second"))
+    more = left.join(broadcast_if_small(pairs, n_asked, 32 * k), ["query_id", "vec_id"], "left_anti").join(broadcast_if_small(kth, n_asked, 16), "query_id", "left")
+    more = scratch.save(more.where("kth IS NULL OR upper >= kth").select("query_id", "vec_id"), "later")
+    n_more = more.count()
+    found = near.unionByName(scored(more, n_more, "second")) if n_more else near
     scratch.keep_only("first", "second")
     return found.withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -108,6 +108,11 @@ def test_exact_vectors_are_read_for_few(spark, monkeypatch):
     assert seen["survivors"][1] < 30 * 10 * 3 and seen["cuts"][1] == seen["query-blocks"][1]
 
 
+def test_all_scores_tie(spark):
+    data = [(i, [0.0] * 4 if i % 7 == 0 else v) for i, v in enumerate(vectors(400, 4, 41))]
+    check(spark, data, range(0, 400, 21))
+
+
 def test_matches_sql(spark):
     assert oracle.differences(vafile.op2(spark, oracle.DATA), oracle.connect(), vafile.ORACLES["op2_exact_topk"]) == []
 
