@@ -10,36 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.functions import dates
+from lexitide.operators.medians import medians
 
 
 def user_statistics(users: DataFrame) -> DataFrame:
     """Means and medians over authors of comments, submissions and days between first and last post."""
-    days = dates.days_between(F.col("first_post"), F.col("last_post"))
-    rows = users.withColumn("days", days)
-    return rows.agg(
-        F.count("*").alias("users"),
-        *(f(c).alias(f"{n}_{c}") for c in ("comments", "submissions", "days") for n, f in (("mean", lambda c: F.bround(F.avg(c), 2)), ("median", lambda c: F.median(F.col(c).cast("double"))))),
-    )
+    columns = ["comments", "submissions", "days"]
+    rows = users.select("comments", "submissions", dates.days_between(F.col("first_post"), F.col("last_post")).alias("days"))
+    means = rows.agg(F.count("*").alias("users"), *(F.bround(F.avg(c), 2).alias(f"mean_{c}") for c in columns))
+    middle = medians(rows, {f"median_{c}": F.col(c) for c in columns})
+    return means.crossJoin(F.broadcast(middle)).select("users", *(f"{n}_{c}" for c in columns for n in ("mean", "median")))  # two single rows
 
 
 def post_statistics(posts: DataFrame, words: str = "text") -> DataFrame:
-    n = F.size(words).cast("double")
-    return posts.agg(F.count("*").alias("posts"), F.bround(F.avg(n), 2).alias("mean_tokens"), F.median(n).alias("median_tokens"))
+    rows = posts.select(F.size(words).cast("double").alias("n"))
+    means = rows.agg(F.count("*").alias("posts"), F.bround(F.avg("n"), 2).alias("mean_tokens"))
+    return means.crossJoin(F.broadcast(medians(rows, {"median_tokens": F.col("n")})))
 
 
-def experience_summary(rows: DataFrame, threshold: float, by: list | None = None, value: str = "experience") -> DataFrame:
+def experience_summary(rows: DataFrame, threshold: float, by: list[str] | None = None, value: str = "experience") -> DataFrame:
     """Share of posts above the threshold (3 decimals), mean and median experience (1 decimal)."""
-    rows = rows.where(F.col(value).isNotNull())
-    return rows.groupBy(*(by or [])).agg(
-        F.bround(F.count_if(F.col(value) > threshold) / F.count("*"), 3).alias("fraction"), F.bround(F.avg(value), 1).alias("avg_exp"), F.bround(F.median(value), 1).alias("median_exp")
-    )
+    by = by or []
+    rows = rows.where(F.col(value).isNotNull()).select(*by, value)
+    means = rows.groupBy(*by).agg(F.bround(F.count_if(F.col(value) > threshold) / F.count("*"), 3).alias("fraction"), F.bround(F.avg(value), 1).alias("avg_exp"))
+    middle = medians(rows, {"median_exp": F.col(value)}, by).withColumn("median_exp", F.bround("median_exp", 1))
+    return means.join(middle, by) if by else means.crossJoin(F.broadcast(middle))
 
 
 def experience_by_month(rows: DataFrame, threshold: float, first: str, last: str, when: str = "true_date", value: str = "experience") -> DataFrame:
     """experience_summary by calendar month, from the start of first to the first instant of last; months as Y-M."""
     span = rows.where((F.col(when) >= F.lit(first).cast("timestamp_ntz")) & (F.col(when) <= F.lit(last).cast("timestamp_ntz")))
-    month = F.concat_ws("-", F.year(when), F.month(when)).alias("true_month")
-    return experience_summary(span, threshold, [month], value)
+    month = F.concat_ws("-", F.year(when), F.month(when))
+    return experience_summary(span.withColumn("true_month", month), threshold, ["true_month"], value)
 
 
 def lowess(x, y, fraction: float = 0.1, rounds: int = 3) -> np.ndarray:

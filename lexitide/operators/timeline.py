@@ -40,10 +40,16 @@ def gaps(activity: DataFrame, author: str = "author", when: str = "true_date", k
     return activity.withColumn("dt", (us(F.col(when)) - us(F.lag(when).over(w))) / F.lit(1e6 * DAY))
 
 
+def mean_gap(activity: DataFrame, author: str = "author", when: str = "true_date") -> DataFrame:
+    """One row, k: the mean gap in days of all authors. Gaps of an author add up to last minus first, so none is computed."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    own = activity.groupBy(author).agg((us(F.max(when)) - us(F.min(when))).alias("span"), (F.count(when) - 1).alias("n"))
+    return own.where("n > 0").agg((F.sum("span") / F.sum("n") / F.lit(1e6 * DAY)).alias("k"))
+
+
 def experience(activity: DataFrame, author: str = "author", when: str = "true_date", key: str = "post_id") -> DataFrame:
     """dt and experience: the running sum of k * (1 - exp(-dt / k)), k the mean gap of all authors."""
-    with_dt = gaps(activity, author, when, key)
-    k = with_dt.agg(F.avg("dt").alias("__k"))
+    k = mean_gap(activity, author, when).select(F.col("k").alias("__k"))
     w = Window.partitionBy(author).orderBy(when, key).rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("dt").isNull() | (F.coalesce("__k", F.lit(0.0)) == 0), 0.0).otherwise(F.col("__k") * (1 - F.exp(-F.col("dt") / F.col("__k"))))
-    return with_dt.crossJoin(F.broadcast(k)).withColumn("experience", F.sum(delta).over(w)).drop("__k")
+    return gaps(activity.crossJoin(F.broadcast(k)), author, when, key).withColumn("experience", F.sum(delta).over(w)).drop("__k")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.functions.dates import whole_bin
+from lexitide.operators.medians import medians
 
 WEEK = 7 * 86400
 
@@ -41,22 +42,23 @@ def ntokens_stage(size: int) -> Column:
     return whole_bin(F.col("ntokens"), size)
 
 
-def last_stage(dealt: DataFrame, least: int) -> DataFrame:
-    """One row, max_stage: how many bins hold at least that many posts; one fewer if all do."""
-    sizes = dealt.groupBy("stage").agg(F.count("*").alias("n"))
-    full = F.count_if(F.col("n") >= least)
-    return sizes.agg(F.when(full == F.count("*"), full - 1).otherwise(full).cast("int").alias("max_stage"))
-
-
 def weighted(dealt: DataFrame, x: str, scale: float = 1.0, least: int | None = None, ntokens: str | None = None) -> DataFrame:
-    """(x, score, nposts, avg_ntokens): weighted means by stage. With least, stages 1 to the last one of last_stage, gaps included."""
+    """(x, score, nposts, avg_ntokens): weighted means by stage.
+
+    With least, stages 1 to the number of bins that hold at least so many posts (one fewer if all do), gaps
+    included. One aggregate of the posts carries sizes and sums; the rest happens on a row a stage.
+    """
     total = F.sum("weight")
     aggs = [F.sum(F.col("score") * F.col("weight")).alias("s"), total.alias("w")]
     aggs.append((F.sum(F.col(ntokens) * F.col("weight")) if ntokens else F.lit(None).cast("double")).alias("t"))
-    got = dealt.groupBy("stage").agg(*aggs)
+    got = dealt.groupBy("stage").agg(*aggs, F.count("*").alias("n"))
     if least is not None:
-        stages = last_stage(dealt, least).where("max_stage >= 1").select(F.explode(F.sequence(F.lit(1), F.col("max_stage"))).alias("stage"))
-        got = stages.join(got, "stage", "left")
+        full = F.count_if(F.col("n") >= least)
+        rows = F.collect_list(F.struct("stage", "s", "w", "t"))
+        last = F.when(full == F.count("*"), full - 1).otherwise(full).cast("int")
+        one = got.agg(last.alias("last"), F.map_from_entries(F.transform(rows, lambda r: F.struct(r["stage"], r))).alias("rows")).where("last >= 1")
+        stages = one.select(F.explode(F.sequence(F.lit(1), "last")).alias("stage"), "rows").withColumn("r", F.try_element_at("rows", "stage"))
+        got = stages.select("stage", "r.s", "r.w", "r.t")
     return got.select((F.col("stage") * F.lit(float(scale))).alias(x), F.try_divide("s", "w").alias("score"), F.coalesce("w", F.lit(0.0)).alias("nposts"), F.try_divide("t", "w").alias("avg_ntokens"))
 
 
@@ -74,7 +76,7 @@ def by_number(posts: DataFrame, last: int | Column) -> DataFrame:
 
 def by_median_number(posts: DataFrame, users: DataFrame) -> DataFrame:
     """by_number up to the authors' median of total_posts, cut to an integer."""
-    median = users.agg(F.median("total_posts").cast("int").alias("__last"))
+    median = medians(users, {"m": F.col("total_posts")}).select(F.col("m").cast("int").alias("__last"))
     return by_number(posts.crossJoin(F.broadcast(median)), F.col("__last")).drop("__last")
 
 

@@ -121,7 +121,7 @@ def experience(spark, d):
 
 @query(f"WITH {GAPS} SELECT round(k, 6) AS k FROM k")
 def mean_gap(spark, d):
-    return rounded(timeline.gaps(events(spark, d)).agg(F.avg("dt").alias("k")), "k")
+    return rounded(timeline.mean_gap(events(spark, d)), "k")
 
 
 ORDERS = "o AS (SELECT o_orderkey AS post_id, o_custkey AS author, o_orderdate AS true_date, o_totalprice AS score, date_trunc('month', o_orderdate)::DATE AS month FROM orders)"
