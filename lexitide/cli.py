@@ -4,8 +4,10 @@ preprocess     compressed JSON-lines dumps to posts, users, experience
 snapshot       a seeded sample and a language model for every month that may have one
 score          posts by their own month's model
 progressive    posts by the models of neighbouring months
-trajectories   mean scores by life phase, posts, time, experience and length, for each run
+trajectories   mean scores by life phase, posts, time, experience and length, of all runs at once
+report         the pages of runs again, from stored trajectories
 average        means and deviations over runs, with a report
+average-report the page of the averages again, from stored tables
 characterize   users, posts and months of the community, with a report
 experience     share, mean and median of experience by month
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexitide import config as options
-from lexitide.operators import average, katz, months, reports, snapshots, users
+from lexitide.operators import average, katz, months, reports, snapshots, trajectory, users
 from lexitide.pipeline import Pipeline, trajectories
 from lexitide.sources import dumps, tables
 
@@ -82,7 +84,9 @@ def _model(f: Folder, uid: str):
 
 
 def score(f: Folder, a) -> None:
-    f.write(snapshots.scores(f.read("posts"), *_model(f, a.uid)), f.run(a.uid, "scores"))
+    scored = f.write(snapshots.scores(f.read("posts"), *_model(f, a.uid)), f.run(a.uid, "scores"))
+    if a.all_posts:  # all posts, those without a score marked by a number
+        f.write(snapshots.unscored_as(f.read("posts").select("post_id"), scored), f.run(a.uid, "scores_all"))
 
 
 def progressive(f: Folder, a) -> None:
@@ -90,34 +94,74 @@ def progressive(f: Folder, a) -> None:
     f.write(snapshots.wide(long, a.uid), f.run(a.uid, "progressive_wide"))
 
 
-def _uids(f: Folder, a) -> list[str]:
-    return [a.uid] if a.uid else [r[0] for r in f.params().select("run_uid").distinct().orderBy("run_uid").collect()]
-
-
 def trajectorize(f: Folder, a) -> None:
+    """All runs in one job for each kind, by run and by limit, so another limit does not overwrite."""
     t = _options(options.Trajectory, a)
     if a.high_post_limit:
         t = dataclasses.replace(t, remove_high_posters=True, high_post_limit=a.high_post_limit)
-    for uid in _uids(f, a):
-        got = trajectories(f.read("posts"), f.read("users"), f.read(f.run(uid, "scores")), t)
-        parts = []
-        for kind, df in got.items():
-            df = f.write(df, f.run(uid, f"trajectories/{kind}"))
-            x = KINDS[kind]
-            rows = df.where("score IS NOT NULL").orderBy(x).collect()
-            parts += [reports.html_table(df.columns, rows, kind), reports.svg_scatter([r[x] for r in rows], [r["score"] for r in rows], labels=(x, "score"))]
-        f.page(f.run(uid, "report"), reports.html_table(["key", "value"], t.rows(), uid), *parts)
+    scored = tables.runs(f.spark, f.base, "scores").withColumn("run_uid", F.col("run_uid").cast("string"))
+    if a.uid:
+        scored = scored.where(F.col("run_uid") == a.uid)
+    got = trajectories(f.read("posts"), f.read("users"), scored, t, ("run_uid",))
+    limit = F.lit(t.high_post_limit if t.remove_high_posters else 0)
+    for kind, df in got.items():
+        out = df.withColumn("high_post_limit", limit).repartition("run_uid")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("high_post_limit", "run_uid").parquet(f"{f.base}/trajectories/{kind}")
+    rows = [(k, v) for k, v in trajectory.info(t)]
+    f.write(f.spark.createDataFrame(rows, "key string, value string"), f"trajectories/info/high_post_limit={t.high_post_limit if t.remove_high_posters else 0}")
+    tables.write_json(f.spark, dict(rows), f"{f.base}/trajectories/options")
+    report(f, a)
+
+
+def _trajectory(f: Folder, kind: str, limit: int | None) -> DataFrame:
+    """The stored trajectories of a kind, of the limit given, or else of the highest one there is (0 stands for none)."""
+    rows = f.read(f"trajectories/{kind}").withColumn("run_uid", F.col("run_uid").cast("string"))
+    if limit is None:
+        top = rows.agg(F.max("high_post_limit")).first()[0]
+        limit = 0 if top is None else top
+    return rows.where(F.col("high_post_limit") == limit).drop("high_post_limit")
+
+
+def report(f: Folder, a) -> None:
+    """The page of each run, from the stored trajectories: nothing is computed anew."""
+    pages: dict[str, list[str]] = {}
+    for kind, x in KINDS.items():
+        got = _trajectory(f, kind, a.high_post_limit).where("score IS NOT NULL").orderBy("run_uid", x)
+        columns = [c for c in got.columns if c != "run_uid"]
+        runs: dict[str, list] = {}
+        for r in (got.where(F.col("run_uid") == a.uid) if a.uid else got).collect():  # tens of rows a run
+            runs.setdefault(r["run_uid"], []).append(r)
+        for uid, rows in runs.items():
+            pages.setdefault(uid, []).extend([reports.html_table(columns, [[r[c] for c in columns] for r in rows], kind), reports.svg_scatter([r[x] for r in rows], [r["score"] for r in rows], labels=(x, "score"))])
+    for uid, parts in pages.items():
+        f.page(f.run(uid, "report"), reports.html_table(["key", "value"], [("uid", uid)], uid), *parts)
 
 
 def averages(f: Folder, a) -> None:
     params = f.params()
     uids = {r["run_uid"] for r in average.is_experience_run(params).where(F.col("is_exp") == a.exp).collect()}
-    odd = average.inconsistent(params.where(F.col("run_uid").isin(sorted(uids)))).orderBy("key", "run_uid").collect()
-    out, parts = "average_exp" if a.exp else "average", [reports.html_table(["run_uid", "key", "value", "expected"], odd, "parameters that differ")]
+    odd = average.inconsistent(params.where(F.col("run_uid").isin(sorted(uids)))).orderBy("key", "run_uid")
+    out = _average_folder(a)
+    if a.strict and not odd.isEmpty():
+        raise ValueError(f"parameters differ between runs: {[tuple(r) for r in odd.limit(20).collect()]}")
+    f.write(odd, f"{out}/inconsistent")
     for kind, x in KINDS.items():
         weight = "nusers" if kind.startswith("user_") else "nposts"
-        rows = tables.runs(f.spark, f.base, f"trajectories/{kind}").withColumn("run_uid", F.col("run_uid").cast("string")).where(F.col("run_uid").isin(sorted(uids)))
-        df = f.write(average.average(rows, x, weight, a.min_posts if weight == "nposts" else None), f"{out}/{kind}")
+        rows = _trajectory(f, kind, a.high_post_limit).where(F.col("run_uid").isin(sorted(uids)))
+        f.write(average.average(rows, x, weight, a.min_posts if weight == "nposts" else None), f"{out}/{kind}")
+    average_report(f, a)
+
+
+def _average_folder(a) -> str:
+    return ("average_exp" if a.exp else "average") + (f"_hpl_{a.high_post_limit}" if a.high_post_limit else "")
+
+
+def average_report(f: Folder, a) -> None:
+    """The page of the averages, from the stored tables."""
+    out = _average_folder(a)
+    parts = [reports.html_table(["run_uid", "key", "value", "expected"], f.read(f"{out}/inconsistent").collect(), "parameters that differ")]
+    for kind, x in KINDS.items():
+        df = f.read(f"{out}/{kind}")
         got = df.where("score IS NOT NULL").orderBy(x).collect()
         xs, ys = [r[x] for r in got], [r["score"] for r in got]
         parts += [reports.html_table(df.columns, got, kind), reports.svg_scatter(xs, ys, [r["std_dev"] or 0 for r in got], reports.lowess(xs, ys), labels=(x, "score"))]
@@ -142,7 +186,7 @@ def experience(f: Folder, a) -> None:
     f.write(reports.experience_by_month(rows, a.threshold, a.first, a.last), "experience_by_month")
 
 
-COMMANDS = {"preprocess": preprocess, "snapshot": snapshot, "score": score, "progressive": progressive, "trajectories": trajectorize, "average": averages, "characterize": characterize, "experience": experience}
+COMMANDS = {"preprocess": preprocess, "snapshot": snapshot, "score": score, "progressive": progressive, "trajectories": trajectorize, "report": report, "average": averages, "average-report": average_report, "characterize": characterize, "experience": experience}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -156,17 +200,21 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--submissions", required=True)
             p.add_argument("--comments", required=True)
             p.add_argument("--long-window", action="store_true")
-        if name in ("snapshot", "score", "progressive", "trajectories"):
-            p.add_argument("--uid", required=name != "trajectories")
+        if name in ("snapshot", "score", "progressive", "trajectories", "report"):
+            p.add_argument("--uid", required=name not in ("trajectories", "report"))
+        if name == "score":
+            p.add_argument("--all-posts", action="store_true")
         if name == "snapshot":
             p.add_argument("--run-number", type=int, default=1)
         if name == "progressive":
             p.add_argument("--month-delta", type=int, required=True)
-        if name == "trajectories":
+        if name in ("trajectories", "report", "average", "average-report"):
             p.add_argument("--high-post-limit", type=int)
-        if name == "average":
+        if name in ("average", "average-report"):
             p.add_argument("--exp", action="store_true")
+        if name == "average":
             p.add_argument("--min-posts", type=float)
+            p.add_argument("--strict", action="store_true", help="stop if parameters differ between runs")
         if name == "experience":
             p.add_argument("--threshold", type=float, default=182)
             p.add_argument("--first", required=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MONTHS = "January February March April May June July August September October November December".split()
+
 
 def from_epoch(seconds: Column) -> Column:
     """Whole epoch seconds, also as numeric strings, to a timestamp; unparsable ones are null."""
@@ -28,6 +30,28 @@ def month(ts: Column) -> Column:
     return F.trunc(ts.cast("date"), "MM")
 
 
+def month_end(ts: Column) -> Column:
+    """The last day of the month, as a date."""
+    return F.last_day(ts.cast("date"))
+
+
+def month_name(ts: Column) -> Column:
+    """The English name of the month."""
+    return F.element_at(F.array(*map(F.lit, MONTHS)), F.month(ts))
+
+
+def month_number(name: Column) -> Column:
+    """1 to 12 for an English name or its first three letters, in any case; null for anything else."""
+    out = F.lit(None).cast("int")
+    for i, m in enumerate(MONTHS, 1):
+        out = F.when(F.lower(name).isin(m.lower(), m[:3].lower()), i).otherwise(out)
+    return out
+
+
+def formatted(ts: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return F.date_format(ts, pattern)
+
+
 def plus_buffer(ts: Column, months: int) -> Column:
     """A buffer month is four weeks."""
     return F.timestamp_add("DAY", F.lit(28 * months), ts)

@@ -57,3 +57,15 @@ def bigrams(words: Column) -> Column:
 
 def truncated(words: Column, max_len: int) -> Column:
     return F.slice(words, 1, max_len)
+
+
+def uid_of(*values: Column, length: int = 8) -> Column:
+    """A short identifier of what is given: the same for the same values."""
+    return F.substring(F.md5(F.concat_ws(":", *(v.cast("string") for v in values))), 1, length)
+
+
+def new_uid(length: int = 8) -> str:
+    """A random identifier for a run, made once on the driver."""
+    import uuid
+
+    return uuid.uuid4().hex[:length]

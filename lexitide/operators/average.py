@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def average(runs: DataFrame, x: str, weight: str = "nposts", min_posts: float | None = None) -> DataFrame:
-    """(x, score, std_dev, weight) over runs(run_uid, x, score, weight): mean and sample deviation; the weight of the least run_uid."""
-    got = runs.groupBy(x).agg(F.avg("score").alias("score"), F.stddev_samp("score").alias("std_dev"), F.min_by(weight, "run_uid").alias(weight))
+def average(runs: DataFrame, x: str, weight: str = "nposts", min_posts: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, score, std_dev, weight) over runs(run_uid, x, score, weight): mean and sample deviation; the weight of the least run_uid."""
+    got = runs.groupBy(*by, x).agg(F.avg("score").alias("score"), F.stddev_samp("score").alias("std_dev"), F.min_by(weight, "run_uid").alias(weight))
     return got.where(F.col(weight) >= min_posts) if min_posts is not None else got
 
 
@@ -37,7 +37,3 @@ def inconsistent(params: DataFrame, ignored=("uid", "run_uid", "run_number"), ro
 def element_average(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Element-wise means of equally long arrays, as (by, pos, mean)."""
     return rows.select(*by, F.posexplode(column).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("mean"))
-
-
-def with_rank(runs: DataFrame, x: str) -> DataFrame:
-    return runs.withColumn("position", F.row_number().over(Window.partitionBy("run_uid").orderBy(x)))

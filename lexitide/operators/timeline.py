@@ -10,18 +10,25 @@ from lexitide.functions import dates
 DAY = 86400.0
 
 
-def seconds(posts: DataFrame, users: DataFrame | None, created: str = "created", author: str = "author") -> DataFrame:
-    """Seconds since the corpus' first post, and since the author's (from users, or else from the posts)."""
+def seconds(posts: DataFrame, users: DataFrame | None, created: str = "created", author: str = "author", strict: bool = False) -> DataFrame:
+    """Seconds since the corpus' first post, and since the author's (from users, or else from the posts). strict: authors without a profile are an error, not null seconds."""
     start = posts.agg(F.min(created).alias("__start"))
     if users is None:
         rows = posts.withColumn("__first", F.min(created).over(Window.partitionBy(author)))
     else:
         rows = posts.join(users.select(F.col("author").alias(author), F.col("first_post").alias("__first")), author, "left")
+    if strict:
+        rows = rows.withColumn("__first", F.coalesce("__first", F.when(F.col(author).isNotNull(), F.raise_error(F.concat(F.lit("no profile of author "), F.col(author).cast("string"))).cast("timestamp_ntz"))))
     rows = rows.crossJoin(F.broadcast(start))  # one row
     out = rows.withColumn("seconds", dates.seconds_between(F.col("__start"), F.col(created))).withColumn("user_seconds", dates.seconds_between(F.col("__first"), F.col(created)))
     return out.drop("__start", "__first")
 
 
+def within(posts: DataFrame, first: int, last: int, seconds: str = "user_seconds") -> DataFrame:
+    """Posts of an age, in seconds since the author's first, from first to last, both included."""
+    return posts.where(F.col(seconds).between(first, last))
+
+
 def numbered(posts: DataFrame, author: str = "author", order: tuple[str, ...] = ("seconds", "post_id")) -> DataFrame:
     """total_user_posts and post_number, from 0, in one shuffle by author."""
     w = Window.partitionBy(author)

@@ -42,8 +42,8 @@ def ntokens_stage(size: int) -> Column:
     return whole_bin(F.col("ntokens"), size)
 
 
-def weighted(dealt: DataFrame, x: str, scale: float = 1.0, least: int | None = None, ntokens: str | None = None) -> DataFrame:
-    """(x, score, nposts, avg_ntokens): weighted means by stage.
+def weighted(dealt: DataFrame, x: str, scale: float = 1.0, least: int | None = None, ntokens: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, score, nposts, avg_ntokens): weighted means by stage, for each group of the key columns (runs, for one) in the same job.
 
     With least, stages 1 to the number of bins that hold at least so many posts (one fewer if all do), gaps
     included. One aggregate of the posts carries sizes and sums; the rest happens on a row a stage.
@@ -51,22 +51,22 @@ def weighted(dealt: DataFrame, x: str, scale: float = 1.0, least: int | None = N
     total = F.sum("weight")
     aggs = [F.sum(F.col("score") * F.col("weight")).alias("s"), total.alias("w")]
     aggs.append((F.sum(F.col(ntokens) * F.col("weight")) if ntokens else F.lit(None).cast("double")).alias("t"))
-    got = dealt.groupBy("stage").agg(*aggs, F.count("*").alias("n"))
+    got = dealt.groupBy(*by, "stage").agg(*aggs, F.count("*").alias("n"))
     if least is not None:
         full = F.count_if(F.col("n") >= least)
         rows = F.collect_list(F.struct("stage", "s", "w", "t"))
         last = F.when(full == F.count("*"), full - 1).otherwise(full).cast("int")
-        one = got.agg(last.alias("last"), F.map_from_entries(F.transform(rows, lambda r: F.struct(r["stage"], r))).alias("rows")).where("last >= 1")
-        stages = one.select(F.explode(F.sequence(F.lit(1), "last")).alias("stage"), "rows").withColumn("r", F.try_element_at("rows", "stage"))
-        got = stages.select("stage", "r.s", "r.w", "r.t")
-    return got.select((F.col("stage") * F.lit(float(scale))).alias(x), F.try_divide("s", "w").alias("score"), F.coalesce("w", F.lit(0.0)).alias("nposts"), F.try_divide("t", "w").alias("avg_ntokens"))
+        one = got.groupBy(*by).agg(last.alias("last"), F.map_from_entries(F.transform(rows, lambda r: F.struct(r["stage"], r))).alias("rows")).where("last >= 1")
+        stages = one.select(*by, F.explode(F.sequence(F.lit(1), "last")).alias("stage"), "rows").withColumn("r", F.try_element_at("rows", "stage"))
+        got = stages.select(*by, "stage", "r.s", "r.w", "r.t")
+    return got.select(*by, (F.col("stage") * F.lit(float(scale))).alias(x), F.try_divide("s", "w").alias("score"), F.coalesce("w", F.lit(0.0)).alias("nposts"), F.try_divide("t", "w").alias("avg_ntokens"))
 
 
-def user_averaged(dealt: DataFrame, x: str, author: str = "author") -> DataFrame:
-    """(x, score, nusers): the mean over authors of their own weighted means. Authors without weight count, but have no mean."""
-    own = dealt.groupBy("stage", author).agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
+def user_averaged(dealt: DataFrame, x: str, author: str = "author", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, score, nusers): the mean over authors of their own weighted means. Authors without weight count, but have no mean."""
+    own = dealt.groupBy(*by, "stage", author).agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
     own = own.withColumn("m", F.try_divide("s", "w"))
-    return own.groupBy(F.col("stage").alias(x)).agg(F.avg("m").alias("score"), F.count("*").alias("nusers"))
+    return own.groupBy(*by, F.col("stage").alias(x)).agg(F.avg("m").alias("score"), F.count("*").alias("nusers"))
 
 
 def by_number(posts: DataFrame, last: int | Column) -> DataFrame:

@@ -50,10 +50,10 @@ class Pipeline:
         return average.average(trajectories, x)
 
 
-def trajectories(posts: DataFrame, profiles: DataFrame, scored: DataFrame, t: Trajectory) -> dict[str, DataFrame]:
-    """All kinds of trajectories of one run's scores; phases are those of authors who have ended."""
+def trajectories(posts: DataFrame, profiles: DataFrame, scored: DataFrame, t: Trajectory, by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """All kinds of trajectories of scored(by, post_id, score), for all runs at once if run_uid is in by; phases are those of authors who have ended."""
     chosen = users.trajectory_users(profiles, t.minimum_user_posts, t.high_post_limit if t.remove_high_posters else None)
-    rows = users.only(posts.join(scored.select("post_id", "score"), "post_id"), chosen, ["author"])
+    rows = users.only(posts.join(scored.select(*by, "post_id", "score"), "post_id"), chosen, ["author"])
     ended = users.only(rows, users.ended_users(profiles), ["author"])
     bins = {
         "posts": (trajectory.posts_stage(t.post_bin_size), t.post_bin_size),
@@ -61,9 +61,9 @@ def trajectories(posts: DataFrame, profiles: DataFrame, scored: DataFrame, t: Tr
         "pseudo_weeks": (trajectory.experience_stage(t.experience_bin_size), t.experience_bin_size / 7),
         "ntokens": (trajectory.ntokens_stage(t.ntokens_bin_size), t.ntokens_bin_size),
     }
-    out = {k: trajectory.weighted(trajectory.by_bin(rows, s), k, scale, t.min_instances, "ntokens") for k, (s, scale) in bins.items()}
-    out["phase"] = trajectory.weighted(trajectory.by_phase(ended, t.num_phases), "phase", ntokens="ntokens")
-    out["user_phase"] = trajectory.user_averaged(trajectory.by_phase(ended, t.num_phases), "phase")
-    out["user_posts"] = trajectory.user_averaged(trajectory.by_number(rows, t.num_posts), "posts")
-    out["user_posts_median"] = trajectory.user_averaged(trajectory.by_median_number(rows, chosen), "posts")
+    out = {k: trajectory.weighted(trajectory.by_bin(rows, s), k, scale, t.min_instances, "ntokens", by) for k, (s, scale) in bins.items()}
+    out["phase"] = trajectory.weighted(trajectory.by_phase(ended, t.num_phases), "phase", ntokens="ntokens", by=by)
+    out["user_phase"] = trajectory.user_averaged(trajectory.by_phase(ended, t.num_phases), "phase", by=by)
+    out["user_posts"] = trajectory.user_averaged(trajectory.by_number(rows, t.num_posts), "posts", by=by)
+    out["user_posts_median"] = trajectory.user_averaged(trajectory.by_median_number(rows, chosen), "posts", by=by)
     return out

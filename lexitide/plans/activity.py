@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.functions import dates
-from lexitide.operators import average, clean, months, reports, sampling, timeline, trajectory, users
+from lexitide.config import Snapshot
+from lexitide.functions import dates, text
+from lexitide.operators import average, clean, months, reports, sampling, snapshots, timeline, trajectory, users
+from lexitide.sources.shared import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -213,6 +216,48 @@ def sampled_posts(spark, d):
     return _sampled_posts(spark, d).select("month", "author", "post_id")
 
 
+GATED = Snapshot(users_per_month=60, posts_per_user=1, threshold_in_days=182)
+
+
+@query(
+    f"""WITH {ORDER_GAPS},
+a AS (SELECT month, author, count(*) FILTER (WHERE experience >= 182) AS above FROM x GROUP BY ALL),
+ok AS (SELECT month FROM a GROUP BY month HAVING sum(above) >= 120 AND count(*) FILTER (WHERE above >= 1) >= 60),
+pool AS (SELECT * FROM x WHERE experience >= 182 AND month IN (SELECT month FROM ok)),
+c AS (SELECT DISTINCT month, author FROM pool),
+su AS (SELECT month, author FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY md5('7:' || month || ':' || author), author) AS n FROM c) WHERE n <= 60)
+SELECT month, author, post_id FROM (SELECT pool.*, row_number() OVER (PARTITION BY month, author ORDER BY md5('7:' || post_id), post_id) AS n FROM pool SEMI JOIN su USING (month, author)) WHERE n <= 1"""
+)
+def gated_sample(spark, d):
+    """The sample of authors and posts above the threshold of experience, of months that have enough of both."""
+    rows = Scratch(spark, "gated").save(timeline.experience(orders(spark, d)).select("post_id", "author", "true_date", "experience"), "experience")
+    return snapshots.sample(rows, GATED, 7).select("month", "author", "post_id")
+
+
+@query("SELECT o_orderkey AS post_id, user_seconds FROM (SELECT o_orderkey, date_sub('second', min(o_orderdate) OVER (PARTITION BY o_custkey), o_orderdate) AS user_seconds FROM orders) WHERE user_seconds BETWEEN 8640000 AND 86400000")
+def user_seconds_range(spark, d):
+    return timeline.within(timeline.seconds(orders(spark, d), None, "true_date"), 8640000, 86400000).select("post_id", "user_seconds")
+
+
+@query("SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month, monthname(o_orderdate) AS name, month(o_orderdate)::INTEGER AS number, last_day(o_orderdate) AS last, strftime(date_trunc('month', o_orderdate), '%Y/%m/%d') AS shown FROM orders")
+def month_names(spark, d):
+    month = dates.month(F.col("true_date"))
+    rows = orders(spark, d).select(month.alias("month")).distinct()
+    name = dates.month_name(F.col("month"))
+    return rows.select("month", name.alias("name"), dates.month_number(F.lower(F.substring(name, 1, 3))).alias("number"), dates.month_end(F.col("month")).alias("last"), dates.formatted(F.col("month"), "yyyy/MM/dd").alias("shown"))
+
+
+@query("SELECT n_name, substr(md5(n_regionkey::VARCHAR || ':' || n_name), 1, 8) AS uid FROM nation")
+def run_uids(spark, d):
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_name", text.uid_of(F.col("n_regionkey"), F.col("n_name")).alias("uid"))
+
+
+@query(f"WITH {PROFILE} SELECT post_id, author, date_sub('second', first_post, true_date) AS user_seconds FROM (SELECT o_orderkey AS post_id, o_custkey AS author, o_orderdate AS true_date FROM orders) JOIN u USING (author)")
+def first_post_join(spark, d):
+    """Seconds since the first post in the author's profile; an author without one would be an error."""
+    return timeline.seconds(orders(spark, d), _profile(spark, d), "true_date", strict=True).select("post_id", "author", "user_seconds")
+
+
 @query(f"WITH {SAMPLED} SELECT post_id FROM o ANTI JOIN sp USING (post_id)")
 def training_exclusion(spark, d):
     return users.without(orders(spark, d), _sampled_posts(spark, d), ["post_id"]).select("post_id")
@@ -311,6 +356,37 @@ n AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY true_date, post_
 r AS (SELECT run_uid, CAST(trunc(post_number / 2.0::DOUBLE) AS INTEGER) + 1 AS posts, avg(score) AS score, count(*)::DOUBLE AS nposts FROM n GROUP BY ALL)"""
 
 
+BY_RUN = RUNS.split("r AS")[0].rstrip().rstrip(",") + """,
+b AS (SELECT *, CAST(trunc(post_number / 2.0::DOUBLE) AS INTEGER) + 1 AS stage, CASE WHEN score = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight, {limit} AS high_post_limit FROM {source}),
+z AS (SELECT high_post_limit, run_uid, stage, count(*) AS n, sum(score * weight) AS s, sum(weight) AS w FROM b GROUP BY ALL),
+l AS (SELECT high_post_limit, run_uid, CASE WHEN count(*) FILTER (WHERE n >= 10) = count(*) THEN count(*) - 1 ELSE count(*) FILTER (WHERE n >= 10) END AS m FROM z GROUP BY ALL),
+st AS (SELECT high_post_limit, run_uid, unnest(range(1, m + 1))::INTEGER AS stage FROM l),
+t AS (SELECT st.high_post_limit, st.run_uid, st.stage * 2.0::DOUBLE AS posts, z.s / nullif(w, 0) AS score, coalesce(w, 0) AS nposts FROM st LEFT JOIN z USING (high_post_limit, run_uid, stage))"""
+
+
+def _by_run(spark, d):
+    return timeline.numbered(orders(spark, d), order=("true_date", "post_id")).withColumn("run_uid", F.substring("o_orderpriority", 1, 1))
+
+
+@query(f"WITH {BY_RUN.format(limit='0', source='n')} SELECT run_uid, posts, round(score, 4) AS score, nposts FROM t")
+def traj_all_runs(spark, d):
+    """The trajectories of all runs in one job."""
+    got = trajectory.weighted(trajectory.by_bin(_by_run(spark, d), trajectory.posts_stage(2)), "posts", 2, 10, by=("run_uid",))
+    return rounded(got.drop("avg_ntokens"), "score", digits=4)
+
+
+_LIMITS = "(SELECT n.*, h FROM (SELECT *, count(*) OVER (PARTITION BY author) AS total FROM n) n, (SELECT unnest([12, 30]) AS h) WHERE total <= h)"
+
+
+@query(f"WITH {BY_RUN.format(limit='h', source=_LIMITS)} SELECT high_post_limit, posts, round(avg(score), 4) AS score, round(stddev_samp(score), 4) AS std_dev, arg_min(nposts, run_uid) AS nposts FROM t GROUP BY ALL")
+def average_high_post_limit(spark, d):
+    """Averages over runs for two limits on the posts of an author."""
+    rows = _by_run(spark, d).withColumn("high_post_limit", F.explode(F.array(F.lit(12), F.lit(30)))).where("total_user_posts <= high_post_limit")
+    keys = ("high_post_limit", "run_uid")
+    got = trajectory.weighted(trajectory.by_bin(rows, trajectory.posts_stage(2)), "posts", 2, 10, by=keys)
+    return rounded(average.average(got, "posts", by=("high_post_limit",)), "score", "std_dev", digits=4)
+
+
 @query(f"WITH {RUNS} SELECT posts, round(avg(score), 4) AS score, round(stddev_samp(score), 4) AS std_dev, arg_min(nposts, run_uid) AS nposts FROM r GROUP BY posts")
 def average_runs(spark, d):
     return rounded(average.average(_runs(spark, d), "posts"), "score", "std_dev", digits=4)
@@ -365,7 +441,13 @@ def lowess_fit(spark, d):
 @query()
 def html_report(spark, d):
     """The flagship as a page with table and plot; trajectories are tens of rows."""
-    rows = traj_phase(spark, d).orderBy("phase").collect()
-    x, y = [r["phase"] for r in rows], [r["score"] for r in rows]
-    body = reports.page(reports.html_table(["phase", "score", "nposts"], rows, "Mean score by life phase"), reports.svg_scatter(x, y, line=reports.lowess(x, y, 0.3)))
-    return spark.createDataFrame([(body,)], "html string")
+
+    def write(batches):
+        for pdf in batches:
+            for rows in pdf["rows"]:
+                x, y = [r["phase"] for r in rows], [r["score"] for r in rows]
+                table = reports.html_table(["phase", "score", "nposts"], [(r["phase"], r["score"], r["nposts"]) for r in rows], "Mean score by life phase")
+                yield pd.DataFrame({"html": [reports.page(table, reports.svg_scatter(x, y, line=reports.lowess(x, y, 0.3)))]})
+
+    rows = traj_phase(spark, d).agg(F.sort_array(F.collect_list(F.struct("phase", "score", "nposts"))).alias("rows"))
+    return rows.mapInPandas(write, "html string")

@@ -5,6 +5,8 @@ Documents stand for posts: the source is the author, the id deals them to half a
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,10 +62,14 @@ def _known(keys: str, source: str, by: str) -> str:
   FROM {source} r LEFT JOIN voc a ON a.{by} = r.{by} AND a.token = r.w1 LEFT JOIN voc b ON b.{by} = r.{by} AND b.token = r.w2 GROUP BY ALL"""
 
 
-def model_sql(by: str, leave: int) -> str:
-    """The model of src(by, post_id, text) as a chain of CTEs."""
+def model_sql(by: str, leave: int = 0, size: int | None = None, default: float | None = None) -> str:
+    """The model of src(by, post_id, text) as a chain of CTEs; with a size and a default discount that of plain Good-Turing."""
+    voc = f"ORDER BY n, token DESC) AS k FROM tc) WHERE k > {leave}" if size is None else f"ORDER BY n DESC, token) AS k FROM tc) WHERE k <= {size}"
+    cs = f"SELECT {by}, r, n_r, CASE WHEN r < r_switch THEN x ELSE y END AS c_star FROM z3 WHERE a <= -1 AND r_switch IS NOT NULL AND r_gap >= r_switch"
+    if default is not None:
+        cs = f"SELECT f.{by}, f.r, f.n_r, coalesce((f.r + 1) * g.n_r / f.n_r, f.r * {default}::DOUBLE) AS c_star FROM fr f LEFT JOIN fr g ON g.{by} = f.{by} AND g.r = f.r + 1"
     return f"""tc AS MATERIALIZED (SELECT {by}, token, count(*) AS n FROM (SELECT {by}, unnest(text) AS token FROM src) GROUP BY ALL),
-voc AS MATERIALIZED (SELECT {by}, token FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n, token DESC) AS k FROM tc) WHERE k > {leave}),
+voc AS MATERIALIZED (SELECT {by}, token FROM (SELECT *, row_number() OVER (PARTITION BY {by} {voc}),
 raw AS ({_pairs(by, "src")}),
 pairs AS MATERIALIZED ({_known(by, "raw", by)}),
 fr AS (SELECT {by}, n AS r, count(*) AS n_r FROM pairs GROUP BY ALL),
@@ -74,7 +80,7 @@ fit AS (SELECT {by}, regr_slope(ln(z), ln(r::DOUBLE)) AS a, regr_intercept(ln(z)
 z2 AS (SELECT z1.*, a, (r + 1) * n_next / n_r AS x, (r + 1) * exp(a * ln(r + 1.0::DOUBLE) + b) / exp(a * ln(r::DOUBLE) + b) AS y,
   1.959963984540054::DOUBLE * sqrt((r + 1) * (r + 1) * (n_next / (n_r::DOUBLE * n_r::DOUBLE)) * (1 + n_next / n_r)) AS width FROM z1 JOIN fit ON fit.{by} = z1.{by}),
 z3 AS (SELECT *, min(CASE WHEN abs(x - y) <= width THEN r END) OVER (PARTITION BY {by}) AS r_switch, min(CASE WHEN n_next IS NULL THEN r END) OVER (PARTITION BY {by}) AS r_gap FROM z2),
-cs AS MATERIALIZED (SELECT {by}, r, n_r, CASE WHEN r < r_switch THEN x ELSE y END AS c_star FROM z3 WHERE a <= -1 AND r_switch IS NOT NULL AND r_gap >= r_switch),
+cs AS MATERIALIZED ({cs}),
 good AS MATERIALIZED (SELECT DISTINCT {by} FROM cs),
 seen AS MATERIALIZED (SELECT q.{by}, w1, w2, n, n::DOUBLE / (sum(n) OVER (PARTITION BY q.{by}, w1))::DOUBLE AS p_ml, least(c_star / n, 0.9::DOUBLE) AS discount FROM pairs q JOIN cs ON cs.{by} = q.{by} AND cs.r = q.n),
 uc AS (SELECT {by}, token AS w, n FROM tc SEMI JOIN voc USING ({by}, token)
@@ -244,6 +250,37 @@ def snapshot_scores(spark, d):
     return rounded(snapshots.scores(*_monthly(spark, d)), "score")
 
 
+def gated_model(days: float) -> str:
+    """The models of samples from posts of authors with so many days of experience."""
+    return f"""{POSTS},
+g AS (SELECT p.*, (epoch_us(true_date) - epoch_us(lag(true_date) OVER (PARTITION BY author ORDER BY true_date, post_id))) / 86400000000.0::DOUBLE AS dt FROM p),
+k AS (SELECT avg(dt) AS k FROM g),
+x AS (SELECT g.*, sum(CASE WHEN dt IS NULL THEN 0 ELSE k * (1 - exp(-dt / k)) END) OVER (PARTITION BY author ORDER BY true_date, post_id ROWS UNBOUNDED PRECEDING) AS experience FROM g, k),
+a AS (SELECT month, author, count(*) FILTER (WHERE experience >= {days}) AS n FROM x GROUP BY ALL),
+mt AS (SELECT month FROM a GROUP BY month HAVING sum(n) >= 32 AND count(*) FILTER (WHERE n >= 2) >= 8),
+su AS (SELECT month, author FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY md5('7:' || month || ':' || author), author) AS k FROM a WHERE n >= 2 AND month IN (SELECT month FROM mt)) WHERE k <= 8),
+sp AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY month, author ORDER BY md5('7:' || post_id), post_id) AS k FROM x SEMI JOIN su USING (month, author) WHERE experience >= {days}) WHERE k <= 2),
+src AS (SELECT month, post_id, text FROM sp), {model_sql("month", 20)}"""
+
+
+@query(f"WITH {gated_model(10)}, target AS (SELECT month, post_id, text FROM p ANTI JOIN sp USING (post_id)), {score_sql('month')} SELECT month, post_id, round(score, 6) AS score FROM sc")
+def snapshot_scores_gated(spark, d):
+    """Scores under models of what authors with ten days of experience wrote."""
+    scratch = Scratch(spark, "gated")
+    rows = scratch.save(posts(spark, d), "posts")
+    old = scratch.save(timeline.experience(rows.select("post_id", "author", "true_date")).select("post_id", "experience"), "experience")
+    config = dataclasses.replace(MONTHLY, threshold_in_days=10)
+    sampled = scratch.save(snapshots.sample(rows.join(old, "post_id"), config, 7), "sample")
+    return rounded(snapshots.scores(rows, sampled, snapshots.fit(sampled, config, keep=scratch.save)), "score")
+
+
+@query(f"WITH {MONTH_MODEL}, target AS (SELECT month, post_id, text FROM p ANTI JOIN sp USING (post_id)), {score_sql('month')} SELECT p.post_id, round(coalesce(score, -999), 6) AS score FROM p LEFT JOIN sc USING (post_id)")
+def scores_with_marker(spark, d):
+    """Every post; those without a score, as they trained a model or their month has none, are marked by -999."""
+    rows, sampled, model = _monthly(spark, d)
+    return rounded(snapshots.unscored_as(rows.select("post_id"), snapshots.scores(rows, sampled, model)), "score")
+
+
 PROGRESSIVE = f"""{MONTH_MODEL},
 dealt AS (SELECT post_id, text, (month + to_months(s::INTEGER))::DATE AS month FROM p, (SELECT unnest([-1, 0, 1, 2]) AS s)),
 target AS (SELECT month, post_id, text FROM dealt ANTI JOIN sp USING (month, post_id)), {score_sql("month")}"""
@@ -262,27 +299,53 @@ def progressive_wide(spark, d):
     return rounded(snapshots.wide(snapshots.progressive_scores(*_monthly(spark, d), 2), "run", _COLUMNS), *_COLUMNS)
 
 
-@query()
+_PART = "CASE WHEN ('0x' || substr(md5('42:' || post_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8 THEN 'train' ELSE 'validation' END"
+
+
+def _grid_sql(size: int) -> str:
+    return f"""SELECT * FROM (WITH {POSTS}, sp AS (SELECT grp, post_id, text, {_PART} AS part FROM p), src AS (SELECT grp, post_id, text FROM sp WHERE part = 'train'), {model_sql("grp", size=size, default=0.5)},
+target AS (SELECT grp, post_id, text FROM sp WHERE part = 'validation'), {score_sql("grp")}, vs AS (SELECT grp, count(*) AS n FROM voc GROUP BY grp)
+SELECT {size}::BIGINT AS vocab_size, 0.5::DOUBLE AS default_discount, 0.9::DOUBLE AS max_discount, sc.grp, any_value(vs.n) AS actual_vocab_size, round(sum(raw) / sum(n_bigrams), 6) AS entropy, round(pow(2, sum(raw) / sum(n_bigrams)), 3) AS perplexity
+FROM sc JOIN vs USING (grp) GROUP BY sc.grp)"""
+
+
+@query(f"{_grid_sql(500)} UNION ALL {_grid_sql(2000)}")
 def grid_search(spark, d):
     """Entropy of the validation documents for combinations of parameters."""
     rows = Scratch(spark, "grid").save(sampling.split(posts(spark, d).select("grp", "post_id", "text"), "post_id"), "posts")
-    return katz.grid_search(rows.where("part = 'train'"), rows.where("part = 'validation'"), ["grp"], [500, 2000], [0.5], [0.9], keep=Scratch(spark, "grid").save)
+    got = katz.grid_search(rows.where("part = 'train'"), rows.where("part = 'validation'"), ["grp"], [500, 2000], [0.5], [0.9], keep=Scratch(spark, "grid").save)
+    return rounded(rounded(got, "entropy"), "perplexity", digits=3)
 
 
-@query(
-    """SELECT 'submission' AS kind, count(*) FILTER (WHERE lang IS NULL OR source IS NULL) AS bad_lines, count(*) AS lines FROM documents
-UNION ALL SELECT 'comment', count(*) FILTER (WHERE role IS NULL OR turn = 1), count(*) FROM conversations"""
-)
-def dump_ingest(spark, d):
-    """Compressed JSON lines, written and read back; the first turns lack their parent."""
+def _dumps(spark, d) -> DataFrame:
+    """Dumps of both kinds, written and read back; the first turns lack their parent."""
     scratch = Scratch(spark, "dumps")
     line = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items()))).alias("value")
     subs = documents(spark, d).select(line(id=F.col("doc_id").cast("string"), author=F.col("source"), created_utc=F.col("doc_id") * 86400, title=F.col("lang"), selftext=F.col("text"), num_comments=F.lit(0)))
     turns = spark.read.parquet(f"{d}/conversations.parquet")
     comments = turns.select(line(id=F.concat_ws("-", "conv_id", "turn"), author=F.col("role"), created_utc=F.col("turn"), body=F.col("text"), parent_id=F.when(F.col("turn") != 1, "t3_x")))
-    for name, rows in (("submissions", subs), ("comments", comments)):
-        rows.write.mode("overwrite").option("compression", "gzip").text(scratch.path(name))
-    return dumps.bad_lines(dumps.both(dumps.lines(spark, scratch.path("submissions")), dumps.lines(spark, scratch.path("comments"))))
+    subs.write.mode("overwrite").option("compression", "gzip").text(scratch.path("submissions"))
+    dumps.write_zst(comments, scratch.path("comments"))
+    return dumps.both(dumps.lines(spark, scratch.path("submissions")), dumps.lines(spark, scratch.path("comments"), long_window=True))
+
+
+@query(
+    """SELECT 'submission' AS kind, count(*) FILTER (WHERE lang IS NULL OR source IS NULL) AS bad_lines, count(*) AS lines FROM documents
+UNION ALL SELECT 'comment', count(*) FILTER (WHERE role IS NULL OR turn = 1), count(*) FROM conversations"""
+)
+def dump_ingest(spark, d):
+    """Compressed JSON lines, gzip and Zstandard, written and read back; lines that lack a required field are counted."""
+    return dumps.bad_lines(_dumps(spark, d))
+
+
+@query(
+    r"""SELECT doc_id::VARCHAR AS post_id, 'submission' AS kind, source AS author, make_timestamp(doc_id * 86400000000) AS created, lang AS title, regexp_replace(coalesce(text, ''), '[\r\n]', '', 'g') AS text, '' AS parent_id, 0::BIGINT AS num_comments
+FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL
+UNION ALL SELECT conv_id || '-' || turn, 'comment', role, make_timestamp(turn::BIGINT * 1000000), '', regexp_replace(coalesce(text, ''), '[\r\n]', '', 'g'), 't3_x', 0 FROM conversations WHERE role IS NOT NULL AND turn <> 1"""
+)
+def post_rows(spark, d):
+    """Post rows of good lines that start or answer a submission."""
+    return clean.posts(_dumps(spark, d).where("ok"))
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -290,8 +353,7 @@ def stream_daily_counts(spark, d):
     """The events read as a stream, to its present end."""
     scratch = Scratch(spark, "stream")
     counts = live.daily_counts(live.events(spark, f"{d}/events.parquet"))
-    live.drain(counts, scratch, "counts", "complete")
-    return spark.read.parquet(scratch.path("counts")).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    return live.drain(counts, scratch, "counts", "complete").select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @query(
@@ -301,8 +363,7 @@ SELECT user_id, event_id, round(sum(CASE WHEN dt IS NULL THEN 0 ELSE 0.4::DOUBLE
 def stream_experience(spark, d):
     """Running experience from a stream, for a mean gap of 0.4 days."""
     scratch = Scratch(spark, "stream")
-    live.drain(live.running_experience(live.events(spark, f"{d}/events.parquet"), 0.4), scratch, "experience", "append")
-    return rounded(spark.read.parquet(scratch.path("experience")), "experience")
+    return rounded(live.drain(live.running_experience(live.events(spark, f"{d}/events.parquet"), 0.4), scratch, "experience", "append"), "experience")
 
 
 @query(f"WITH {POSTS}, n AS (SELECT post_id, author, row_number() OVER (PARTITION BY author ORDER BY true_date, post_id) - 1 AS post_number, len(text) AS ntokens FROM p) SELECT author, post_number, ntokens::INTEGER AS ntokens FROM n")

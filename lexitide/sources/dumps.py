@@ -65,6 +65,25 @@ def _whole_files(batches):
                     yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in found], pa.string())], ["value"])
 
 
+#: A Zstandard frame that readers skip, four bytes of magic and a length of 0; as a line end it closes a file without harm.
+SKIPPED = "P*M\x18\0\0\0\0"
+
+
+def _frames(batches):
+    import pyarrow as pa
+    import zstandard
+
+    for batch in batches:
+        text = "".join(f"{x}\n" for x in batch.column(0).to_pylist() if x is not None)
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(text.encode())], pa.binary())], ["value"])
+
+
+def write_zst(lines_: DataFrame, path: str) -> None:
+    """Lines (the first column) as Zstandard files, a frame for each batch of rows; files commit as any other output."""
+    frames = lines_.select(F.col(lines_.columns[0]).cast("string")).mapInArrow(_frames, "value binary")
+    frames.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", SKIPPED).text(path)
+
+
 def lines(spark: SparkSession, path: str, long_window: bool = False, partitions: int | None = None, **options) -> DataFrame:
     """value: the lines of dumps. Spark's own reader does for plain windows and any store; files are not
     splittable, so what follows should run on more partitions. Long windows in a store that only Spark

@@ -46,9 +46,9 @@ def write_params(spark: SparkSession, rows: list[tuple[str, str]], path: str) ->
     df.coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_json(data, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(data, f, default=str)
+def write_json(spark: SparkSession, data, path: str) -> None:
+    """A small value as one line of JSON, to any store."""
+    spark.createDataFrame([(json.dumps(data, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def runs(spark: SparkSession, base: str, name: str) -> DataFrame:

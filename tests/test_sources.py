@@ -79,13 +79,23 @@ def test_command_line(spark, tmp_path):
         run("score", "--uid", f"ab{n}")
     run("progressive", "--uid", "ab1", "--month-delta", "1")
     run("trajectories", "--config", str(tmp_path / "traj.json"))
-    run("average")
+    run("trajectories", "--config", str(tmp_path / "traj.json"), "--high-post-limit", "80")
+    run("average", "--strict")
+    run("average", "--high-post-limit", "80")
+    run("report", "--uid", "ab2", "--high-post-limit", "80")
+    run("average-report")
+    run("score", "--uid", "ab2", "--all-posts")
     run("characterize")
     run("experience", "--first", "2020-01-01", "--last", "2020-06-01", "--threshold", "20")
     read = lambda name: spark.read.parquet(f"{base}/{name}")
     assert read("posts").count() == 900 and read("users").count() == 12
     assert read("run_uid=ab1/scores").join(read("run_uid=ab1/sample"), "post_id", "left_semi").count() == 0
     assert read("run_uid=ab1/scores").count() > 300
+    assert {(r[0], r[1]) for r in read("trajectories/phase").select("high_post_limit", "run_uid").distinct().collect()} == {(n, u) for n in (80, 5000) for u in ("ab1", "ab2")}
+    marked = read("run_uid=ab2/scores_all")
+    assert marked.count() == 900 and marked.where("score = -999").count() == 900 - read("run_uid=ab2/scores").count()
+    assert json.loads(spark.read.text(f"{base}/trajectories/options").first()[0])["num_phases"] == "4"
+    assert "<svg" in spark.read.text(f"{base}/run_uid=ab2/report").first()[0] and read("average_hpl_80/phase").count() == 4
     average = read("average/phase").collect()
     assert len(average) == 4 and all(x["score"] > 0 and x["std_dev"] is not None for x in average)
     assert "<svg" in spark.read.text(f"{base}/average/report").first()[0]
