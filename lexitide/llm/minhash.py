@@ -47,7 +47,7 @@ SYMBOLS = CHUNKS * WIDTH
 #: Members up to which a bucket is compared in memory; fuller ones meet in blocks of as many.
 BUCKET = 4096
 #: Documents and shingles in a block of a candidate group; a unit of verification reads two blocks.
-MEMBERS, BLOCK = 256, 150_000
+MEMBERS, BLOCK = 128, 150_000
 #: Shingles that are hashed at a time.
 SLICE = 1 << 20
 
