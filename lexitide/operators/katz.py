@@ -48,20 +48,25 @@ def token_counts(posts: DataFrame, by: list[str], words: str = "text") -> DataFr
 
 
 def vocabulary(counts: DataFrame, by: list[str], max_size: int | None = None, leave_unknown: float | int | None = None) -> DataFrame:
-    """The most frequent tokens of each group, ties by token: max_size of them, or all but leave_unknown (a number, or a share below 1)."""
-    down = Window.partitionBy(*by).orderBy(F.desc("n"), "token")
-    if max_size is not None:
-        return counts.withColumn("rank", F.row_number().over(down)).where(F.col("rank") <= max_size)
-    if not leave_unknown:
-        return counts.withColumn("rank", F.row_number().over(down))
-    if isinstance(leave_unknown, float):
-        types = F.count("*").over(Window.partitionBy(*by))
-        ranked = counts.withColumn("rank", F.row_number().over(down)).withColumn("__k", (types * F.lit(1 - leave_unknown)).cast("int"))
-        return ranked.where(F.col("rank") <= F.col("__k")).drop("__k")
-    # Few are left out, so ranking them from the rare end keeps the window small in every task.
-    up = Window.partitionBy(*by).orderBy("n", F.desc("token"))
-    rare = counts.withColumn("__r", F.row_number().over(up)).where(F.col("__r") <= int(leave_unknown)).select(*by, "token")
-    return counts.join(rare, [*by, "token"], "left_anti")
+    """The most frequent tokens of each group, ties by token: max_size of them, or all but leave_unknown (a number, or a share below 1).
+
+    Neither sorts all types of a group: counts of counts show which count the last token has, so only
+    tokens from there on up are ranked; and what a number leaves out is ranked from the rare end.
+    """
+    if max_size is None and not leave_unknown:
+        return counts
+    if max_size is None and not isinstance(leave_unknown, float):
+        up = Window.partitionBy(*by).orderBy("n", F.desc("token"))
+        rare = counts.withColumn("__r", F.row_number().over(up)).where(F.col("__r") <= int(leave_unknown)).select(*by, "token")
+        return counts.join(rare, [*by, "token"], "left_anti")
+    levels = counts.groupBy(*by, "n").agg(F.count("*").alias("__t"))
+    down = Window.partitionBy(*by).orderBy(F.desc("n"))
+    size = F.lit(max_size) if max_size is not None else (F.sum("__t").over(Window.partitionBy(*by)) * F.lit(1 - leave_unknown)).cast("int")
+    before = F.coalesce(F.sum("__t").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = levels.select(*by, "n", size.alias("__k"), before.alias("__b")).where("__b < __k").groupBy(*by).agg(F.min("n").alias("__n"), F.first("__k").alias("__k"))
+    rows = counts.join(F.broadcast(last), by) if by else counts.crossJoin(F.broadcast(last))  # a row a group
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "token"))
+    return rows.where("n >= __n").withColumn("rank", rank).where("rank <= __k").drop("__n", "__k")
 
 
 def pair_counts(posts: DataFrame, keys: list[str], words: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+@contextmanager
+def temporary():
+    """Deletes the intermediate tables that are begun inside, at the end: for results that have been stored elsewhere."""
+    before = set(map(id, Scratch.live))
+    yield
+    for scratch in [s for s in Scratch.live if id(s) not in before]:
+        scratch.clear()
+
+
 class Scratch:
     """Tables under a folder of their own: they cut the lineage and survive lost executors.
 
     A result may read them whenever it is asked for, so what is not dropped before goes at the end of the process.
     """
 
+    live: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self.names: set[str] = set()
+        self.live.append(self)
         atexit.register(self.clear)
 
     def path(self, name: str) -> str:
@@ -66,6 +79,7 @@ class Scratch:
     def clear(self) -> None:
         """Deletes the whole folder; whoever ended the JVM before has to do it by hand."""
         atexit.unregister(self.clear)
+        self.live[:] = [s for s in self.live if s is not self]
         try:
             self._delete(self.root)
         except Exception:  # the JVM is gone

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import datetime
+import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexitide import config
 from lexitide.functions import dates, text
 from lexitide.operators import average, clean, months, reports, sampling, timeline, trajectory, users
+from lexitide.operators.medians import medians
 
 
 def values(df, *columns):
@@ -30,7 +33,6 @@ def test_phase_weights_add_up_to_posts(spark, total, phases):
 @pytest.mark.parametrize("sizes,want", [({1: 100, 2: 80, 3: 40, 4: 60}, 3), ({1: 100, 2: 80, 3: 60, 4: 55}, 3), ({1: 10}, 0), ({1: 60}, 0)])
 def test_last_stage(spark, sizes, want):
     df = spark.createDataFrame([(s,) for s, n in sizes.items() for _ in range(n)], "stage int")
-    assert trajectory.last_stage(df, 50).first()[0] == want
     rows = df.withColumn("score", F.lit(2.0)).withColumn("weight", F.lit(1.0))
     assert values(trajectory.weighted(rows, "x", 10, 50), "x") == [(10.0 * i,) for i in range(1, want + 1)]
 
@@ -139,6 +141,88 @@ def test_reports():
     assert reports.as_table([{"a": 1}, {"b": 2}]).count("<th>") == 2
 
 
+def plain_lowess(x, y, fraction, rounds=3):
+    """Point by point from the definition: weighted least squares by normal equations, with sorted distances."""
+    n = len(x)
+    k = min(n, max(2, int(fraction * n + 1e-10)))
+    trust, fit = [1.0] * n, list(y)
+    for _ in range(rounds + 1):
+        fit = []
+        for i in range(n):
+            reach = sorted(abs(v - x[i]) for v in x)[k - 1]
+            weight = []
+            for j in range(n):
+                d = abs(x[j] - x[i])
+                tri = 1.0 if d <= 0.001 * reach else (1 - (d / reach) ** 3) ** 3 if d < 0.999 * reach else 0.0
+                weight.append(tri * trust[j])
+            rows = np.array([[1.0, v - x[i]] for v in x])
+            w = np.array(weight)
+            if not w.sum():
+                fit.append(y[i])
+                continue
+            left, right = (rows * w[:, None]).T @ rows, (rows * w[:, None]).T @ np.array(y)
+            fit.append(float(np.linalg.solve(left, right)[0]) if abs(np.linalg.det(left)) > 1e-9 * w.sum() ** 2 else float(right[0] / left[0, 0]))
+        error = [abs(a - b) for a, b in zip(y, fit, strict=True)]
+        scale = 6 * statistics.median(error)
+        if scale <= 1e-12:
+            break
+        trust = [max(0.0, 1 - (e / scale) ** 2) ** 2 for e in error]
+    return fit
+
+
+@pytest.mark.parametrize("seed,fraction", [(1, 0.3), (2, 0.5), (3, 0.2)])
+def test_smoothing_against_its_definition(spark, seed, fraction):
+    r = np.random.default_rng(seed)
+    x = np.sort(r.uniform(0, 20, 45))
+    y = np.sin(x / 3) * 4 + r.normal(0, 0.4, 45)
+    y[r.integers(0, 45, 3)] += 9
+    want = plain_lowess(x.tolist(), y.tolist(), fraction)
+    assert reports.lowess(x, y, fraction) == pytest.approx(want, abs=1e-7)
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y, strict=True)], "g string, x double, y double")
+    assert [row["fit"] for row in reports.smoothed(df, "x", "y", "g", fraction).orderBy("x").collect()] == pytest.approx(want, abs=1e-7)
+
+
+def test_medians(spark):
+    r = np.random.default_rng(7)
+    groups = {"a": r.normal(0, 1, 1001), "b": r.integers(0, 3, 500).astype(float), "c": np.array([4.0]), "d": np.array([1.0, 2.0]), "e": np.full(300, -7.5), "f": np.array([-1e300, 1e300, 5.0, 6.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("z", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {x["g"]: (x["m"], x["half"]) for x in medians(df, {"m": F.col("v"), "half": F.col("v") / 2}, ["g"]).collect()}
+    assert got == {g: (float(np.median(v)), float(np.median(v / 2))) for g, v in groups.items()}
+    assert medians(df, {"m": F.col("v")}).first()["m"] == float(np.median(np.concatenate(list(groups.values()))))
+    assert medians(df.where("false"), {"m": F.col("v")}).first()["m"] is None
+
+
+def test_all_runs_at_once_are_each_run_alone(spark):
+    rows = [(run, a, n, float(n % 5 + a)) for run in ("r1", "r2") for a in range(6) for n in range(10 + 3 * a) if (run, a) != ("r2", 3)]
+    df = spark.createDataFrame(rows, "run_uid string, author int, post_number long, score double")
+    dealt = trajectory.by_bin(df, trajectory.posts_stage(4))
+    both = trajectory.weighted(dealt, "posts", 4, 8, by=("run_uid",))
+    for run in ("r1", "r2"):
+        alone = trajectory.weighted(dealt.where(F.col("run_uid") == run), "posts", 4, 8)
+        assert values(both.where(F.col("run_uid") == run), "posts", "score", "nposts") == values(alone, "posts", "score", "nposts") != []
+        own = trajectory.user_averaged(dealt.where(F.col("run_uid") == run), "posts")
+        assert values(trajectory.user_averaged(dealt, "posts", by=("run_uid",)).where(F.col("run_uid") == run), *own.columns) == values(own)
+    assert values(trajectory.weighted(dealt.where("false"), "posts", 4, 8)) == []
+
+
+def test_authors_without_profile_are_an_error_when_asked_for(spark):
+    posts = spark.createDataFrame([("a", datetime.datetime(2020, 1, 2)), ("b", datetime.datetime(2020, 1, 3))], "author string, created timestamp_ntz")
+    people = spark.createDataFrame([("a", datetime.datetime(2020, 1, 1))], "author string, first_post timestamp_ntz")
+    assert values(timeline.seconds(posts, people), "author", "user_seconds") == [("a", 86400), ("b", None)]
+    assert timeline.seconds(posts.where("author = 'a'"), people, strict=True).count() == 1
+    with pytest.raises(Exception, match="no profile of author b"):
+        timeline.seconds(posts, people, strict=True).collect()
+
+
+def test_month_names(spark):
+    df = spark.createDataFrame([("march",), ("MAR",), ("May",), ("sept",), (None,), ("December",)], "n string")
+    assert [r[0] for r in df.select(dates.month_number(F.col("n"))).collect()] == [3, 3, 5, None, None, 12]
+    one = spark.range(1).select(dates.month_name(F.lit("2024-02-10").cast("date")), dates.month_end(F.lit("2024-02-10").cast("date")), text.uid_of(F.lit("a"), F.lit(1))).first()
+    assert (one[0], one[1], len(one[2])) == ("February", datetime.date(2024, 2, 29), 8)
+    assert len(text.new_uid()) == 8 and text.new_uid() != text.new_uid()
+
+
 def test_plot_filter(spark):
     df = spark.range(5)
     assert [df.where(clean.compare("id", op, 2)).count() for op in ("==", "<=", ">=", "?")] == [1, 3, 3, 3]

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lexitide.plans import registry
+from lexitide.plans import activity, registry
 from tests import oracle
 
 
@@ -18,6 +18,16 @@ def test_matches_sql(spark, con, name):
     assert oracle.differences(registry.queries()[name](spark, oracle.DATA), con, registry.oracle_sql()[name]) == []
 
 
+@pytest.fixture(scope="module")
+def larger():
+    return oracle.connect("/root/testdata/sf0.01")
+
+
+@pytest.mark.parametrize("name", sorted(activity.ORACLES))
+def test_matches_sql_on_more_rows(spark, larger, name):
+    assert oracle.differences(registry.queries()[name](spark, "/root/testdata/sf0.01"), larger, registry.oracle_sql()[name]) == []
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, oracle.DATA).count() > 0

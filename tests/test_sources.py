@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 
 import pytest
@@ -53,6 +54,35 @@ def test_tables(spark, tmp_path):
     assert spark.range(1).select(tables.community(F.lit("Chess_snapshots_x"))).first()[0] == "Chess"
 
 
+def test_zstandard_files_by_spark(spark, tmp_path):
+    """Frames, and line ends that are frames to skip, read back by both readers; empty parts do no harm."""
+    lines = [(f'{{"n": {i}, "t": "é{i}"}}',) for i in range(2000)]
+    df = spark.createDataFrame(lines, "value string").repartition(3).union(spark.createDataFrame([], "value string"))
+    path = f"file://{tmp_path}/z"
+    dumps.write_zst(df, path)
+    assert sorted(r[0] for r in dumps.lines(spark, path, long_window=True).collect()) == sorted(x[0] for x in lines)
+    files = ",".join(str(p) for p in (tmp_path / "z").glob("part-*"))
+    assert dumps.lines(spark, files, long_window=True).count() == 2000
+
+
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    from lexitide.sources.shared import Scratch
+    from lexitide.streaming import live
+
+    t = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    path = f"{tmp_path}/events"
+    spark.createDataFrame([(1, 1, t(0)), (1, 2, t(24)), (2, 3, t(5))], "user_id long, event_id long, ts timestamp").coalesce(1).write.parquet(path)
+    scratch = Scratch(spark, "t")
+    run = lambda: sorted(tuple(r) for r in live.drain(live.running_experience(live.events(spark, path), 1.0), scratch, "x", "append").collect())
+    first = run()
+    spark.createDataFrame([(1, 4, t(48)), (1, 5, t(12))], "user_id long, event_id long, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    both = run()
+    one = 1 - 2.718281828459045 ** -1
+    assert [r[:2] for r in both] == [(1, 1), (1, 2), (1, 4), (1, 5), (2, 3)] and set(first) < set(both)
+    assert [r[2] for r in both] == pytest.approx([0, one, 2 * one, one, 0])  # the late row adds nothing
+    assert run() == both
+
+
 def test_command_line(spark, tmp_path):
     """Dumps of two years to averaged trajectories."""
     import random
