@@ -52,9 +52,8 @@ def formatted(ts: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(ts, pattern)
 
 
-def plus_buffer(ts: Column, months: int) -> Column:
-    """A buffer month is four weeks."""
-    return F.timestamp_add("DAY", F.lit(28 * months), ts)
+def plus_weeks(ts: Column, weeks: int) -> Column:
+    return F.timestamp_add("DAY", F.lit(7 * weeks), ts)
 
 
 def whole_bin(x: Column, size: float) -> Column:

@@ -34,12 +34,28 @@ class Model:
     TABLES = ("vocab", "bigrams", "unigrams", "alphas", "cstars", "groups")
 
     def save(self, path: str) -> None:
+        """A folder for each group in every table but the small one of groups, so one month is read alone."""
         for t in self.TABLES:
-            getattr(self, t).write.mode("overwrite").parquet(f"{path}/{t}")
+            df = getattr(self, t)
+            if self.by and t != "groups":
+                df.repartition(*self.by, F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.mode("overwrite").partitionBy(*self.by).parquet(f"{path}/{t}")
+            else:
+                df.write.mode("overwrite").parquet(f"{path}/{t}")
 
     @classmethod
-    def load(cls, spark, path: str, by: list[str]) -> Model:
-        return cls(by, *(spark.read.parquet(f"{path}/{t}") for t in cls.TABLES))
+    def load(cls, spark, path: str, by: list[str], only: Column | None = None) -> Model:
+        """The model, or the groups that meet a condition on the key columns: the others' folders are not read. Keys keep their types, whatever they look like."""
+        groups = spark.read.parquet(f"{path}/groups")
+        kinds = {f.name: f.dataType for f in groups.schema.fields}
+        inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+        before = spark.conf.get(inference)
+        spark.conf.set(inference, "false")
+        try:
+            tables = [groups if t == "groups" else spark.read.parquet(f"{path}/{t}") for t in cls.TABLES]
+        finally:
+            spark.conf.set(inference, before)
+        tables = [df.withColumns({c: F.col(c).cast(kinds[c]) for c in by}) if by else df for df in tables]
+        return cls(by, *(df.where(only) if only is not None else df for df in tables))
 
 
 def token_counts(posts: DataFrame, by: list[str], words: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexitide.functions import dates
 from lexitide.operators.clean import IGNORED
 
 CORPUS_END = "2022-12-31"
@@ -38,7 +39,7 @@ def trajectory_users(users: DataFrame, low: int = 50, high: int | None = 5000) -
 
 def ended_users(users: DataFrame, weeks: int = 48, end: str = CORPUS_END) -> DataFrame:
     """Authors whose last post lies weeks or more before the corpus ends."""
-    return users.where(F.col("last_post") <= F.lit(end).cast("timestamp_ntz") - F.expr(f"INTERVAL '{7 * weeks}' DAY"))
+    return users.where(F.col("last_post") <= dates.plus_weeks(F.lit(end).cast("timestamp_ntz"), -weeks))
 
 
 def tiers(users: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def plain_model(posts, leave, mode="reference", cap=0.9, gamma=0.2):
             if r + 1 not in n_r:
                 return None
             x = (r + 1) * n_r[r + 1] / n_r[r]
-            width = katz.Z * math.sqrt((r + 1) ** 2 * n_r[r + 1] / n_r[r] ** 2 * (1 + n_r[r + 1] / n_r[r]))
+            width = katz.quantile(0.05) * math.sqrt((r + 1) ** 2 * n_r[r + 1] / n_r[r] ** 2 * (1 + n_r[r + 1] / n_r[r]))
             smooth = abs(x - y) <= width
         star[r] = y if smooth else x
     first = defaultdict(int)
@@ -129,3 +129,23 @@ def test_model_round_trip(spark, tmp_path):
     again = katz.Model.load(spark, str(tmp_path / "m"), ["g"])
     key = lambda m: sorted((r["post_id"], round(r["score"], 9)) for r in katz.entropies(df, m).collect())
     assert key(model) == key(again)
+
+
+def test_stored_models_are_read_group_by_group(spark, tmp_path):
+    texts = [f"the cat {w} on the mat . the dog {w} too ." for w in "sat ran lay sat ran sat slept ate sat ran".split()] * 6
+    rows = [(g, i, t.split()) for g in ("1e5", "007", "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "run_uid string, post_id long, text array<string>")
+    model = katz.fit(df, ["run_uid"], leave_unknown=2, smoothing="gt")
+    model.save(str(tmp_path / "m"))
+    back = katz.Model.load(spark, str(tmp_path / "m"), ["run_uid"])
+    for t in katz.Model.TABLES:
+        a, b = getattr(model, t), getattr(back, t)
+        assert sorted(a.columns) == sorted(b.columns)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    one = katz.Model.load(spark, str(tmp_path / "m"), ["run_uid"], F.col("run_uid") == "007")
+    assert {r[0] for r in one.bigrams.select("run_uid").distinct().collect()} == {"007"}
+    assert "PartitionFilters: [isnotnull(run_uid" in one.bigrams._jdf.queryExecution().toString() and one.groups.count() == 1
+
+
+def test_quantile():
+    assert katz.quantile(0.05) == pytest.approx(1.959963984540054) and katz.quantile(0.01) > 2.57
