@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexitide.llm import minhash, packing, pii, quality, substring
-from lexitide.llm.common import Scratch
+from lexitide.llm.common import Scratch, temporary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary():  # what a stage stored on its way goes once its result is stored
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         if i:
             scratch.drop(STAGES[i - 1][0])
     return docs

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.sources.shared import Scratch, shared_dir
+from lexitide.sources.shared import Scratch, shared_dir, temporary
 
-__all__ = ["Scratch", "shared_dir", "broadcast_if_small", "free_names", "runs", "splitmix", "table", "tasks"]
+__all__ = ["Scratch", "shared_dir", "temporary", "broadcast_if_small", "free_names", "runs", "splitmix", "table", "tasks"]
 
 #: A side is broadcast only after its rows were counted and came to no more than this many bytes.
 BROADCAST_BYTES = 32 << 20

@@ -172,7 +172,7 @@ def pack(docs: DataFrame, files: tuple[str, str, str] | None = None, max_len: in
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("task", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = pieces.join(broadcast_if_small(base, counts.count(), 32), ["task", "length"])
+    ranked = pieces.join(broadcast_if_small(base, counts.count(), 80), ["task", "length"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("nth") + F.col("base")).alias("rank"))
     return ranked.mapInArrow(_placed(places(patterns(histogram, max_len))), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -293,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[dict[st
     """(terms, weights) from docs(doc_id, text) and labels(doc_id, toxic)."""
     spark = docs.sparkSession
     labels = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    joined = docs.select("doc_id", "text").join(broadcast_if_small(labels, labels.count(), 32), "doc_id")
+    joined = docs.select("doc_id", "text").join(broadcast_if_small(labels, labels.count(), 64), "doc_id")
     n = {r["toxic"]: r["count"] for r in joined.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
