@@ -19,6 +19,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,9 +182,22 @@ def characterize(f: Folder, a) -> None:
 
 
 def experience(f: Folder, a) -> None:
-    rows = f.read("posts")
-    f.write(reports.experience_summary(rows, a.threshold), "experience_overall")
-    f.write(reports.experience_by_month(rows, a.threshold, a.first, a.last), "experience_by_month")
+    rows, threshold = f.read("posts"), a.threshold
+    if threshold is None:
+        threshold = _threshold(f)
+    f.write(reports.experience_summary(rows, threshold), "experience_overall")
+    f.write(reports.experience_by_month(rows, threshold, a.first, a.last), "experience_by_month")
+
+
+def _threshold(f: Folder) -> float:
+    """That of the first experience-gated run without an end buffer, or half a year if there is none."""
+    try:
+        params = f.params()
+    except AnalysisException:  # no run yet
+        return 182
+    run = tables.unpadded(params).first()
+    found = run and params.where((F.col("run_uid") == run[0]) & (F.col("key") == "threshold_in_days")).first()
+    return float(found["value"]) if found else 182
 
 
 COMMANDS = {"preprocess": preprocess, "snapshot": snapshot, "score": score, "progressive": progressive, "trajectories": trajectorize, "report": report, "average": averages, "average-report": average_report, "characterize": characterize, "experience": experience}
@@ -216,7 +230,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--min-posts", type=float)
             p.add_argument("--strict", action="store_true", help="stop if parameters differ between runs")
         if name == "experience":
-            p.add_argument("--threshold", type=float, default=182)
+            p.add_argument("--threshold", type=float)
             p.add_argument("--first", required=True)
             p.add_argument("--last", required=True)
     return top

@@ -118,6 +118,11 @@ def test_command_line(spark, tmp_path):
     run("characterize")
     run("experience", "--first", "2020-01-01", "--last", "2020-06-01", "--threshold", "20")
     read = lambda name: spark.read.parquet(f"{base}/{name}")
+    shares = [read("experience_overall").first()["fraction"]]
+    for threshold in ("182", None):  # no run has one, so half a year
+        run("experience", "--first", "2020-01-01", "--last", "2020-06-01", *(["--threshold", threshold] if threshold else []))
+        shares.append(read("experience_overall").first()["fraction"])
+    assert shares[0] > shares[1] == shares[2]
     assert read("posts").count() == 900 and read("users").count() == 12
     assert read("run_uid=ab1/scores").join(read("run_uid=ab1/sample"), "post_id", "left_semi").count() == 0
     assert read("run_uid=ab1/scores").count() > 300
