@@ -368,23 +368,24 @@ def _by_run(spark, d):
     return timeline.numbered(orders(spark, d), order=("true_date", "post_id")).withColumn("run_uid", F.substring("o_orderpriority", 1, 1))
 
 
-@query(f"WITH {BY_RUN.format(limit='0', source='n')} SELECT run_uid, posts, round(score, 4) AS score, nposts FROM t")
+@query(f"WITH {BY_RUN.format(limit='0', source='n')} SELECT run_uid, posts, round(ln(score), 9) AS log_score, nposts FROM t")
 def traj_all_runs(spark, d):
-    """The trajectories of all runs in one job."""
+    """The trajectories of all runs in one job; in logs, as means of prices end on fives, which engines round either way."""
     got = trajectory.weighted(trajectory.by_bin(_by_run(spark, d), trajectory.posts_stage(2)), "posts", 2, 10, by=("run_uid",))
-    return rounded(got.drop("avg_ntokens"), "score", digits=4)
+    return got.select("run_uid", "posts", F.round(F.ln("score"), 9).alias("log_score"), "nposts")
 
 
 _LIMITS = "(SELECT n.*, h FROM (SELECT *, count(*) OVER (PARTITION BY author) AS total FROM n) n, (SELECT unnest([12, 30]) AS h) WHERE total <= h)"
 
 
-@query(f"WITH {BY_RUN.format(limit='h', source=_LIMITS)} SELECT high_post_limit, posts, round(avg(score), 4) AS score, round(stddev_samp(score), 4) AS std_dev, arg_min(nposts, run_uid) AS nposts FROM t GROUP BY ALL")
+@query(f"WITH {BY_RUN.format(limit='h', source=_LIMITS)} SELECT high_post_limit, posts, round(ln(avg(score)), 9) AS log_score, round(stddev_samp(score), 4) AS std_dev, arg_min(nposts, run_uid) AS nposts FROM t GROUP BY ALL")
 def average_high_post_limit(spark, d):
     """Averages over runs for two limits on the posts of an author."""
     rows = _by_run(spark, d).withColumn("high_post_limit", F.explode(F.array(F.lit(12), F.lit(30)))).where("total_user_posts <= high_post_limit")
     keys = ("high_post_limit", "run_uid")
     got = trajectory.weighted(trajectory.by_bin(rows, trajectory.posts_stage(2)), "posts", 2, 10, by=keys)
-    return rounded(average.average(got, "posts", by=("high_post_limit",)), "score", "std_dev", digits=4)
+    got = average.average(got, "posts", by=("high_post_limit",))
+    return rounded(got.select("high_post_limit", "posts", F.round(F.ln("score"), 9).alias("log_score"), "std_dev", "nposts"), "std_dev", digits=4)
 
 
 @query(f"WITH {RUNS} SELECT posts, round(avg(score), 4) AS score, round(stddev_samp(score), 4) AS std_dev, arg_min(nposts, run_uid) AS nposts FROM r GROUP BY posts")

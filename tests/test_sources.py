@@ -83,6 +83,30 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     assert run() == both
 
 
+def test_intermediate_tables_go(spark):
+    from pathlib import Path
+
+    from lexitide.sources.shared import Scratch, temporary
+
+    with temporary():
+        scratch = Scratch(spark, "t")
+        a, b = scratch.save(spark.range(5), "a"), scratch.save(spark.range(3), "b")
+        at = Path(scratch.root.removeprefix("file://"))
+        scratch.keep_only("b")
+        assert b.count() == 3 and a.schema == b.schema and sorted(x.name for x in at.iterdir()) == ["b"]
+    assert not at.exists()
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from lexitide.sources.shared import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default, set=None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_command_line(spark, tmp_path):
     """Dumps of two years to averaged trajectories."""
     import random
