@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexitide.plans import activity, language
+from lexitide.plans import activity, language, storage
+
+MODULES = (activity, language, storage)
 
 
 def queries() -> dict:
-    return activity.QUERIES | language.QUERIES
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return activity.ORACLES | language.ORACLES
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
