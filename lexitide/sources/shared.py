@@ -30,6 +30,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: Rows that go to a Python worker at a time while an intermediate table is written. Rows hold whole texts or sets, so
+#: the usual ten thousand take much memory on both sides.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for a while."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def temporary():
     """Deletes the intermediate tables that are begun inside, at the end: for results that have been stored elsewhere."""
@@ -58,7 +74,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with setting(self.spark, BATCH, str(min(ROWS, int(self.spark.conf.get(BATCH))))):
+            df.write.mode("overwrite").parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
