@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexitide.sources.shared import Scratch, shared_dir, temporary
 
-__all__ = ["Scratch", "shared_dir", "temporary", "broadcast_if_small", "free_names", "runs", "splitmix", "table", "tasks"]
+__all__ = ["Scratch", "shared_dir", "temporary", "broadcast_if_small", "free_names", "runs", "splitmix", "table", "tasks", "trimmed"]
 
 #: A side is broadcast only after its rows were counted and came to no more than this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -41,6 +43,21 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(function):
+    """A function of batches that hands freed memory back to the system at its end: idle Python workers stay, and what they keep is missing to others."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every system's library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def runs(batches, keys: list[str]):
     """Tables of the rows with equal keys, from Arrow batches sorted by keys; a run may span batches."""
     held: list[pa.RecordBatch] = []

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import Scratch, broadcast_if_small, runs, splitmix
+from lexitide.llm.common import Scratch, broadcast_if_small, runs, splitmix, trimmed
 from lexitide.llm.components import components, forest
 
 CHUNKS, WIDTH = 8, 5
@@ -49,7 +49,7 @@ BUCKET = 4096
 #: Documents and shingles in a block of a candidate group; a unit of verification reads two blocks.
 MEMBERS, BLOCK = 128, 150_000
 #: Shingles that are hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
@@ -171,7 +171,7 @@ def _bucket_links(limit: int, keys: tuple[str, ...] = ("key",)):
             doc, s1, s2 = (t.column(c).to_numpy() for c in ("doc", "s1", "s2"))
             a, b = links(doc, s1.view(np.uint64), s2.view(np.uint64))
             new = [x for x in zip(a.tolist(), b.tolist(), strict=True) if x not in seen]
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             seen.update(new)
             if new:
@@ -237,8 +237,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         if len(at):
             rows = owner[at[:, None] + np.arange(f)]
             x, y = np.triu_indices(f, 1)
-            for part in range(0, len(rows), 1 << 16):
-                r = rows[part : part + (1 << 16)]
+            for part in range(0, len(rows), 1 << 14):
+                r = rows[part : part + (1 << 14)]
                 out += np.bincount((r[:, x] * d + r[:, y]).ravel(), minlength=d * d).reshape(d, d)
     out += out.T
     at = np.flatnonzero(often > few)
@@ -276,7 +276,7 @@ def _confirm(percent: int):
 
 def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among the documents of each unit of sets(group, lo, hi, doc, set)."""
-    return sets.select(*UNIT, "doc", "set").repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(_confirm(percent), "a long, b long")
+    return sets.select(*UNIT, "doc", "set").repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(trimmed(_confirm(percent)), "a long, b long")
 
 
 def _meetings(scratch: Scratch, rows: DataFrame, group: str, size: int, name: str, weight: int | None = None) -> DataFrame:
@@ -302,7 +302,7 @@ def _candidates(scratch: Scratch, reps: DataFrame, limit: int, bucket: int) -> D
     rows = full.count()
     few = broadcast_if_small(full, rows, 16)
     plain = keyed.join(few, "key", "left_anti") if rows else keyed
-    links = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(limit), "a long, b long")
+    links = plain.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_bucket_links(limit)), "a long, b long")
     if rows:
         hot = scratch.save(keyed.join(few, "key", "left_semi"), "full-buckets")
         least = scratch.save(hot.groupBy("key").agg(F.min(F.struct("doc", "s1", "s2")).alias("l")), "full-least")
@@ -314,7 +314,7 @@ def _candidates(scratch: Scratch, reps: DataFrame, limit: int, bucket: int) -> D
         links = links.unionByName(tested.where("main AND doc != b").select(F.col("doc").alias("a"), "b").distinct())
         met = _meetings(scratch, tested.drop("b"), "key", bucket, "full-blocks").select("key", "lo", "hi", "doc", "s1", "s2")
         keys = ["key", "lo", "hi"]
-        links = links.unionByName(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_bucket_links(limit, tuple(keys)), "a long, b long"))
+        links = links.unionByName(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(_bucket_links(limit, tuple(keys))), "a long, b long"))
     links = scratch.save(links, "candidate-links")
     scratch.drop(*(x for x in ("full-keys", "full-buckets", "full-least", "full-tested", "full-blocks") if x in scratch.names))
     return links
@@ -324,7 +324,7 @@ def _fold(scratch: Scratch, docs: DataFrame, wide: DataFrame, links: DataFrame,
     """Confirmed links (a, b) of the large groups of wide(component, doc, n); stored, complete up to connection."""
     few = wide.select("doc")
     texts = docs.join(broadcast_if_small(few, few.count(), 16), docs.doc_id == F.col("doc"), "inner").select("doc", "text")
-    sets = scratch.save(texts.mapInArrow(_sets(size, 1), "doc long, set binary"), "sets")
+    sets = scratch.save(texts.mapInArrow(trimmed(_sets(size, 1)), "doc long, set binary"), "sets")
     meet = lambda units, name: scratch.save(_confirmed(units.join(sets, "doc"), percent), name)
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = scratch.save(docs.mapInArrow(_features(size), "doc_id long, n_shingles long, fp binary, sig binary"), "features")
+    feats = scratch.save(docs.mapInArrow(trimmed(_features(size)), "doc_id long, n_shingles long, fp binary, sig binary"), "features")
     known = feats.where("fp IS NOT NULL AND doc_id IS NOT NULL")
     reps = scratch.save(
         known.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"), F.count("*").alias("copies")).select("fp", F.col("m.doc_id").alias("doc"), F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"), "copies"),
@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block: in
     small = groups.join(broadcast_if_small(large, n_large, 16), "component", "left_anti") if n_large else groups
     small = scratch.save(small.select(F.col("component").alias("group"), "doc"), "small")
     texts = docs.join(broadcast_if_small(small, small.count(), 24), docs.doc_id == F.col("doc")).select("group", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "doc", "text")
-    confirmed = _confirmed(texts.mapInArrow(_sets(size, 4), "group long, lo long, hi long, doc long, set binary"), percent)
+    confirmed = _confirmed(texts.mapInArrow(trimmed(_sets(size, 4)), "group long, lo long, hi long, doc long, set binary"), percent)
     if n_large:
         wide = scratch.save(groups.join(broadcast_if_small(large, n_large, 16), "component", "left_semi"), "wide")
         confirmed = confirmed.unionByName(_fold(scratch, docs, wide, links, size, percent, members, block))

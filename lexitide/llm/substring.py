@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.llm.common import Scratch, free_names, splitmix
+from lexitide.llm.common import Scratch, free_names, splitmix, trimmed
 
 MARKS = b".!?,;:\n"
 UNITS, WORDS = 3, 25
@@ -236,8 +236,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     scratch = Scratch(docs.sparkSession, "substring")
     tag = F.xxhash64(F.col(text))
-    found = docs.select(F.col(doc_id).cast("long").alias("doc"), tag.alias("tag"), F.col(text).alias("text")).mapInArrow(_found, FOUND)
-    gone = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "tag", "first").mapInArrow(_later, "doc long, tag long, first int, end int")
+    found = docs.select(F.col(doc_id).cast("long").alias("doc"), tag.alias("tag"), F.col(text).alias("text")).mapInArrow(trimmed(_found), FOUND)
+    gone = found.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "tag", "first").mapInArrow(trimmed(_later), "doc long, tag long, first int, end int")
     packed = (F.shiftleft(F.col("first").cast("long"), 32) + F.col("end")).alias("pair")
     # Distinct pairs: as many at most as a text has spans, however often the text is repeated.
     gone = scratch.save(gone.select("doc", "tag", packed).groupBy("doc", "tag").agg(F.collect_set("pair").alias("pairs")), "gone")
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = plain.join(gone.hint("merge"), (F.coalesce(F.col(f"__c{at_id}").cast("long"), F.lit(-(1 << 63))) == F.col("__doc")) & (F.xxhash64(f"__c{at}") == F.col("__tag")), "left").select(*plain.columns, "__pairs")
     schema = T.StructType([*plain.schema.fields[:at], T.StructField(f"__c{at}", T.StringType()), *plain.schema.fields[at + 1 :], T.StructField("removed_units", T.LongType())])
     names = plain.columns
-    return joined.mapInArrow(_cut_out(at, names), schema).toDF(*cols, *free_names(["removed_units"], cols))
+    return joined.mapInArrow(trimmed(_cut_out(at, names)), schema).toDF(*cols, *free_names(["removed_units"], cols))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
