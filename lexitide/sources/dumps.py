@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -10,6 +12,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 LINE = "id string, author string, created_utc string, title string, selftext string, body string, parent_id string, num_comments string"
 
 
+def _files(path: str) -> list[str]:
+    """The file, or what a folder holds but for names that Spark's readers pass over too."""
+    if not os.path.isdir(path):
+        return [path]
+    found = sorted(e.path for e in os.scandir(path) if e.is_file() and not e.name.startswith(("_", ".")))
+    return [f for f in found if not f.endswith("._COPYING_")]
+
+
 class _Files(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options["path"].split(",") if p]
@@ -17,12 +27,14 @@ class _Files(DataSourceReader):
         self.last = options.get("unterminated", "drop")
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition(f) for p in self.paths for f in _files(p)]
 
     def read(self, partition):
         """Lines of one file, decoded a piece at a time; a piece may end inside a line or a character."""
         import zstandard
 
+        if partition is None:  # Spark's stand-in where there is no file
+            return
         with open(partition.value, "rb") as f, zstandard.ZstdDecompressor(max_window_size=1 << self.window).stream_reader(f, read_across_frames=True) as r:
             rest = b""
             while piece := r.read(1 << 24):
@@ -36,7 +48,7 @@ class _Files(DataSourceReader):
 class ZstLines(DataSource):
     """``spark.read.format("zst_lines")``: lines of Zstandard files with windows up to 2 GiB, one task a file.
 
-    Options: path (comma-separated), window_log (31), unterminated (drop or keep a last line without a line end).
+    Options: path (files and folders, comma-separated), window_log (31), unterminated (drop or keep a last line without a line end).
     """
 
     @classmethod
@@ -84,11 +96,18 @@ def write_zst(lines_: DataFrame, path: str) -> None:
     frames.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", SKIPPED).text(path)
 
 
+def _opens(spark: SparkSession, path: str) -> bool:
+    """Whether open() gets at a path as Spark means it: it names no store, and the default store is the local one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.toUri().getScheme() is None and p.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
 def lines(spark: SparkSession, path: str, long_window: bool = False, partitions: int | None = None, **options) -> DataFrame:
     """value: the lines of dumps. Spark's own reader does for plain windows and any store; files are not
     splittable, so what follows should run on more partitions. Long windows in a store that only Spark
-    reads (a path with a scheme) go through whole files of at most 2 GiB, as compressed."""
-    if long_window and "://" in path:
+    reads (a path with a scheme, or any where the default store is not the local one) go through whole files
+    of at most 2 GiB, as compressed. A path may be a folder, as Spark writes them."""
+    if long_window and not _opens(spark, path):
         df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_whole_files, "value string")
     elif long_window:
         spark.dataSource.register(ZstLines)

@@ -65,6 +65,19 @@ def test_zstandard_files_by_spark(spark, tmp_path):
     assert dumps.lines(spark, files, long_window=True).count() == 2000
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_folders_of_zstandard_files(spark, tmp_path, scheme):
+    """A folder reads alike however its path is written; marker files and folders without files give no lines."""
+    at = f"{scheme}{tmp_path}/z"
+    dumps.write_zst(spark.range(500).select(F.col("id").cast("string")).repartition(3), at)
+    (tmp_path / "z" / "_marker").write_bytes(b"no frame")
+    dump(tmp_path / "z" / "a,b.zst", [{"id": "1"}], window_log=28)
+    got = [r[0] for r in dumps.lines(spark, at, long_window=True).collect()]
+    assert sorted(got) == sorted([*map(str, range(500)), '{"id": "1"}'])
+    (tmp_path / "none").mkdir()
+    assert dumps.lines(spark, f"{scheme}{tmp_path}/none", long_window=True).count() == 0
+
+
 def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     from lexitide.sources.shared import Scratch
     from lexitide.streaming import live
