@@ -28,7 +28,7 @@ def test_matches_sql_on_more_rows(spark, larger, name):
     assert oracle.differences(registry.queries()[name](spark, "/root/testdata/sf0.01"), larger, registry.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", ["dump_ingest"])
+@pytest.mark.parametrize("name", ["dump_ingest", "post_rows"])
 def test_matches_sql_with_a_shared_folder_without_scheme(spark, larger, tmp_path, monkeypatch, name):
     monkeypatch.setattr("lexitide.sources.shared.shared_dir", lambda spark: str(tmp_path))
     assert oracle.differences(registry.queries()[name](spark, "/root/testdata/sf0.01"), larger, registry.oracle_sql()[name]) == []
