@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: As many seconds around 1970 as microseconds fit 64 bits.
+SECONDS = (2**63 - 1) // 10**6
 MONTHS = "January February March April May June July August September October November December".split()
 
 
 def from_epoch(seconds: Column) -> Column:
-    """Whole epoch seconds, also as numeric strings, to a timestamp; unparsable ones are null."""
-    return F.timestamp_seconds(seconds.cast("string").try_cast("double").cast("long")).cast("timestamp_ntz")
+    """Whole epoch seconds, also as numeric strings, to a timestamp in UTC whatever the session's zone; unparsable ones
+    and those that no timestamp holds are null."""
+    s = seconds.cast("string").try_cast("double").try_cast("long")
+    return F.when(s.between(-SECONDS, SECONDS), F.timestamp_add("SECOND", s, F.lit("1970-01-01").cast("timestamp_ntz")))
 
 
 def seconds_between(start: Column, end: Column) -> Column:

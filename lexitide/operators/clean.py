@@ -16,8 +16,9 @@ def top_level(kind: Column, parent: Column) -> Column:
     return ~((kind == "comment") & ~F.coalesce(parent.startswith("t3_"), F.lit(False)))
 
 
-def posts(raw: DataFrame, top_level_only: bool = True) -> DataFrame:
-    """Post rows of decoded lines (kind, id, author, created_utc, title, selftext, body, parent_id, num_comments)."""
+def posts(raw: DataFrame, top_level_only: bool = True, join_titles: bool = True) -> DataFrame:
+    """Post rows of decoded lines (kind, id, author, created_utc, title, selftext, body, parent_id, num_comments).
+    Texts lose their line ends, titles only with join_titles."""
     sub = F.col("kind") == "submission"
     rows = raw.where(top_level(F.col("kind"), F.col("parent_id"))) if top_level_only else raw
     return rows.select(
@@ -25,7 +26,7 @@ def posts(raw: DataFrame, top_level_only: bool = True) -> DataFrame:
         "kind",
         "author",
         dates.from_epoch(F.col("created_utc")).alias("created"),
-        F.when(sub, text.join_lines(F.col("title"))).otherwise("").alias("title"),
+        F.when(sub, text.join_lines(F.col("title")) if join_titles else F.col("title")).otherwise("").alias("title"),
         text.join_lines(F.coalesce("selftext", "body", F.lit(""))).alias("text"),
         F.when(sub, "").otherwise(F.coalesce("parent_id", F.lit(""))).alias("parent_id"),
         F.when(sub, F.col("num_comments").cast("long")).otherwise(F.lit(0).cast("long")).alias("num_comments"),

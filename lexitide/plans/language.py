@@ -345,7 +345,7 @@ UNION ALL SELECT conv_id || '-' || turn, 'comment', role, make_timestamp(turn::B
 )
 def post_rows(spark, d):
     """Post rows of good lines that start or answer a submission."""
-    return clean.posts(_dumps(spark, d).where("ok"))
+    return clean.posts(_dumps(spark, d).where("ok"), join_titles=False)
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

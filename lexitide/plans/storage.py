@@ -82,7 +82,7 @@ def communities(spark, d):
 @query("SELECT event_id, epoch_ms((epoch_us(ts) // 1000000) * 1000)::TIMESTAMP AS created, NULL::TIMESTAMP AS broken FROM events")
 def epoch_dates(spark, d):
     """Seconds as strings to timestamps; what is no number gives none."""
-    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("s"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", dates.seconds_between(dates.from_epoch(F.lit(0)), F.col("ts")).cast("string").alias("s"))
     return rows.select("event_id", dates.from_epoch(F.col("s")).alias("created"), dates.from_epoch(F.concat("s", F.lit("x"))).alias("broken"))
 
 

@@ -117,9 +117,13 @@ def lines(spark: SparkSession, path: str, long_window: bool = False, partitions:
     return df.repartition(partitions) if partitions else df
 
 
+#: Spark's JSON reader takes lines with a longer string, 20 million characters otherwise, for broken ones.
+LONGEST = {"maxStringLen": str(2**31 - 1)}
+
+
 def decode(lines_: DataFrame, kind: str, need_parent: bool = False) -> DataFrame:
     """Decoded rows with kind and ok; ok is false where the line is not JSON or lacks a required field."""
-    got = F.from_json("value", F.lit(f"{LINE}, __bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    got = F.from_json("value", F.lit(f"{LINE}, __bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", **LONGEST})
     rows = lines_.select("value", got.alias("j")).select("value", "j.*")
     required = ["id", "author", "created_utc"] + (["title", "num_comments"] if kind == "submission" else []) + (["parent_id"] if need_parent and kind == "comment" else [])
     ok = F.col("__bad").isNull()

@@ -125,6 +125,12 @@ def test_bins_truncate_and_skip_nulls(spark):
     assert spark.range(1).select(dates.whole_bin(F.lit(59), 10)).first()[0] == 6
 
 
+def test_epoch_seconds_that_no_timestamp_holds_are_null(spark):
+    df = spark.createDataFrame([(x,) for x in ("4102444800", "-1.5", "x", "nan", "inf", "1e300", "99999999999999", None)], "s string")
+    got = [r[0] for r in df.select(dates.from_epoch(F.col("s"))).collect()]
+    assert got == [datetime.datetime(2100, 1, 1), datetime.datetime(1969, 12, 31, 23, 59, 59)] + 6 * [None]
+
+
 def test_user_averages_leave_out_first_posts(spark):
     df = spark.createDataFrame([("a", 0, 9.0), ("a", 1, 2.0), ("b", 1, 4.0), ("b", 2, 0.0)], "author string, post_number long, score double")
     assert values(trajectory.user_averaged(trajectory.by_number(df, 5), "posts")) == [(1, 3.0, 2), (2, None, 1)]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import duckdb
 import pytest
 
 from lexitide.plans import activity, registry
@@ -34,6 +35,26 @@ def test_matches_sql_with_a_shared_folder_without_scheme(spark, larger, tmp_path
     assert oracle.differences(registry.queries()[name](spark, "/root/testdata/sf0.01"), larger, registry.oracle_sql()[name]) == []
 
 
+@pytest.mark.parametrize("name", ["post_rows", "epoch_dates"])
+def test_matches_sql_whatever_the_time_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert oracle.differences(registry.queries()[name](spark, oracle.DATA), con, registry.oracle_sql()[name]) == []
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("lang, text", [("x\r\ny", "a\r\nb"), ("en", "w " * 10_100_000)], ids=["title with line ends", "long text"])
+def test_post_rows_of_odd_texts(spark, tmp_path, lang, text):
+    spark.createDataFrame([(1, text, lang, "s"), (2, None, "", "")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, "u", "no parent"), (1, 2, "u", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    bad = oracle.differences(registry.queries()["post_rows"](spark, str(tmp_path)), con, registry.oracle_sql()["post_rows"])
+    assert [x[:300] for x in bad] == []
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, oracle.DATA).count() > 0
