@@ -48,6 +48,14 @@ def test_experience(spark):
     assert [r["experience"] for r in single] == [0.0]
 
 
+def test_mean_gap_of_spans_beyond_a_long_in_sum(spark):
+    """Forty thousand authors, each with posts ten years apart, and one with a gap of a day."""
+    first = F.lit(datetime.datetime(1995, 1, 1)).cast("timestamp_ntz")
+    days = F.explode(F.array(F.lit(0), F.when(F.col("id") == 0, 1).otherwise(3650)))
+    rows = spark.range(40_000).select(F.col("id").alias("author"), days.alias("post_id")).withColumn("true_date", F.timestamp_add("DAY", F.col("post_id"), first))
+    assert timeline.mean_gap(rows).first()[0] == pytest.approx((3650 * 39_999 + 1) / 40_000, rel=1e-12)
+
+
 @pytest.mark.parametrize("flags,want", [("FTTFTT", (1, 2)), ("TTT", (0, 2)), ("FF", None), ("TFTT", (2, 3))])
 def test_longest_run(spark, flags, want):
     df = spark.createDataFrame([(datetime.date(2020, i + 1, 1), f == "T") for i, f in enumerate(flags)], "month date, success boolean")
