@@ -113,6 +113,11 @@ def _fitted(spark, d) -> tuple[DataFrame, katz.Model]:
     return rows, katz.fit(rows, ["grp"], keep=scratch.save)
 
 
+def _own_scores(spark, d) -> DataFrame:
+    """The posts under the models of their groups, which were fitted on them."""
+    return katz.own_entropies(posts(spark, d).select("grp", "post_id", "text"), ["grp"], Scratch(spark, "own"))
+
+
 @query("SELECT page_id, regexp_replace('See ' || url || ' now, or HTTPS://a.b/c?d=1, ok', '\\bhttps?\\S+\\b', '', 'gi') AS text FROM pages")
 def clean_urls(spark, d):
     rows = spark.read.parquet(f"{d}/pages.parquet")
@@ -151,7 +156,8 @@ def token_statistics(spark, d):
 
 @query(f"WITH {POSTS}, src AS (SELECT grp, post_id, text FROM p), {model_sql('grp', 100).split('raw AS')[0].rstrip().rstrip(',')} SELECT grp, token FROM voc")
 def vocabulary(spark, d):
-    return katz.vocabulary(katz.token_counts(posts(spark, d), ["grp"]), ["grp"], leave_unknown=100).select("grp", "token")
+    counts = Scratch(spark, "vocabulary").save(katz.token_counts(posts(spark, d), ["grp"]), "tokens")
+    return katz.vocabulary(counts, ["grp"], leave_unknown=100).select("grp", "token")
 
 
 @query(f"WITH {POSTS}, c AS (SELECT grp, token, count(*) AS n FROM (SELECT grp, unnest(text) AS token FROM p) GROUP BY ALL) SELECT grp, token, n, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, token) AS k FROM c) WHERE k <= 500")
@@ -160,9 +166,18 @@ def top_tokens(spark, d):
 
 
 def _grouped_pairs(spark, d) -> DataFrame:
-    rows = Scratch(spark, "pairs").save(posts(spark, d).select("grp", "text"), "posts")
-    vocab = katz.vocabulary(katz.token_counts(rows, ["grp"]), ["grp"], leave_unknown=100)
-    return katz.known(katz.pair_counts(rows, ["grp"]), vocab, ["grp"]).groupBy("grp", "w1", "w2").agg(F.sum("n").alias("n"))
+    scratch = Scratch(spark, "pairs")
+    rows = scratch.save(posts(spark, d).select("grp", "text"), "posts")
+    counts = scratch.save(katz.token_counts(rows, ["grp"]), "tokens")
+    vocab = katz.vocabulary(counts, ["grp"], leave_unknown=100)
+    return katz.known_pairs(rows, ["grp"], "text", counts, vocab, leave_unknown=100).drop("total")
+
+
+def _frequencies(spark, d) -> DataFrame:
+    scratch = Scratch(spark, "pairs")
+    rows = scratch.save(posts(spark, d).select("grp", "text"), "posts")
+    counts = scratch.save(katz.token_counts(rows, ["grp"]), "tokens")
+    return scratch.save(katz.known_frequencies(rows, ["grp"], "text", counts, katz.vocabulary(counts, ["grp"], leave_unknown=100), leave_unknown=100), "frequencies")
 
 
 @query(f"WITH {GROUPS} SELECT grp, w1, w2, n FROM pairs")
@@ -172,17 +187,17 @@ def bigram_counts(spark, d):
 
 @query(f"WITH {GROUPS} SELECT grp, r, n_r FROM fr")
 def freq_of_freqs(spark, d):
-    return katz.frequencies(_grouped_pairs(spark, d), ["grp"])
+    return _frequencies(spark, d)
 
 
 @query(f"WITH {GROUPS} SELECT grp, r, n_r, round(c_star, 6) AS c_star FROM cs")
 def sgt_cstars(spark, d):
-    return rounded(katz.good_turing(katz.frequencies(_grouped_pairs(spark, d), ["grp"]), ["grp"])[0], "c_star")
+    return rounded(katz.good_turing(_frequencies(spark, d), ["grp"])[0], "c_star")
 
 
 @query(f"WITH {GROUPS} SELECT a.grp, a.r, a.n_r, round(coalesce((a.r + 1) * b.n_r / a.n_r, a.r * 0.5), 6)::DOUBLE AS c_star FROM fr a LEFT JOIN fr b ON b.grp = a.grp AND b.r = a.r + 1")
 def turing_cstars(spark, d):
-    return rounded(katz.plain_turing(katz.frequencies(_grouped_pairs(spark, d), ["grp"]), ["grp"], 0.5)[0], "c_star")
+    return rounded(katz.plain_turing(_frequencies(spark, d), ["grp"], 0.5)[0], "c_star")
 
 
 @query(f"WITH {GROUPS} SELECT grp, w1, w2, n, round(p_ml, 6) AS p_ml, round(discount, 6) AS discount FROM seen")
@@ -202,12 +217,12 @@ def katz_unigrams(spark, d):
 
 @query(f"WITH {GROUP_SCORES} SELECT grp, post_id, n_bigrams, round(score, 6) AS score FROM sc")
 def post_entropy(spark, d):
-    return rounded(katz.entropies(*_fitted(spark, d)).drop("raw"), "score")
+    return rounded(_own_scores(spark, d).drop("raw", "n_words"), "score")
 
 
 @query(f"WITH {GROUP_SCORES} SELECT grp, round(sum(raw) / sum(n_bigrams), 6) AS entropy, round(avg(score), 6) AS mean_entropy, count(*) AS posts, round(pow(2, sum(raw) / sum(n_bigrams)), 4) AS perplexity FROM sc GROUP BY grp")
 def corpus_entropy(spark, d):
-    got = katz.evaluation(katz.entropies(*_fitted(spark, d)), ["grp"])
+    got = katz.evaluation(_own_scores(spark, d), ["grp"])
     return rounded(rounded(got, "entropy", "mean_entropy"), "perplexity", digits=4)
 
 
@@ -221,8 +236,7 @@ SELECT s.stage * 200.0::DOUBLE AS ntokens, round(sums.s / nullif(w, 0), 5) AS sc
 )
 def traj_ntokens(spark, d):
     """Mean cross-entropy by length of post."""
-    rows, model = _fitted(spark, d)
-    scored = katz.entropies(rows, model).join(rows.select("post_id", F.size("text").alias("ntokens")), "post_id")
+    scored = _own_scores(spark, d).withColumn("ntokens", F.col("n_words").cast("int"))
     got = trajectory.weighted(trajectory.by_bin(scored, trajectory.ntokens_stage(200)), "ntokens", 200, 10, "ntokens")
     return rounded(got, "score", "avg_ntokens", digits=5)
 
