@@ -318,12 +318,14 @@ def own_entropies(posts: DataFrame, by: list[str], scratch, key: str = "post_id"
         model = fit(rows, by, words, leave_unknown=leave_unknown, max_size=max_size, max_discount=max_discount, p_value=p_value, keep=scratch.save)
         return entropies(rows, model, key, words).join(rows.select(*by, key, F.size(words).cast("long").alias("n_words")), [*by, key])
     n = counts.agg(F.sum("n")).first()[0] or 0
-    stored = scratch.save(packed.kept(rows, by, key, words, spec), "chunks")
+    keys = packed.fields(rows, by)
+    stored = scratch.save(packed.kept(rows, by, key, words, spec, n), "chunks")
     scratch.drop("posts", "tokens")
     answered = scratch.save(packed.answers(stored, by, n), "answers")
-    freq = answered.where("__kind = 2").groupBy(*by, F.col("__place").alias("r")).agg(F.sum("__total").alias("n_r"))
-    stars = good_turing(scratch.save(freq, "frequencies"), by, p_value)[0]
-    got = packed.scored(stored, answered, by, stars.withColumn("d", F.least(F.col("c_star") / F.col("r"), F.lit(float(max_discount)))))
+    freq = scratch.save(packed.answered_frequencies(answered, by, keys), "frequencies")
+    stars = good_turing(freq, by, p_value)[0]
+    discounts = stars.withColumn("d", F.least(F.col("c_star") / F.col("r"), F.lit(float(max_discount))))
+    got = packed.scored(stored, answered, by, [*keys, f"__key {dict(rows.dtypes)[key]}"], discounts, n)
     return with_score(got.withColumnRenamed("__key", key))
 
 

@@ -1,25 +1,27 @@
 """Bigrams in columns: counts and look-ups over chunks of posts, with few bytes a bigram on the way.
 
-A chunk is some posts of one task, of about CHUNK words. Its distinct bigrams leave it as one row for each first word:
-the bytes of all second words, their lengths and counts. All rows of a first word meet in one run of one task, where
-their bigrams are counted. Everything here works on whole columns; nothing loops over words.
+A chunk is some posts of one task, of about CHUNK words. Its distinct bigrams are dealt by group and first word to
+buckets, and leave it as one compressed table for each. A bucket is one task's: all bigrams of a first word meet there
+and are counted. Everything here works on whole columns; nothing loops over words.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexitide.functions.text import UNKNOWN
 
-#: Words of a chunk, bigrams of a block of runs, rows of a batch that is handed back, bigrams of a shuffled partition.
-CHUNK, BLOCK, ROWS, PART = 1 << 21, 1 << 20, 1 << 16, 1 << 21
+#: Words of a chunk, rows of a batch that is handed back, words whose bigrams are a bucket at most, and at least if the session's partitions are many.
+CHUNK, ROWS, PART, LEAST = 1 << 21, 1 << 16, 1 << 21, 1 << 16
 
 
 def fields(df: DataFrame, columns: list[str]) -> list[str]:
@@ -49,24 +51,31 @@ def keys_of(table: pa.Table, columns: list[str], rows: np.ndarray) -> list[tuple
     return list(zip(*got, strict=True)) if columns else [()] * len(rows)
 
 
-def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary array from values of a fixed width and the ends of its items among them."""
-    offsets = np.concatenate([[0], ends]).astype(np.int64) * data.dtype.itemsize
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+def sealed(table: pa.Table) -> bytes:
+    """A table as bytes, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def unpacked(column, kind) -> tuple[np.ndarray, np.ndarray]:
-    """(all values of a binary column, how many each item has)."""
-    a = combined(column).cast(pa.large_binary())
-    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
-    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(a) else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(data).view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+def opened(column) -> list[pa.Table]:
+    return [pa.ipc.open_stream(x.as_buffer()).read_all() for x in combined(column)]
 
 
-def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Strings from their bytes, one after another, and lengths."""
-    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, all first ones first: so they compress better."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).reshape(-1)
+
+
+def lists(column) -> tuple[pa.Array, np.ndarray]:
+    """(the values of a column of lists, how many each has)."""
+    a = combined(column)
+    return combined(a.flatten()), pc.list_value_length(a).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def numbers(column) -> np.ndarray:
+    return combined(column).to_numpy(zero_copy_only=False)
 
 
 def chunks(batches, words: str):
@@ -148,9 +157,17 @@ class Outside:
         return np.where(hit == self.inside, word, unknown)
 
 
-def packer(by: list[str], words: str, outside: Outside | None, key: str | None = None):
-    """A function of batches of posts: the packed bigrams of each chunk, with its number and their place in it; with a key
-    also a row for each post with the places of its bigrams."""
+PACKED = "__kind int, __chunk long, __bucket int, __data binary"
+
+
+def rows(kind: int, chunk: int, bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
+    n = len(data)
+    columns = [pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["__kind", "__chunk", "__bucket", "__data"])
+
+
+def packer(by: list[str], words: str, outside: Outside, buckets: int, key: str | None = None):
+    """A function of batches of posts: for each chunk a table of bigrams for each bucket (__kind 0), and with a key also its posts (1), by the places of their bigrams in these tables, one after another."""
 
     def run(batches):
         task, count = TaskContext.get().partitionId(), 0
@@ -158,74 +175,58 @@ def packer(by: list[str], words: str, outside: Outside | None, key: str | None =
             chunk, count = (task << 32) + count, count + 1
             w = Words.of(table, words)
             group, first = codes(table, by)
-            pair_group = group[w.post]
-            size = len(w.names) + 1
-            w1, w2 = (w.w1, w.w2) if outside is None else (outside.renamed(pair_group, keys_of(table, by, first), x, w.names) for x in (w.w1, w.w2))
+            keys, here = keys_of(table, by, first), group[w.post]
+            unknown = len(w.names)
+            size = unknown + 1
+            w1, w2 = (outside.renamed(here, keys, x, w.names) for x in (w.w1, w.w2))
             names = pa.concat_arrays([combined(w.names).cast(pa.large_string()), pa.array([UNKNOWN], pa.large_string())])
-            flat = (pair_group * size + w1) * size + w2
+            flat = (here * size + w1) * size + w2
             if key:
                 pairs, place, n = np.unique(flat, return_inverse=True, return_counts=True)
             else:
                 pairs, n = np.unique(flat, return_counts=True)
             heads = pairs // size
             begins = np.flatnonzero(np.diff(heads, prepend=-1))
-            ends = np.append(begins[1:], len(pairs))[: len(begins)]
-            second = names.take(pa.array(pairs % size))
-            offsets = np.frombuffer(second.buffers()[1], np.int64)[: len(second) + 1]
-            data = np.frombuffer(second.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+            lengths = np.diff(np.append(begins, len(pairs)))
             head_group, head = heads[begins] // size, heads[begins] % size
-            nothing = lambda kind, rows: pa.nulls(rows, kind)
-            out = {c: table[c].take(pa.array(first[head_group])) for c in by}
-            out |= {"__w1": names.take(pa.array(head)), "__w2": binary(data, offsets[ends]), "__lengths": binary(np.diff(offsets).astype(np.uint32), ends), "__n": binary(n.astype(np.uint32), ends)}
+            words_hash = hash_array(names.to_numpy(zero_copy_only=False), categorize=False)
+            groups_hash = np.array([crc32(repr(k).encode()) for k in keys], np.uint64)
+            bucket = ((words_hash[head] + groups_hash[head_group] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            lengths = lengths[order]
+            ends = np.cumsum(lengths)
+            moved = np.repeat(begins[order] - (ends - lengths), lengths) + np.arange(len(pairs))
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int64())
+            out = {c: table[c].take(pa.array(first[head_group[order]])) for c in by} | {"__w1": names.take(pa.array(head[order]))}
+            out["__w2"] = pa.LargeListArray.from_arrays(offsets, names.take(pa.array(pairs[moved] % size)))
+            out["__n"] = pa.LargeListArray.from_arrays(offsets, pa.array(n[moved].astype(np.uint32)))
+            out = pa.table(out).combine_chunks()
+            which, starts = np.unique(bucket[order], return_index=True)
+            stops = [*starts[1:].tolist(), len(order)]
+            for a in range(0, len(which), 256):
+                parts = list(zip(starts[a : a + 256].tolist(), stops[a : a + 256], strict=False))
+                yield rows(0, chunk, which[a : a + 256].tolist(), [sealed(out.slice(i, j - i)) for i, j in parts])
             if key:
-                rows = len(begins)
-                out = {"__kind": pa.array(np.zeros(rows, np.int32)), "__chunk": pa.array(np.full(rows, chunk)), "__place": pa.array(begins.astype(np.int64)), "__key": nothing(table.schema.field(key).type, rows), "__size": nothing(pa.int64(), rows)} | out
-                yield from pa.table(out).combine_chunks().to_batches(ROWS)
-                rows = table.num_rows
-                post_ends = np.cumsum(np.maximum(w.lengths - 1, 0))
-                out = {"__kind": pa.array(np.ones(rows, np.int32)), "__chunk": pa.array(np.full(rows, chunk)), "__place": pa.array(np.arange(rows)), "__key": table[key], "__size": pa.array(w.lengths)} | {c: table[c] for c in by}
-                out |= {"__w1": nothing(pa.large_string(), rows), "__w2": binary(place.reshape(-1).astype(np.uint32), post_ends), "__lengths": nothing(pa.binary(), rows), "__n": nothing(pa.binary(), rows)}
-            yield from pa.table(out).combine_chunks().to_batches(ROWS)
+                back = np.empty(len(pairs), np.int64)
+                back[moved] = np.arange(len(pairs))
+                posts = pa.table({c: table[c] for c in by} | {"__key": table[key], "__size": pa.array(w.lengths)})
+                places = pa.table({"__place": pa.array(planes(back[place.reshape(-1)]))})
+                yield rows(1, chunk, [0], [sealed(posts)])
+                yield rows(2, chunk, [0], [sealed(places)])
 
     return run
 
 
-def blocks(batches, keys: list[str], lengths: str = "__lengths"):
-    """(table, run of each row): whole runs of rows with equal keys, from batches sorted by them, of about BLOCK bigrams."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.column(lengths).nbytes // 4
-        if n < BLOCK:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        change = changes(table, keys)
-        last = int(np.flatnonzero(change)[-1])
-        if last:
-            yield table.slice(0, last).combine_chunks(), np.cumsum(change[:last]) - 1
-        held = table.slice(last).combine_chunks().to_batches()
-        n = sum(b.column(lengths).nbytes for b in held) // 4 if last else 0  # a run beyond a block is looked at again when another block came
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        if table.num_rows:
-            yield table, np.cumsum(changes(table, keys)) - 1
-
-
-def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Whether a row's keys differ from those of the row before; true for the first."""
-    out = np.zeros(table.num_rows, bool)
-    out[:1] = True
-    for k in keys:
-        one = combined(combined(table[k]).dictionary_encode(null_encoding="encode")).indices.to_numpy(zero_copy_only=False)
-        out[1:] |= one[1:] != one[:-1]
-    return out
-
-
 @dataclass
 class Counted:
-    """The bigrams of a block: for each distinct one its run, second word and count; each run's total; and where each packed bigram is among them."""
+    """The bigrams of a bucket. table: its heads, a group and first word of a chunk each; run: the number of each head, equal for equal ones;
+    first: a head of each number; of each distinct bigram the number of its head, its second word and count; total: the count of
+    all of a number; and where each packed bigram is among them."""
 
+    table: pa.Table
     run: np.ndarray
+    first: np.ndarray
+    head: np.ndarray
     w2: pa.Array
     n: np.ndarray
     total: np.ndarray
@@ -233,111 +234,124 @@ class Counted:
     sizes: np.ndarray
 
     @classmethod
-    def of(cls, table: pa.Table, run: np.ndarray) -> Counted:
-        lengths, sizes = unpacked(table["__lengths"], np.uint32)
-        data, _ = unpacked(table["__w2"], np.uint8)
-        n, _ = unpacked(table["__n"], np.uint32)
-        coded = strings(data, lengths).dictionary_encode()
+    def of(cls, tables: list[pa.Table], by: list[str]) -> Counted:
+        table = pa.concat_tables(tables)
+        run, first = codes(table, [*by, "__w1"])
+        second, sizes = lists(table["__w2"])
+        n, _ = lists(table["__n"])
+        coded = second.dictionary_encode(null_encoding="encode")
         size = max(len(coded.dictionary), 1)
-        key = np.repeat(run, sizes) * size + coded.indices.to_numpy(zero_copy_only=False)
-        pairs, place = np.unique(key, return_inverse=True)
+        pairs, place = np.unique(np.repeat(run, sizes) * size + numbers(coded.indices), return_inverse=True)
         place = place.reshape(-1)
-        sums = np.bincount(place, n, len(pairs)).astype(np.int64)  # exact: far below 2 ** 53
-        runs = pairs // size
-        total = np.bincount(runs, sums, int(run[-1]) + 1).astype(np.int64)
-        return cls(runs, coded.dictionary.take(pa.array(pairs % size)), sums, total, place, sizes)
+        sums = np.bincount(place, numbers(n), len(pairs)).astype(np.int64)  # exact: far below 2 ** 53
+        head = pairs // size
+        total = np.bincount(head, sums, len(first)).astype(np.int64)
+        return cls(table, run, first, head, coded.dictionary.take(pa.array(pairs % size)), sums, total, place, sizes)
+
+    def frequencies(self, by: list[str]) -> pa.Table:
+        """(by, r, n_r): how many bigrams of each group occur r times."""
+        group, rows = codes(self.table, by)
+        size = int(self.n.max(initial=0)) + 1
+        levels, n_r = np.unique(group[self.first[self.head]] * size + self.n, return_counts=True)
+        return pa.table({k: self.table[k].take(pa.array(rows[levels // size])) for k in by} | {"r": pa.array(levels % size), "n_r": pa.array(n_r.astype(np.int64))})
+
+
+def of_buckets(batches):
+    """(batches, tables) of the buckets of a task, which are no more than one."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, opened(table["__data"])
 
 
 def counter(by: list[str]):
-    """A function of sorted packed rows: (by, w1, w2, n, total of the first word)."""
+    """A function of a bucket: (by, w1, w2, n, total of the first word)."""
 
     def run(batches):
-        for table, runs in blocks(batches, [*by, "__w1"]):
-            c = Counted.of(table, runs)
-            first = np.flatnonzero(np.diff(runs, prepend=-1))
-            for a in range(0, len(c.run), ROWS):
-                r = c.run[a : a + ROWS]
-                at = pa.array(first[r])
-                out = {k: table[k].take(at) for k in by} | {"w1": table["__w1"].take(at), "w2": c.w2.slice(a, ROWS).cast(pa.string()), "n": pa.array(c.n[a : a + ROWS]), "total": pa.array(c.total[r])}
+        for _, tables in of_buckets(batches):
+            c = Counted.of(tables, by)
+            for a in range(0, len(c.head), ROWS):
+                r = c.head[a : a + ROWS]
+                at = pa.array(c.first[r])
+                out = {k: c.table[k].take(at) for k in by} | {"w1": c.table["__w1"].take(at), "w2": c.w2.slice(a, ROWS), "n": pa.array(c.n[a : a + ROWS]), "total": pa.array(c.total[r])}
                 yield from pa.table(out).combine_chunks().to_batches()
 
     return run
 
 
-def parts(df: DataFrame, bigrams: int) -> int:
-    """Partitions for so many bigrams."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bigrams // PART))
+def buckets_for(df: DataFrame, words: int) -> int:
+    """Buckets for so many words."""
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-words // PART), min(session, -(-words // LEAST)))
 
 
-def gathered(packed: DataFrame, by: list[str], n: int) -> DataFrame:
-    """Packed rows of a first word beside each other in one partition."""
-    return packed.repartition(n, *by, "__w1").sortWithinPartitions(*by, "__w1")
+def gathered(packed: DataFrame, buckets: int) -> DataFrame:
+    """A bucket a partition."""
+    return packed.repartitionById(buckets, F.col("__bucket"))
 
 
-PACKED = ["__w1 string", "__w2 binary", "__lengths binary", "__n binary"]
+def pair_counts(posts: DataFrame, by: list[str], words: str, outside: Outside, n: int) -> DataFrame:
+    """(by, w1, w2, n, total): how often each bigram occurs in each group and how often its first word is followed; n: about how many words there are."""
+    buckets = buckets_for(posts, n)
+    packed = posts.select(*by, words).mapInArrow(packer(by, words, outside, buckets), PACKED)
+    return gathered(packed, buckets).mapInArrow(counter(by), ", ".join([*fields(posts, by), "w1 string", "w2 string", "n long", "total long"]))
 
 
-def pair_counts(posts: DataFrame, by: list[str], words: str, outside: Outside | None, bigrams: int) -> DataFrame:
-    """(by, w1, w2, n, total): how often each bigram occurs in each group and how often its first word is followed; bigrams: about how many words there are."""
-    keys = fields(posts, by)
-    packed = posts.select(*by, words).mapInArrow(packer(by, words, outside), ", ".join([*keys, *PACKED]))
-    return gathered(packed, by, parts(posts, bigrams)).mapInArrow(counter(by), ", ".join([*keys, "w1 string", "w2 string", "n long", "total long"]))
+def summed(frequencies: DataFrame, by: list[str]) -> DataFrame:
+    return frequencies.groupBy(*by, "r").agg(F.sum("n_r").alias("n_r"))
 
 
-def frequency_rows(by: list[str], table: pa.Table, first: np.ndarray, c: Counted) -> dict:
-    """How many bigrams of each group in a block occur r times: columns of by, r and n_r."""
-    group, rows = codes(table, by)
-    size = int(c.n.max(initial=0)) + 1
-    levels, n_r = np.unique(group[first[c.run]] * size + c.n, return_counts=True)
-    return {k: table[k].take(pa.array(rows[levels // size])) for k in by} | {"r": pa.array(levels % size), "n_r": pa.array(n_r.astype(np.int64))}
-
-
-def frequencies(posts: DataFrame, by: list[str], words: str, outside: Outside, bigrams: int) -> DataFrame:
+def frequencies(posts: DataFrame, by: list[str], words: str, outside: Outside, n: int) -> DataFrame:
     """(by, r, n_r): how many bigrams occur r times in each group; no bigram leaves the task that counts it."""
 
     def run(batches):
-        for table, runs in blocks(batches, [*by, "__w1"]):
-            out = frequency_rows(by, table, np.flatnonzero(np.diff(runs, prepend=-1)), Counted.of(table, runs))
-            yield from pa.table(out).combine_chunks().to_batches(ROWS)
+        for _, tables in of_buckets(batches):
+            yield from Counted.of(tables, by).frequencies(by).combine_chunks().to_batches(ROWS)
 
-    keys = fields(posts, by)
-    packed = posts.select(*by, words).mapInArrow(packer(by, words, outside), ", ".join([*keys, *PACKED]))
-    got = gathered(packed, by, parts(posts, bigrams)).mapInArrow(run, ", ".join([*keys, "r long", "n_r long"]))
-    return got.groupBy(*by, "r").agg(F.sum("n_r").alias("n_r"))
+    buckets = buckets_for(posts, n)
+    packed = posts.select(*by, words).mapInArrow(packer(by, words, outside, buckets), PACKED)
+    return summed(gathered(packed, buckets).mapInArrow(run, ", ".join([*fields(posts, by), "r long", "n_r long"])), by)
 
 
-def kept(posts: DataFrame, by: list[str], key: str, words: str, outside: Outside) -> DataFrame:
-    """A table to be stored: the packed bigrams of all chunks (__kind 0) and their posts (1) by the places of their bigrams."""
-    kind = dict(posts.dtypes)[key]
-    schema = ["__kind int", "__chunk long", "__place long", f"__key {kind}", "__size long", *fields(posts, by), *PACKED]
-    return posts.select(*by, key, words).mapInArrow(packer(by, words, outside, key), ", ".join(schema))
+def kept(posts: DataFrame, by: list[str], key: str, words: str, outside: Outside, n: int) -> DataFrame:
+    """What packer() makes of posts and their keys, to be stored."""
+    return posts.select(*by, key, words).mapInArrow(packer(by, words, outside, buckets_for(posts, n), key), PACKED)
 
 
-def answers(stored: DataFrame, by: list[str], bigrams: int) -> DataFrame:
-    """Of kept(): for each packed row the counts of its bigrams in their group and that of its first word (__kind 0), and how many occur r times (2, r in __place, n_r in __total)."""
+def answers(stored: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Of kept(): for each table of bigrams their counts in their group and those of their first words (__kind 0); of each bucket its frequencies (3)."""
 
     def run(batches):
-        for table, runs in blocks(batches, [*by, "__w1"]):
-            c = Counted.of(table, runs)
-            rows, first = table.num_rows, np.flatnonzero(np.diff(runs, prepend=-1))
-            out = {"__kind": pa.array(np.zeros(rows, np.int32)), "__chunk": table["__chunk"], "__place": table["__place"]} | {k: table[k] for k in by}
-            out |= {"__n": binary(c.n[c.place], np.cumsum(c.sizes)), "__total": pa.array(c.total[runs])}
-            yield from pa.table(out).combine_chunks().to_batches(ROWS)
-            f = frequency_rows(by, table, first, c)
-            rows = len(f["r"])
-            out = {"__kind": pa.array(np.full(rows, 2, np.int32)), "__chunk": pa.nulls(rows, pa.int64()), "__place": f["r"]} | {k: f[k] for k in by}
-            out |= {"__n": pa.nulls(rows, pa.binary()), "__total": f["n_r"]}
-            yield from pa.table(out).combine_chunks().to_batches(ROWS)
-
-    rows = stored.where("__kind = 0").select("__chunk", "__place", *by, *(x.split()[0] for x in PACKED))
-    return gathered(rows, by, parts(stored, bigrams)).mapInArrow(run, ", ".join(["__kind int", "__chunk long", "__place long", *fields(stored, by), "__n binary", "__total long"]))
+        for table, tables in of_buckets(batches):
+            c = Counted.of(tables, by)
+            offsets = np.concatenate([[0], np.cumsum(c.sizes)])
+            counts = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(c.n[c.place]))
+            out = pa.table({k: c.table[k] for k in by} | {"__total": pa.array(c.total[c.run]), "__n": counts})
+            at = 0
+            for chunk, bucket, t in zip(table["__chunk"].to_pylist(), table["__bucket"].to_pylist(), tables, strict=True):
+                yield rows(0, chunk, [bucket], [sealed(out.slice(at, t.num_rows).combine_chunks())])
+                at += t.num_rows
+            yield rows(3, 0, [0], [sealed(c.frequencies(by))])
+
+    return gathered(stored.where("__kind = 0"), buckets_for(stored, n)).mapInArrow(run, PACKED)
+
+
+def answered_frequencies(answered: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
+    """(by, r, n_r) of answers(); keys: the fields of by."""
+
+    def run(batches):
+        for batch in batches:
+            for t in opened(batch.column("__data")):
+                yield from t.combine_chunks().to_batches(ROWS)
+
+    return summed(answered.where("__kind = 3").mapInArrow(run, ", ".join([*keys, "r long", "n_r long"])), by)
 
 
 def whole_chunks(batches):
     """A table for each chunk, from batches sorted by chunk."""
     held = []
     for batch in batches:
-        number = batch.column("__chunk").to_numpy(zero_copy_only=False)
+        number = numbers(batch.column("__chunk"))
         cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
@@ -356,11 +370,11 @@ def bits(prob: np.ndarray, log: str) -> np.ndarray:
         return np.where(prob > 0, -(np.log2(prob) if log == "log2" else np.log(prob)), 0.0)
 
 
-def scored(stored: DataFrame, answered: DataFrame, by: list[str], discounts: DataFrame, log: str = "log2") -> DataFrame:
-    """(by, __key, n_bigrams, n_words, raw) of the posts in kept() whose group is in discounts(by, r, d), a small table."""
+def scored(stored: DataFrame, answered: DataFrame, by: list[str], fields: list[str], discounts: DataFrame, n: int, log: str = "log2") -> DataFrame:
+    """(by, __key, n_bigrams, n_words, raw) of the posts in kept() whose group is in discounts(by, r, d), a small table; fields: those of by and the key."""
     table = discounts.select(*by, "r", "d").toArrow()
     number, first = codes(table, by)
-    r, d = (combined(table[c]).to_numpy(zero_copy_only=False) for c in ("r", "d"))
+    r, d = numbers(table["r"]), numbers(table["d"])
     known = {}
     for i, k in enumerate(keys_of(table, by, first)):
         at = np.flatnonzero(number == i)
@@ -370,30 +384,32 @@ def scored(stored: DataFrame, answered: DataFrame, by: list[str], discounts: Dat
     def run(batches):
         for table in whole_chunks(batches):
             kind = combined(table["__kind"])
-            asked, posts = (table.filter(pc.equal(kind, k)).combine_chunks() for k in (0, 1))
-            n, sizes = unpacked(asked["__data"], np.int64)
-            place = combined(asked["__place"]).to_numpy(zero_copy_only=False)
-            if not np.array_equal(place, np.cumsum(sizes) - sizes):
+            asked, posts, places = (opened(table.filter(pc.equal(kind, k))["__data"]) for k in (0, 1, 2))
+            posts = posts[0]
+            place = numbers(places[0]["__place"])
+            place = np.ascontiguousarray(place.reshape(4, -1).T).view(np.uint32).reshape(-1)
+            value = np.zeros(0)
+            if asked:
+                asked = pa.concat_tables(asked)
+                counts, sizes = lists(asked["__n"])
+                counts, total = numbers(counts), np.repeat(numbers(asked["__total"]), sizes)
+                group, first = codes(asked, by)
+                group, value = np.repeat(group, sizes), np.zeros(len(counts))
+                for i, k in enumerate(keys_of(asked, by, first)):
+                    if k in known:
+                        mine = np.flatnonzero(group == i)
+                        value[mine] = bits(known[k][1][np.searchsorted(known[k][0], counts[mine])] * (counts[mine] / total[mine]), log)
+            if len(value) != (int(place.max()) + 1 if len(place) else 0):
                 raise ValueError("bigrams of a chunk are missing")
-            group, first = codes(asked, by)
-            group, value = np.repeat(group, sizes), np.zeros(len(n))
-            total = np.repeat(combined(asked["__total"]).to_numpy(zero_copy_only=False), sizes)
-            for i, k in enumerate(keys_of(asked, by, first)):
-                if k in known:
-                    mine = np.flatnonzero(group == i)
-                    value[mine] = bits(known[k][1][np.searchsorted(known[k][0], n[mine])] * (n[mine] / total[mine]), log)
-            places, sizes = unpacked(posts["__data"], np.uint32)
-            raw = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value[places], len(sizes))
+            sizes = np.maximum(numbers(posts["__size"]) - 1, 0)
+            raw = np.bincount(np.repeat(np.arange(len(sizes)), sizes), value[place], len(sizes))
             group, first = codes(posts, by)
-            good = np.array([k in known for k in keys_of(posts, by, first)], bool)[group] if len(group) else np.zeros(0, bool)
-            out = {c: posts[c] for c in by} | {"__key": posts["__key"], "n_bigrams": pa.array(sizes.astype(np.int64)), "n_words": posts["__size"], "raw": pa.array(raw)}
+            good = np.array([k in known for k in keys_of(posts, by, first)], bool)[group]
+            out = {c: posts[c] for c in by} | {"__key": posts["__key"], "n_bigrams": pa.array(sizes), "n_words": posts["__size"], "raw": pa.array(raw)}
             yield from pa.table(out).filter(pa.array(good)).combine_chunks().to_batches(ROWS)
 
-    kind = dict(stored.dtypes)["__key"]
-    a = answered.where("__kind = 0").select("__kind", "__chunk", "__place", *by, F.lit(None).cast(kind).alias("__key"), F.lit(None).cast("long").alias("__size"), F.col("__n").alias("__data"), "__total")
-    p = stored.where("__kind = 1").select("__kind", "__chunk", "__place", *by, "__key", "__size", F.col("__w2").alias("__data"), F.lit(None).cast("long").alias("__total"))
-    rows = a.unionByName(p).repartition(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__chunk").sortWithinPartitions("__chunk", "__kind", "__place")
-    return rows.mapInArrow(run, ", ".join([*fields(stored, by), f"__key {kind}", "n_bigrams long", "n_words long", "raw double"]))
+    together = answered.where("__kind = 0").unionByName(stored.where("__kind > 0")).repartition(buckets_for(stored, n), "__chunk")
+    return together.sortWithinPartitions("__chunk", "__kind", "__bucket").mapInArrow(run, ", ".join([*fields, "n_bigrams long", "n_words long", "raw double"]))
 
 
 @dataclass

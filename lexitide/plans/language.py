@@ -108,14 +108,14 @@ GROUP_SCORES = f"{GROUPS}, target AS (SELECT grp, post_id, text FROM p), {score_
 
 def _fitted(spark, d) -> tuple[DataFrame, katz.Model]:
     """The tokenised posts, stored as they are read more than once, and their models by group."""
-    scratch = Scratch(spark, "katz")
+    scratch = Scratch(spark, "katz", tidy=True)
     rows = scratch.save(posts(spark, d).select("grp", "post_id", "text"), "posts")
     return rows, katz.fit(rows, ["grp"], keep=scratch.save)
 
 
 def _own_scores(spark, d) -> DataFrame:
     """The posts under the models of their groups, which were fitted on them."""
-    return katz.own_entropies(posts(spark, d).select("grp", "post_id", "text"), ["grp"], Scratch(spark, "own"))
+    return katz.own_entropies(posts(spark, d).select("grp", "post_id", "text"), ["grp"], Scratch(spark, "own", tidy=True))
 
 
 @query("SELECT page_id, regexp_replace('See ' || url || ' now, or HTTPS://a.b/c?d=1, ok', '\\bhttps?\\S+\\b', '', 'gi') AS text FROM pages")
@@ -156,7 +156,7 @@ def token_statistics(spark, d):
 
 @query(f"WITH {POSTS}, src AS (SELECT grp, post_id, text FROM p), {model_sql('grp', 100).split('raw AS')[0].rstrip().rstrip(',')} SELECT grp, token FROM voc")
 def vocabulary(spark, d):
-    counts = Scratch(spark, "vocabulary").save(katz.token_counts(posts(spark, d), ["grp"]), "tokens")
+    counts = Scratch(spark, "vocabulary", tidy=True).save(katz.token_counts(posts(spark, d), ["grp"]), "tokens")
     return katz.vocabulary(counts, ["grp"], leave_unknown=100).select("grp", "token")
 
 
@@ -166,7 +166,7 @@ def top_tokens(spark, d):
 
 
 def _grouped_pairs(spark, d) -> DataFrame:
-    scratch = Scratch(spark, "pairs")
+    scratch = Scratch(spark, "pairs", tidy=True)
     rows = scratch.save(posts(spark, d).select("grp", "text"), "posts")
     counts = scratch.save(katz.token_counts(rows, ["grp"]), "tokens")
     vocab = katz.vocabulary(counts, ["grp"], leave_unknown=100)
@@ -174,7 +174,7 @@ def _grouped_pairs(spark, d) -> DataFrame:
 
 
 def _frequencies(spark, d) -> DataFrame:
-    scratch = Scratch(spark, "pairs")
+    scratch = Scratch(spark, "pairs", tidy=True)
     rows = scratch.save(posts(spark, d).select("grp", "text"), "posts")
     counts = scratch.save(katz.token_counts(rows, ["grp"]), "tokens")
     return scratch.save(katz.known_frequencies(rows, ["grp"], "text", counts, katz.vocabulary(counts, ["grp"], leave_unknown=100), leave_unknown=100), "frequencies")
@@ -252,7 +252,7 @@ src AS (SELECT month, post_id, text FROM sp), {model_sql("month", 20)}"""
 
 
 def _monthly(spark, d):
-    scratch = Scratch(spark, "months")
+    scratch = Scratch(spark, "months", tidy=True)
     rows = scratch.save(posts(spark, d), "posts")
     sampled = scratch.save(snapshots.sample(rows, MONTHLY, 7), "sample")
     return rows, sampled, snapshots.fit(sampled, MONTHLY, keep=scratch.save)
@@ -280,7 +280,7 @@ src AS (SELECT month, post_id, text FROM sp), {model_sql("month", 20)}"""
 @query(f"WITH {gated_model(10)}, target AS (SELECT month, post_id, text FROM p ANTI JOIN sp USING (post_id)), {score_sql('month')} SELECT month, post_id, round(score, 6) AS score FROM sc")
 def snapshot_scores_gated(spark, d):
     """Scores under models of what authors with ten days of experience wrote."""
-    scratch = Scratch(spark, "gated")
+    scratch = Scratch(spark, "gated", tidy=True)
     rows = scratch.save(posts(spark, d), "posts")
     old = scratch.save(timeline.experience(rows.select("post_id", "author", "true_date")).select("post_id", "experience"), "experience")
     config = dataclasses.replace(MONTHLY, threshold_in_days=10)
@@ -326,8 +326,8 @@ FROM sc JOIN vs USING (grp) GROUP BY sc.grp)"""
 @query(f"{_grid_sql(500)} UNION ALL {_grid_sql(2000)}")
 def grid_search(spark, d):
     """Entropy of the validation documents for combinations of parameters."""
-    rows = Scratch(spark, "grid").save(sampling.split(posts(spark, d).select("grp", "post_id", "text"), "post_id"), "posts")
-    got = katz.grid_search(rows.where("part = 'train'"), rows.where("part = 'validation'"), ["grp"], [500, 2000], [0.5], [0.9], keep=Scratch(spark, "grid").save)
+    rows = Scratch(spark, "grid", tidy=True).save(sampling.split(posts(spark, d).select("grp", "post_id", "text"), "post_id"), "posts")
+    got = katz.grid_search(rows.where("part = 'train'"), rows.where("part = 'validation'"), ["grp"], [500, 2000], [0.5], [0.9], keep=Scratch(spark, "grid", tidy=True).save)
     return rounded(rounded(got, "entropy"), "perplexity", digits=3)
 
 

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,17 +33,19 @@ def spread(df: DataFrame) -> DataFrame:
 #: Rows that go to a Python worker at a time while an intermediate table is written. Rows hold whole texts or sets, so
 #: the usual ten thousand take much memory on both sides.
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: Whether the files of a query's shuffles go at its end, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """A session setting for a while."""
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 @contextmanager
@@ -63,7 +65,9 @@ class Scratch:
 
     live: list[Scratch] = []
 
-    def __init__(self, spark: SparkSession, tag: str):
+    def __init__(self, spark: SparkSession, tag: str, tidy: bool = False):
+        """tidy: the shuffles of a table go as soon as it is saved."""
+        self.tidy = tidy
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self.names: set[str] = set()
@@ -74,7 +78,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        with setting(self.spark, BATCH, str(min(ROWS, int(self.spark.conf.get(BATCH))))):
+        with setting(self.spark, BATCH, str(min(ROWS, int(self.spark.conf.get(BATCH))))), setting(self.spark, CLEANUP, "true") if self.tidy else nullcontext():
             df.write.mode("overwrite").parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
