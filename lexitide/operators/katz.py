@@ -19,6 +19,8 @@ from lexitide.operators import packed
 NO_FOLLOWER = 0.1
 #: Words that are named to every task, bigrams of a model that every task holds (16 bytes each), and rows of a table that is broadcast.
 NAMED, HELD, BROADCAST = 1 << 18, 1 << 21, 1 << 18
+#: Groups of which a stored model is written by all tasks.
+FEW = 64
 
 
 @dataclass
@@ -37,11 +39,16 @@ class Model:
     TABLES = ("vocab", "bigrams", "unigrams", "alphas", "cstars", "groups")
 
     def save(self, path: str) -> None:
-        """A folder for each group in every table but the small one of groups, so one month is read alone."""
+        """A folder for each group in every table but the small one of groups, so one month is read alone.
+
+        Of few groups each task writes a file for each; of many, rows are gathered to a few files a group first.
+        """
+        few = self.groups.count() <= FEW
         for t in self.TABLES:
             df = getattr(self, t)
             if self.by and t != "groups":
-                df.repartition(*self.by, F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.mode("overwrite").partitionBy(*self.by).parquet(f"{path}/{t}")
+                dealt = df if few else df.repartition(*self.by, F.pmod(F.xxhash64(*df.columns), F.lit(4)))
+                dealt.write.mode("overwrite").partitionBy(*self.by).parquet(f"{path}/{t}")
             else:
                 df.write.mode("overwrite").parquet(f"{path}/{t}")
 

@@ -7,6 +7,7 @@ and are counted. Everything here works on whole columns; nothing loops over word
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -116,11 +117,11 @@ class Words:
         column = combined(table[words])
         lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
         coded = combined(column.flatten()).dictionary_encode(null_encoding="encode")
-        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        number = coded.indices.to_numpy(zero_copy_only=False)
         begins = np.ones(len(number), bool)
         begins[(np.cumsum(lengths) - 1)[lengths > 0]] = False
         at = np.flatnonzero(begins)
-        post = np.repeat(np.arange(len(lengths)), np.maximum(lengths - 1, 0))
+        post = np.repeat(np.arange(len(lengths), dtype=np.int32), np.maximum(lengths - 1, 0))
         return cls(lengths, post, number[at], number[at + 1], coded.dictionary)
 
 
@@ -160,6 +161,21 @@ class Outside:
 PACKED = "__kind int, __chunk long, __bucket int, __data binary"
 
 
+def trimmed(function):
+    """A function of batches that hands freed memory back to the system at its end: idle Python workers stay."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every system's library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def rows(kind: int, chunk: int, bucket: list[int], data: list[bytes]) -> pa.RecordBatch:
     n = len(data)
     columns = [pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())]
@@ -169,6 +185,7 @@ def rows(kind: int, chunk: int, bucket: list[int], data: list[bytes]) -> pa.Reco
 def packer(by: list[str], words: str, outside: Outside, buckets: int, key: str | None = None):
     """A function of batches of posts: for each chunk a table of bigrams for each bucket (__kind 0), and with a key also its posts (1), by the places of their bigrams in these tables, one after another."""
 
+    @trimmed
     def run(batches):
         task, count = TaskContext.get().partitionId(), 0
         for table in chunks(batches, words):
@@ -185,6 +202,10 @@ def packer(by: list[str], words: str, outside: Outside, buckets: int, key: str |
                 pairs, place, n = np.unique(flat, return_inverse=True, return_counts=True)
             else:
                 pairs, n = np.unique(flat, return_counts=True)
+            posts = table.select(list(dict.fromkeys([*by, *([key] if key else [])]))) if by or key else None
+            first_rows = {c: table[c].take(pa.array(first)) for c in by}
+            lengths_of_posts = w.lengths
+            del flat, w1, w2, here, w, table  # the largest of what a task holds
             heads = pairs // size
             begins = np.flatnonzero(np.diff(heads, prepend=-1))
             lengths = np.diff(np.append(begins, len(pairs)))
@@ -197,7 +218,7 @@ def packer(by: list[str], words: str, outside: Outside, buckets: int, key: str |
             ends = np.cumsum(lengths)
             moved = np.repeat(begins[order] - (ends - lengths), lengths) + np.arange(len(pairs))
             offsets = pa.array(np.concatenate([[0], ends]), pa.int64())
-            out = {c: table[c].take(pa.array(first[head_group[order]])) for c in by} | {"__w1": names.take(pa.array(head[order]))}
+            out = {c: first_rows[c].take(pa.array(head_group[order])) for c in by} | {"__w1": names.take(pa.array(head[order]))}
             out["__w2"] = pa.LargeListArray.from_arrays(offsets, names.take(pa.array(pairs[moved] % size)))
             out["__n"] = pa.LargeListArray.from_arrays(offsets, pa.array(n[moved].astype(np.uint32)))
             out = pa.table(out).combine_chunks()
@@ -209,7 +230,7 @@ def packer(by: list[str], words: str, outside: Outside, buckets: int, key: str |
             if key:
                 back = np.empty(len(pairs), np.int64)
                 back[moved] = np.arange(len(pairs))
-                posts = pa.table({c: table[c] for c in by} | {"__key": table[key], "__size": pa.array(w.lengths)})
+                posts = pa.table({c: posts[c] for c in by} | {"__key": posts[key], "__size": pa.array(lengths_of_posts)})
                 places = pa.table({"__place": pa.array(planes(back[place.reshape(-1)]))})
                 yield rows(1, chunk, [0], [sealed(posts)])
                 yield rows(2, chunk, [0], [sealed(places)])
@@ -267,6 +288,7 @@ def of_buckets(batches):
 def counter(by: list[str]):
     """A function of a bucket: (by, w1, w2, n, total of the first word)."""
 
+    @trimmed
     def run(batches):
         for _, tables in of_buckets(batches):
             c = Counted.of(tables, by)
@@ -304,6 +326,7 @@ def summed(frequencies: DataFrame, by: list[str]) -> DataFrame:
 def frequencies(posts: DataFrame, by: list[str], words: str, outside: Outside, n: int) -> DataFrame:
     """(by, r, n_r): how many bigrams occur r times in each group; no bigram leaves the task that counts it."""
 
+    @trimmed
     def run(batches):
         for _, tables in of_buckets(batches):
             yield from Counted.of(tables, by).frequencies(by).combine_chunks().to_batches(ROWS)
@@ -321,6 +344,7 @@ def kept(posts: DataFrame, by: list[str], key: str, words: str, outside: Outside
 def answers(stored: DataFrame, by: list[str], n: int) -> DataFrame:
     """Of kept(): for each table of bigrams their counts in their group and those of their first words (__kind 0); of each bucket its frequencies (3)."""
 
+    @trimmed
     def run(batches):
         for table, tables in of_buckets(batches):
             c = Counted.of(tables, by)
@@ -381,6 +405,7 @@ def scored(stored: DataFrame, answered: DataFrame, by: list[str], fields: list[s
         at = at[np.argsort(r[at])]
         known[k] = r[at], d[at]
 
+    @trimmed
     def run(batches):
         for table in whole_chunks(batches):
             kind = combined(table["__kind"])
@@ -461,6 +486,7 @@ def held(bigrams: pa.Table, unigrams: pa.Table, alphas: pa.Table, by: list[str])
 def looked_up(posts: DataFrame, by: list[str], targets: list[list[str]], key: str, words: str, models: dict[tuple, Held], log: str = "log2") -> DataFrame:
     """(by, key, n_bigrams, raw): posts under the models that each of the targets names, a column for each of by; none for those without a model. Nothing is shuffled."""
 
+    @trimmed
     def run(batches):
         for table in chunks(batches, words):
             w = Words.of(table, words)
