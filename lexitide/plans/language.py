@@ -106,11 +106,13 @@ GROUPS = f"{POSTS}, src AS (SELECT grp, post_id, text FROM p), {model_sql('grp',
 GROUP_SCORES = f"{GROUPS}, target AS (SELECT grp, post_id, text FROM p), {score_sql('grp')}"
 
 
-def _fitted(spark, d) -> tuple[DataFrame, katz.Model]:
-    """The tokenised posts, stored as they are read more than once, and their models by group."""
+def _fitted(spark, d) -> katz.Model:
+    """The models of the posts by group; the posts are stored while they are read."""
     scratch = Scratch(spark, "katz", tidy=True)
     rows = scratch.save(posts(spark, d).select("grp", "post_id", "text"), "posts")
-    return rows, katz.fit(rows, ["grp"], keep=scratch.save)
+    model = katz.fit(rows, ["grp"], keep=scratch.save)
+    scratch.drop("posts", "tokens")
+    return model
 
 
 def _own_scores(spark, d) -> DataFrame:
@@ -202,17 +204,17 @@ def turing_cstars(spark, d):
 
 @query(f"WITH {GROUPS} SELECT grp, w1, w2, n, round(p_ml, 6) AS p_ml, round(discount, 6) AS discount FROM seen")
 def katz_discounts(spark, d):
-    return rounded(_fitted(spark, d)[1].bigrams.drop("p"), "p_ml", "discount")
+    return rounded(_fitted(spark, d).bigrams.drop("p"), "p_ml", "discount")
 
 
 @query(f"WITH {GROUPS} SELECT grp, w1, round(alpha, 6) AS alpha FROM al")
 def katz_alphas(spark, d):
-    return rounded(_fitted(spark, d)[1].alphas, "alpha")
+    return rounded(_fitted(spark, d).alphas, "alpha")
 
 
 @query(f"WITH {GROUPS} SELECT grp, w, round(p, 9) AS p FROM un WHERE grp IN (SELECT grp FROM good)")
 def katz_unigrams(spark, d):
-    return rounded(_fitted(spark, d)[1].unigrams.drop("n"), "p", digits=9)
+    return rounded(_fitted(spark, d).unigrams.drop("n"), "p", digits=9)
 
 
 @query(f"WITH {GROUP_SCORES} SELECT grp, post_id, n_bigrams, round(score, 6) AS score FROM sc")

@@ -66,7 +66,7 @@ def unpadded_run(spark, d):
 def stored_model(spark, d):
     """The bigrams of one group of a model that was stored by group: the folders of others are not read."""
     path = Scratch(spark, "stored").path("model")
-    language._fitted(spark, d)[1].save(path)
+    language._fitted(spark, d).save(path)
     one = katz.Model.load(spark, path, ["grp"], F.col("grp") == 3)
     return one.bigrams.select("grp", "w1", "w2", "n", F.round("p_ml", 6).alias("p_ml"))
 
